@@ -15,17 +15,35 @@ from . import text as tx
 
 
 def family_tags(text: Column, family: str, taxonomy: list | None = None) -> Column:
-    low = F.lower(text)
+    """Labels of ``family`` found in ``text`` (already ASCII-lower-cased), in declaration order.
+
+    Each regex runs only when the text contains one of the literals every match of it must
+    contain (``instr`` is a byte search), so most rows never enter the regex engine.
+    """
     rows = [r for r in (taxonomy or fx.taxonomy_rows()) if r[0] == family]
     rows.sort(key=lambda r: r[2])
-    hits = [F.when(low.rlike(pattern), F.lit(label)) for _, label, _, pattern in rows]
+    lits = fx.taxonomy_literals() if taxonomy is None else {}
+    hits = []
+    for _, label, _, pattern in rows:
+        match = text.rlike(pattern)
+        if label in lits:
+            pre = None
+            for lit in lits[label]:
+                c = F.instr(text, lit) > 0
+                pre = c if pre is None else (pre | c)
+            match = pre & match
+        hits.append(F.when(match, F.lit(label)))
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
-def entities(text: Column | None = None, taxonomy: list | None = None) -> Column:
-    """struct<vehicles, energy_products, issues>; empty arrays for empty/null text."""
+def entities(text: Column | None = None, taxonomy: list | None = None, lowered: bool = False) -> Column:
+    """struct<vehicles, energy_products, issues>; empty arrays for empty/null text.
+
+    Pass a column that is already case-folded with ``lowered=True`` (computed once in an
+    earlier projection): the families reference it ~60 times.
+    """
     text = text if text is not None else tx.combine_for_scoring()
-    t = F.coalesce(text, F.lit(""))
+    t = F.coalesce(text, F.lit("")) if lowered else tx.ascii_lower(F.coalesce(text, F.lit("")))
     return F.struct(*[family_tags(t, fam, taxonomy).alias(fam) for fam in fx.FAMILIES])
 
 

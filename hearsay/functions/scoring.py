@@ -56,20 +56,20 @@ def compound_from_sum(sum_micro: Column, exclamations: Column) -> Column:
 
 
 def score(df: DataFrame, lexicon: DataFrame, text: Column | None = None, key: str = "id",
-          carry: list[str] | None = None) -> DataFrame:
-    """Add ``compound`` to ``df`` (one row per ``key``), carrying ``carry`` columns through.
+          carry: list[str] | None = None, lowered: bool = False) -> DataFrame:
+    """Add ``compound`` to ``df`` (one row per ``key``), keeping the ``carry`` columns.
 
-    ``lexicon`` is a (token, valence) frame, already size-checked by ``tables.lexicon_frame``.
+    Only (key, token context) rows are exploded; the inner broadcast join with the lexicon keeps
+    lexicon hits alone, which are summed per key and joined back. The input is hash-partitioned
+    by ``key`` (the dedupe exchange), so neither the sum nor the join-back adds an exchange,
+    and the wide post columns never ride along with the tokens. ``lexicon`` is a (token,
+    valence) frame, already size-checked by ``tables.lexicon_frame``.
     """
     text = text if text is not None else tx.combine_for_scoring()
     carry = [c for c in (carry if carry is not None else df.columns) if c != key]
     # Materialise the token array once: a lambda that referenced the expression itself would
     # re-tokenise the whole text for every element.
-    staged = df.select(
-        F.col(key), *[F.col(c) for c in carry],
-        tx.count_char(text, "!").alias("_bang"),
-        tx.score_tokens(text).alias("_toks"),
-    )
+    staged = df.select(F.col(key), tx.score_tokens(text, lowered).alias("_toks"))
     toks = F.col("_toks")
     ctx = F.transform(
         toks,
@@ -81,19 +81,14 @@ def score(df: DataFrame, lexicon: DataFrame, text: Column | None = None, key: st
             F.get(toks, i - 3).alias("p3"),
         ),
     )
-    exploded = staged.select(
-        F.col(key), *[F.col(c) for c in carry], "_bang",
-        F.array_position(toks, "but").alias("_but"),
-        F.explode_outer(ctx).alias("_t"),
-    )
+    exploded = staged.select(F.col(key).alias("_k"), F.array_position(toks, "but").alias("_but"), F.explode(ctx).alias("_t"))
     lex = lexicon.select(F.col("token").alias("_tok"), F.col("valence").alias("_val"))
-    joined = exploded.join(lex, exploded["_t.tok"] == lex["_tok"], "left")
+    hits = exploded.join(lex, exploded["_t.tok"] == lex["_tok"], "inner")
     contrib = token_contribution(
         F.col("_val"), F.col("_t.p1"), F.col("_t.p2"), F.col("_t.p3"), F.col("_t.pos"), F.col("_but")
     )
-    summed = joined.groupBy(key).agg(
-        *[F.any_value(c).alias(c) for c in carry],
-        F.any_value("_bang").alias("_bang"),
-        F.coalesce(F.sum(F.when(F.col("_val").isNotNull(), contrib)), F.lit(0)).alias("_s"),
-    )
-    return summed.select(key, *carry, compound_from_sum(F.col("_s"), F.col("_bang")).alias("compound"))
+    sums = hits.groupBy("_k").agg(F.sum(contrib).alias("_s"))
+    base = df.select(F.col(key), *[F.col(c) for c in carry], tx.count_char(text, "!").alias("_bang"))
+    joined = base.join(sums, base[key] == sums["_k"], "left")
+    s_micro = F.coalesce(F.col("_s"), F.lit(0).cast("bigint"))
+    return joined.select(key, *carry, compound_from_sum(s_micro, F.col("_bang")).alias("compound"))

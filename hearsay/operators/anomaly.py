@@ -151,7 +151,7 @@ def cluster_anomalies(clusters: DataFrame, detected_at: Column, top_n: int = 5)
            .orderBy(*order).limit(top_n).withColumn("rank", F.row_number().over(Window.orderBy(*order))))
     sev = F.when(F.col("severity").isin("HIGH", "CRITICAL"), F.col("severity")).otherwise(F.lit("MEDIUM"))
     meta = F.struct(F.col("cluster_id"), F.slice("keywords", 1, 3).alias("keywords"), F.col("post_count"),
-                    F.slice("post_ids", 1, 10).alias("post_ids"))
+                    F.slice("first_post_ids", 1, 10).alias("post_ids"))
     msg = fmt("Issue cluster '%s' has negative sentiment (%.3f) across %d posts",
               F.col("cluster_name"), tx.rnd("avg_sentiment", 3), F.col("post_count"))
     return top.select(

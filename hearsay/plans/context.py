@@ -36,13 +36,85 @@ class Ctx:
 
     @cached_property
     def scored(self) -> DataFrame:
-        """Enriched posts: entities, primary_product, compound, category (no text)."""
-        return ru.enrich(self.posts, self.lexicon)
+        """Enriched posts: entities, primary_product, compound, category (no text).
+
+        Written once to the shared checkpoint folder: every later branch (rollups, detectors,
+        serving) reads this narrow table instead of re-scoring the texts, and a lost executor
+        does not send the lineage back to the text scan.
+        """
+        return tables.materialize(ru.enrich(self.posts, self.lexicon), "scored")
 
     @cached_property
     def minutes(self) -> DataFrame:
-        return ru.minute_rollup(self.scored)
+        return tables.materialize(ru.minute_rollup(self.scored), "minutes")
 
     @cached_property
     def as_of(self) -> Column:
         return adapter.as_of(self.posts)
+
+
+class Run(Ctx):
+    """Context with the derived tables of a full pipeline run (topics, clusters, alert ledger)."""
+
+    # detector runs before the current one, in hours before ``as_of`` (the ledger's history)
+    HISTORY_HOURS = (30, 6)
+
+    def at(self, hours_before: int) -> Column:
+        from pyspark.sql import functions as F
+        return self.as_of - F.expr(f"INTERVAL {hours_before} HOURS") if hours_before else self.as_of
+
+    @cached_property
+    def sentiments(self) -> DataFrame:
+        from ..operators import topics as tp
+        return tp.post_sentiment(self.posts, self.minutes)
+
+    @cached_property
+    def topics(self) -> DataFrame:
+        from ..operators import topics as tp
+        return tp.community_keywords(self.posts)
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        from ..operators import topics as tp
+        return tp.given_labels(self.posts, self.table("embeddings"))
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        from ..operators import topics as tp
+        c = tp.cluster_summary(self.labels, self.sentiments, tp.cluster_keywords(self.labels, self.posts))
+        return tables.materialize(c, "clusters")
+
+    def candidates(self, hours_before: int = 0, with_clusters: bool = True) -> DataFrame:
+        """Detector candidates of a run at ``as_of - hours_before`` over the data seen by then."""
+        from pyspark.sql import functions as F
+
+        from ..operators import anomaly as an
+        at = self.at(hours_before)
+        m = self.minutes.where(F.col("minute") < at) if hours_before else self.minutes
+        s = self.scored.where(F.col("created_utc") < at) if hours_before else self.scored
+        parts = [an.sentiment_anomalies(m, s, at), an.volume_anomalies(m, at)]
+        if with_clusters:
+            parts.append(an.cluster_anomalies(self.clusters, at))
+        parts.append(an.extreme_posts(s, m, at))
+        return an.all_alerts(parts)
+
+    @cached_property
+    def ledger_runs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(current candidates, current accepted, final ledger) after the history runs."""
+        from ..operators import alerts as al
+        ledger = None
+        for h in self.HISTORY_HOURS:
+            at = self.at(h)
+            accepted = al.suppress(self.candidates(h, with_clusters=False), ledger, at)
+            rows = al.as_ledger_rows(accepted)
+            ledger = rows if ledger is None else ledger.unionByName(rows)
+            ledger = al.autoresolve(ledger, at)
+            ledger = tables.materialize(ledger, "ledger")  # small; keeps each run's plan shallow
+        cand = tables.materialize(self.candidates(0), "candidates")
+        accepted = tables.materialize(al.suppress(cand, ledger, self.as_of), "accepted")
+        final = tables.materialize(al.autoresolve(ledger.unionByName(al.as_ledger_rows(accepted)), self.as_of), "ledger")
+        return cand, accepted, final
+
+    @property
+    def ledger(self) -> DataFrame:
+        return self.ledger_runs[2]

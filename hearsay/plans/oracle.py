@@ -124,9 +124,14 @@ _V3 = (f"(CASE WHEN c.bp > 0 AND c.pos < c.bp THEN {_V2} * {D(fx.CONTRAST_BEFORE
        f"WHEN c.bp > 0 AND c.pos > c.bp THEN {_V2} * {D(fx.CONTRAST_AFTER)} ELSE {_V2} END)")
 
 COMBINED = "concat(title, ' ', coalesce(selftext, ''))"
+
+
+def lower(e: str) -> str:
+    return f"translate({e}, {q(tx.ASCII_UPPER)}, {q(tx.ASCII_LOWER)})"
+
 cte("_tok", ["posts"], f"""
 SELECT id, length({COMBINED}) - length(replace({COMBINED}, '!', '')) AS bang,
-       list_filter(regexp_extract_all(lower({COMBINED}), {q(tx.SCORE_TOKEN_PATTERN)}), lambda t: length(t) >= 2) AS toks
+       list_filter(regexp_extract_all({lower(COMBINED)}, {q(tx.SCORE_TOKEN_PATTERN)}), lambda t: length(t) >= 2) AS toks
 FROM posts""")
 cte("_ctx", ["_tok"], """
 SELECT id, pos, toks[pos] AS tok,
@@ -147,7 +152,7 @@ COMPOUND = rnd(f"greatest({D(-1)}, least({D(1)}, {_C}))", 4)
 
 
 def _family(fam: str) -> str:
-    items = [f"CASE WHEN regexp_matches(lower({COMBINED}), {q(pat)}) THEN {q(label)} END"
+    items = [f"CASE WHEN regexp_matches({lower(COMBINED)}, {q(pat)}) THEN {q(label)} END"
              for f, label, _, pat in fx.taxonomy_rows() if f == fam]
     return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
 

@@ -111,5 +111,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_of(posts_df: DataFrame) -> Column:
-    """Reproducible NOW(): the hour after the newest post, as a scalar subquery."""
-    return posts_df.select((tx.hour_bucket(F.max("created_utc")) + F.expr("INTERVAL 1 HOUR")).alias("as_of")).scalar()
+    """Reproducible NOW(): the hour after the newest post.
+
+    Evaluated once (one scalar to the driver) and used as a literal, so the many predicates
+    that compare against it do not each re-run the posts pipeline as a subquery.
+    """
+    text = posts_df.select(F.date_format(tx.hour_bucket(F.max("created_utc")) + F.expr("INTERVAL 1 HOUR"),
+                                         "yyyy-MM-dd HH:mm:ss").alias("t")).first()["t"]
+    return F.lit(text).cast("timestamp_ntz")

@@ -52,8 +52,8 @@ COMMUNITIES = [
 ]
 
 # FIXED VALUES: product display lists of the products page (vehicle / energy categories).
-VEHICLE_DISPLAY = ["Model 3", "Model Y", "Model S", "Model X", "Cybertruck", "Semi", "Roadster"]
-ENERGY_DISPLAY = ["Powerwall", "Solar Roof", "Solar Panels", "Megapack", "Supercharger"]
+VEHICLE_DISPLAY = ["Model Y", "Model 3", "Model S", "Model X", "Cybertruck"]
+ENERGY_DISPLAY = ["Powerwall", "Solar Panels", "Solar Roof", "Megapack"]
 
 # ---------------------------------------------------------------------------------------------
 # Test fixtures of our own (FIXTURES.md §5, §6): title phrases and a small valence lexicon.
@@ -143,6 +143,31 @@ def portable_regex(pattern: str) -> str:
     return out
 
 
+def required_literal(pattern: str) -> str:
+    """A substring every match of ``pattern`` must contain (for a cheap ``instr`` prefilter).
+
+    Rule: drop boundaries, optional groups, alternation groups and character classes; a token
+    directly followed by ``?``/``*`` loses its last character; take the longest remaining run
+    of letters and digits.
+    """
+    import re
+
+    p = pattern.replace(r"(?!\w)", " ").replace(r"\b", " ").replace(r"\'", " ")
+    p = re.sub(r"\(\?:[^()]*\)[?*]", " ", p)
+    p = re.sub(r"\(\?:[^()]*\|[^()]*\)", " ", p)
+    p = re.sub(r"\[[^\]]*\]", " ", p)
+    p = re.sub(r"\\[a-zA-Z]", " ", p)
+    p = re.sub(r"([a-z0-9])[?*]", " ", p)
+    runs = re.findall(r"[a-z0-9]+", p)
+    if not runs:
+        raise ValueError(f"no literal in {pattern!r}")
+    return max(runs, key=len)
+
+
+def label_literals(patterns: list[str]) -> list[str]:
+    return sorted({required_literal(p) for p in patterns})
+
+
 def label_regex(patterns: list[str]) -> str:
     """One alternation per label: any-of semantics in a single regex pass."""
     return "|".join(f"(?:{portable_regex(p)})" for p in patterns)
@@ -155,3 +180,8 @@ def taxonomy_rows() -> list[tuple[str, str, int, str]]:
         rows.append((family, label, seen[family], label_regex(patterns)))
         seen[family] += 1
     return rows
+
+
+def taxonomy_literals() -> dict[str, list[str]]:
+    """label → literals, one of which every match contains."""
+    return {label: label_literals(patterns) for _, label, patterns in TAXONOMY}

@@ -55,3 +55,20 @@ def communities_frame(spark: SparkSession, names: list[str] | None = None) -> Da
     return bounded_broadcast(
         spark.createDataFrame([(n, i) for i, n in enumerate(names)], "subreddit string, ord int"), known_rows=len(names)
     )
+
+
+def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    This is the lineage cut used between pipeline stages: a lost executor re-reads the written
+    table instead of recomputing upstream stages, and unlike an RDD checkpoint the plan runs
+    once (no second pass to save) and downstream scans keep column pruning and pushdown.
+    """
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
