@@ -34,7 +34,8 @@ def rnd(c: str | Column, k: int) -> Column:
     integer round of the scaled value agrees everywhere, so published doubles use this form.
     """
     scale = float(10 ** k)
-    return F.round(col(c) * F.lit(scale)) / F.lit(scale)
+    # "+ 0.0" turns a rounded -0.0 into 0.0 (engines differ on the sign of a zero result)
+    return F.round(col(c) * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 def build_permalink(c: str | Column) -> Column:

@@ -121,7 +121,7 @@ def keyword_stats(topics: DataFrame, posts: DataFrame, sentiments: DataFrame) ->
     kw = materialise_small(topics.select(F.col("subreddit").alias("_ks"), F.col("keyword").alias("_kk"),
                                          F.col("score").alias("_kscore")), 1_000_000)
     docs = topic_docs(posts).join(sentiments.select("id", "sentiment"), "id")
-    j = docs.join(kw, (F.col("subreddit") == F.col("_ks")) & F.lower(F.col("text")).contains(F.lower(F.col("_kk"))))
+    j = docs.join(kw, (F.col("subreddit") == F.col("_ks")) & tx.ascii_lower(F.col("text")).contains(F.col("_kk")))
     hits = j.groupBy(F.col("_ks").alias("_hs"), F.col("_kk").alias("_hk")).agg(
         F.count(F.lit(1)).alias("post_count"),
         F.sum(F.round(F.col("sentiment") * F.lit(1e6)).cast("bigint")).alias("_u"))

@@ -20,7 +20,7 @@ def D(x: float) -> str:
 
 
 def rnd(expr: str, k: int) -> str:
-    return f"(round(({expr}) * {D(10.0 ** k)}) / {D(10.0 ** k)})"
+    return f"(round(({expr}) * {D(10.0 ** k)}) / {D(10.0 ** k)} + {D(0.0)})"
 
 
 def in_list(words) -> str:
@@ -190,7 +190,7 @@ def alert_id(alert_type: str, community: str, key: str) -> str:
     return f"left(sha256(concat_ws('|', {alert_type}, coalesce({community}, ''), {key})), 16)"
 
 
-# C1 -------------------------------------------------------------------------------------------
+# C1 (current run) ------------------------------------------------------------------------------
 cte("sent_cand", ["minutes", "sent_stats"], f"""
 SELECT m.*, s.mean, s.std, {rnd('abs(m.avg_sentiment - s.mean) / s.std', 6)} AS z_score
 FROM minutes m JOIN sent_stats s ON m.subreddit = s.subreddit
@@ -229,8 +229,4 @@ def register(key: str, text: str) -> None:
     ORACLE[key] = text
 
 
-register("anomaly_sentiment", sql("SELECT * FROM alerts_sentiment", "alerts_sentiment"))
-register("minute_rollup", sql("SELECT * FROM minutes", "minutes"))
-register("sentiment_score", sql(
-    "SELECT id, subreddit, minute, compound, CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 "
-    "THEN 'negative' ELSE 'neutral' END AS category FROM scored", "scored"))
+from . import oracle_more  # noqa: E402,F401  (registers the remaining CTEs and queries)
