@@ -698,3 +698,40 @@ def _top_engagement(r: Run) -> DataFrame:
 @plan("sentiment_labels")
 def _sentiment_labels(r: Run) -> DataFrame:
     return sv.sentiment_labels(r.minutes)
+
+
+# ---------------------------------------------------------------------------------------------
+# Streaming (rows-only checks: the stream drops rows behind its watermark by design)
+# ---------------------------------------------------------------------------------------------
+
+
+def _stream_run(r: Run) -> dict[str, str]:
+    from ..streaming import ingest as st
+    root = sk.table_root(r.spark, os.path.join("streams", uuid.uuid4().hex))
+    return st.run_pipeline(r.spark, r.landing, root)
+
+
+@plan("stream_ingest", rows_only=True)
+def _stream_ingest(r: Run) -> DataFrame:
+    """Messages → parse → watermark/dedupe → foreachBatch enrichment, per batch_id."""
+    return r.spark.read.parquet(_stream_run(r)["scored"])
+
+
+@plan("stream_dedupe", rows_only=True)
+def _stream_dedupe(r: Run) -> DataFrame:
+    """Ids kept by the stream (each exactly once)."""
+    return r.spark.read.parquet(_stream_run(r)["scored"]).groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@plan("stream_minute_rollup", rows_only=True)
+def _stream_minute_rollup(r: Run) -> DataFrame:
+    """Settled 1-minute windows per community."""
+    return r.spark.read.parquet(_stream_run(r)["minutes"])
+
+
+@plan("stream_anomaly", rows_only=True)
+def _stream_anomaly(r: Run) -> DataFrame:
+    """Streamed windows against the stored (batch) baseline."""
+    from ..streaming import ingest as st
+    windows = r.spark.read.parquet(_stream_run(r)["minutes"])
+    return st.anomaly_batch(windows, ru.sentiment_baseline(r.minutes))

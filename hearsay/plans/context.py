@@ -50,7 +50,8 @@ class Ctx:
 
     @cached_property
     def as_of(self) -> Column:
-        return adapter.as_of(self.posts)
+        # from the written scored table (narrow), not by re-running the posts pipeline
+        return adapter.as_of(self.scored)
 
 
 class Run(Ctx):
