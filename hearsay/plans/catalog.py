@@ -452,7 +452,15 @@ def _declared_alert_rules(r: Run) -> DataFrame:
     vol = an.volume_candidates(r.minutes, 3.0).where(F.col("posts_count") > F.col("avg_volume")).groupBy("subreddit").agg(
         F.max("ratio").alias("value")).select(F.lit("volume_spike_3x").alias("rule"), F.lit("medium").alias("severity"),
                                               "subreddit", "value", F.lit(3.0).alias("threshold"))
-    return fresh.unionByName(neg).unionByName(err).unionByName(vol)
+    hourly = r.minutes.groupBy("subreddit", tx.hour_bucket("minute").alias("hour")).agg(
+        F.sum(F.round(F.col("avg_sentiment") * F.col("posts_count") * F.lit(1e4)).cast("bigint")).alias("_u"),
+        F.sum("posts_count").alias("_n")).withColumn("s", F.col("_u") / F.lit(1e4) / F.col("_n"))
+    prev = F.lag("s").over(Window.partitionBy("subreddit").orderBy("hour"))  # hourly rows per community
+    drop = hourly.withColumn("prev", prev).where((F.col("prev") > 0) & (F.col("s") < F.col("prev") * F.lit(0.5))).groupBy(
+        "subreddit").agg(F.max(tx.rnd((F.col("prev") - F.col("s")) / F.col("prev"), 6)).alias("value")).select(
+        F.lit("sentiment_drop").alias("rule"), F.lit("medium").alias("severity"), "subreddit", "value",
+        F.lit(0.5).alias("threshold"))
+    return fresh.unionByName(neg).unionByName(err).unionByName(vol).unionByName(drop)
 
 
 # ---------------------------------------------------------------------------------------------

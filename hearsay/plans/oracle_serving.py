@@ -253,6 +253,13 @@ SELECT 'volume_spike_3x', 'medium', subreddit, max(ratio), {D(3.0)} FROM (
   SELECT m.subreddit, {rnd('m.posts_count / v.avg_volume', 6)} AS ratio, m.posts_count, v.avg_volume FROM minutes m
   JOIN (SELECT subreddit, sum(posts_count) / count(*) AS avg_volume FROM minutes GROUP BY subreddit) v ON m.subreddit = v.subreddit
   WHERE v.avg_volume > 0 AND (m.posts_count > v.avg_volume * {D(3.0)} OR m.posts_count < v.avg_volume / {D(3.0)}))
-WHERE posts_count > avg_volume GROUP BY subreddit""", "posts", "minutes", "b2", "as_of"))
+WHERE posts_count > avg_volume GROUP BY subreddit
+UNION ALL
+SELECT 'sentiment_drop', 'medium', subreddit, max({rnd('(prev - s) / prev', 6)}), {D(0.5)} FROM (
+  SELECT subreddit, hour, s, lag(s) OVER (PARTITION BY subreddit ORDER BY hour) AS prev FROM (
+    SELECT subreddit, date_trunc('hour', minute) AS hour,
+           CAST(sum(CAST(round(avg_sentiment * posts_count * {D(1e4)}) AS BIGINT)) AS DOUBLE) / {D(1e4)} / sum(posts_count) AS s
+    FROM minutes GROUP BY 1, 2))
+WHERE prev > 0 AND s < prev * {D(0.5)} GROUP BY subreddit""", "posts", "minutes", "b2", "as_of"))
 
 UNITS6 = UNITS6  # re-exported for callers

@@ -48,33 +48,29 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     post_id = F.concat(F.lit("p"), d.cast("string"))
     community = F.concat(F.lit("c"), (d % 7).cast("string"))
 
-    base = j.select(
-        (d * 2).alias("msg_offset"),
-        d.alias("doc_id"),
+    # Replayed copies come from a generator in the same pass: one scan, one join, no union.
+    copy_no = F.explode(F.when(d % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    base = j.select("*", copy_no.alias("_copy"))
+    c = F.col("_copy")
+    created_col = created
+    msgs = base.select(
+        (d * 2 + c).alias("msg_offset"),
         post_id.alias("id"),
         title.alias("title"),
         F.col("text").alias("selftext"),
         F.when(d % 37 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("author"),
         community.alias("subreddit"),
-        created.alias("created_utc"),
-        F.floor("value").cast("int").alias("score"),
-        F.get_json_object("props", "$.k").cast("int").alias("num_comments"),
+        created_col.alias("created_utc"),
+        (F.floor("value").cast("int") + c * 5).alias("score"),
+        (F.get_json_object("props", "$.k").cast("int") + c * 2).alias("num_comments"),
         F.concat(F.lit("https://example.com/p/"), d.cast("string")).alias("url"),
         _raw_permalink(d, post_id, community).alias("permalink"),
         ((e % 101) / F.lit(100.0)).alias("upvote_ratio"),
         (e % 2 == 0).alias("is_self"),
         F.when(e % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("event_type")).alias("link_flair_text"),
-        e.alias("_e"),
-    ).withColumn("ingested_at", F.col("created_utc") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("_e") % 180).cast("int"), F.lit(0)))
-
-    copies = base.where(F.col("doc_id") % 10 == 0).select(
-        (F.col("msg_offset") + 1).alias("msg_offset"), "doc_id", "id", "title", "selftext", "author", "subreddit",
-        "created_utc", (F.col("score") + 5).alias("score"), (F.col("num_comments") + 2).alias("num_comments"), "url",
-        "permalink", "upvote_ratio", "is_self", "link_flair_text", "_e",
-        (F.col("ingested_at") + F.expr("INTERVAL 45 MINUTES")).alias("ingested_at"),
+        (created_col + F.make_dt_interval(F.lit(0), F.lit(0), ((e % 180) + c * 45).cast("int"), F.lit(0))).alias("ingested_at"),
     )
-    cols = ["msg_offset"] + MESSAGE_COLUMNS
-    return base.select(*cols).unionByName(copies.select(*cols))
+    return msgs.select("msg_offset", *MESSAGE_COLUMNS)
 
 
 def required_present(df: DataFrame, fields: list[str] | None = None) -> Column:
