@@ -46,23 +46,34 @@ def topic_docs(posts: DataFrame) -> DataFrame:
     return posts.where(F.col("title").isNotNull()).select("id", "subreddit", tx.combine_for_topics().alias("text"))
 
 
-def term_counts(docs: DataFrame, group: str | None, stop: list[str] | None = None) -> DataFrame:
-    """(group, id, term, tf): per-document term counts; co-located with ``id``, no exchange."""
-    staged = docs.select("id", *([group] if group else []), doc_terms(F.col("text"), stop).alias("_toks"))
-    exploded = staged.select("id", *([group] if group else []), F.explode(_with_bigrams(F.col("_toks"))).alias("term"))
-    keys = ([group] if group else []) + ["id", "term"]
-    return exploded.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
+def term_arrays(docs: DataFrame, group: str | None, stop: list[str] | None = None) -> DataFrame:
+    """(group, id, terms): each document's unigram + bigram sequence (one row per document)."""
+    gk = [group] if group else []
+    staged = docs.select("id", *gk, doc_terms(F.col("text"), stop).alias("_toks"))
+    return staged.select("id", *gk, _with_bigrams(F.col("_toks")).alias("terms"))
+
+
+def term_stats(arrays: DataFrame, group: str | None) -> DataFrame:
+    """(group, term, df, total): document frequency and total count of every term.
+
+    Keyed by (group, term) only — never by (document, term) — so the partial aggregate folds
+    every repeat of a term inside a task before the exchange: occurrences come from the term
+    sequence, document frequency from its distinct set, both in one aggregation.
+    """
+    gk = [group] if group else []
+    occ = arrays.select(*gk, F.explode("terms").alias("term"), F.lit(1).alias("_o"), F.lit(0).alias("_d"))
+    dist = arrays.select(*gk, F.explode(F.array_distinct("terms")).alias("term"), F.lit(0).alias("_o"), F.lit(1).alias("_d"))
+    return occ.unionByName(dist).groupBy(*gk, "term").agg(F.sum("_d").alias("df"), F.sum("_o").alias("total"))
 
 
-def vocabulary(tf: DataFrame, docs: DataFrame, group: str | None, max_features: int, min_df: int = 2,
+def vocabulary(stats: DataFrame, docs: DataFrame, group: str | None, max_features: int, min_df: int = 2,
                max_df: float | None = None) -> DataFrame:
     """(group, term, df, n, idf) of the kept vocabulary."""
     gk = [group] if group else []
-    dfs = tf.groupBy(*gk, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     if gk:
-        j = dfs.join(docs.groupBy(*gk).agg(F.count(F.lit(1)).alias("n")), gk)
+        j = stats.join(docs.groupBy(*gk).agg(F.count(F.lit(1)).alias("n")), gk)
     else:  # one corpus: n is a scalar subquery, not a join
-        j = dfs.withColumn("n", docs.select(F.count(F.lit(1))).scalar())
+        j = stats.withColumn("n", docs.select(F.count(F.lit(1))).scalar())
     keep = F.col("df") >= min_df
     if max_df is not None:
         keep = keep & (F.col("df") <= F.col("n") * F.lit(float(max_df)))
@@ -77,14 +88,26 @@ def vocabulary(tf: DataFrame, docs: DataFrame, group: str | None, max_features:
 
 
 def materialise_small(df: DataFrame, bound: int) -> DataFrame:
-    """Checkpoint a small derived table (cuts lineage) and broadcast it only under ``bound`` rows."""
+    """Write a small derived table (cuts lineage) and broadcast it only under ``bound`` rows."""
     return bounded_broadcast(materialize(df, "small"), max_rows=bound)
 
 
-def weights(tf: DataFrame, vocab: DataFrame, group: str | None) -> DataFrame:
+def vocab_counts(arrays: DataFrame, vocab: DataFrame, group: str | None) -> DataFrame:
+    """(group, id, term, tf, idf) for vocabulary terms only.
+
+    The exploded terms meet the (broadcast, size-checked) vocabulary in the same pipeline, so only
+    vocabulary hits reach the per-document count.
+    """
+    gk = [group] if group else []
+    ex = arrays.select("id", *gk, F.explode("terms").alias("term"))
+    hits = ex.join(vocab.select(*gk, "term", "idf"), gk + ["term"])
+    return hits.groupBy(*gk, "id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+
+
+def weights(arrays: DataFrame, vocab: DataFrame, group: str | None) -> DataFrame:
     """(group, id, term, w): L2-normalised tf-idf over the kept vocabulary."""
     gk = [group] if group else []
-    j = tf.join(vocab.select(*gk, "term", "idf"), gk + ["term"])
+    j = vocab_counts(arrays, vocab, group)
     raw = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy("id")))
     return j.select(*gk, "id", "term", (raw / norm).alias("w"))
@@ -94,9 +117,10 @@ def community_keywords(posts: DataFrame, top_n: int = 10, max_features: int = 10
                        max_df: float = 0.8, stop: list[str] | None = None, vocab_bound: int = 2_000_000) -> DataFrame:
     """(subreddit, keyword, score) — top ``top_n`` mean tf-idf terms per community."""
     docs = topic_docs(posts)
-    tf = term_counts(docs, "subreddit", stop)
-    vocab = materialise_small(vocabulary(tf, docs, "subreddit", max_features, min_df, max_df), vocab_bound)
-    w = weights(tf, vocab, "subreddit")
+    arrays = term_arrays(docs, "subreddit", stop)
+    vocab = materialise_small(vocabulary(term_stats(arrays, "subreddit"), docs, "subreddit", max_features, min_df, max_df),
+                              vocab_bound)
+    w = weights(arrays, vocab, "subreddit")
     n = vocab.select("subreddit", "n").distinct()
     means = w.groupBy("subreddit", "term").agg(F.sum("w").alias("_sw")).join(n, "subreddit")
     scored = means.select("subreddit", F.col("term").alias("keyword"), tx.rnd(F.col("_sw") / F.col("n"), 6).alias("score"))
@@ -148,9 +172,9 @@ def cluster_keywords(labels: DataFrame, posts: DataFrame, max_features: int = 20
                      stop: list[str] | None = None) -> DataFrame:
     """Top ``k`` terms of each cluster centre (mean L2 tf-idf vector of its members)."""
     docs = topic_docs(posts)
-    tf = term_counts(docs, None, stop)
-    vocab = materialise_small(vocabulary(tf, docs, None, max_features, 2, None), 1_000_000)
-    w = weights(tf, vocab, None)
+    arrays = term_arrays(docs, None, stop)
+    vocab = materialise_small(vocabulary(term_stats(arrays, None), docs, None, max_features, 2, None), 1_000_000)
+    w = weights(arrays, vocab, None)
     sizes = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     centre = (w.join(labels, "id").groupBy("cluster_id", "term").agg(F.sum("w").alias("_sw"))
               .join(sizes, "cluster_id").select("cluster_id", "term", tx.rnd(F.col("_sw") / F.col("size"), 9).alias("weight")))
@@ -194,11 +218,11 @@ def kmeans_clusters(spark: SparkSession, posts: DataFrame, k: int = 7, seeds: ra
     from pyspark.ml.functions import array_to_vector
 
     docs = topic_docs(posts)
-    tf = term_counts(docs, None)
-    vocab = materialise_small(vocabulary(tf, docs, None, max_features, 2, None).withColumn(
+    arrays = term_arrays(docs, None)
+    vocab = materialise_small(vocabulary(term_stats(arrays, None), docs, None, max_features, 2, None).withColumn(
         "idx", F.row_number().over(Window.orderBy("term")) - 1), 1_000_000)
     size = vocab.count()
-    w = tf.join(vocab.select("term", "idf", "idx"), "term")
+    w = vocab_counts(arrays, vocab, None).join(vocab.select("term", "idx"), "term")
     raw = F.col("tf") * F.col("idf")
     w = w.select("id", "idx", (raw / F.sqrt(F.sum(raw * raw).over(Window.partitionBy("id")))).alias("w"))
     vec = w.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("_e"))

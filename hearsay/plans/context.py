@@ -28,7 +28,13 @@ class Ctx:
 
     @cached_property
     def posts(self) -> DataFrame:
-        return adapter.posts(self.spark, self.sf_dir)
+        """The clean posts table (the K2 sink's output), written once and read back.
+
+        Every branch (scoring, TF-IDF, keyword matching, labels, checks) then scans Parquet with
+        column pruning instead of re-running the landing join and the dedupe exchange.
+        """
+        rg = int(self.spark.conf.get("hearsay.text.rowGroupBytes", str(4 << 20)))
+        return tables.materialize(adapter.posts(self.spark, self.sf_dir), "posts", row_group_bytes=rg)
 
     @cached_property
     def lexicon(self) -> DataFrame:

@@ -57,7 +57,7 @@ def communities_frame(spark: SparkSession, names: list[str] | None = None) -> Da
     )
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", row_group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     This is the lineage cut used between pipeline stages: a lost executor re-reads the written
@@ -70,5 +70,9 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("errorifexists").parquet(path)
+    w = df.write.mode("errorifexists")
+    if row_group_bytes:
+        # bounded row groups let readers split big files into balanced tasks (CPU-bound text stages)
+        w = w.option("parquet.block.size", str(row_group_bytes))
+    w.parquet(path)
     return spark.read.parquet(path)
