@@ -56,8 +56,8 @@ class Ctx:
 
     @cached_property
     def as_of(self) -> Column:
-        # from the written scored table (narrow), not by re-running the posts pipeline
-        return adapter.as_of(self.scored)
+        # one column of the written posts table: no scoring, no re-run of the landing join
+        return adapter.as_of(self.posts)
 
 
 class Run(Ctx):
