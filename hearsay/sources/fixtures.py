@@ -6,11 +6,6 @@ are bounded (tens of rows) and are turned into broadcastable frames by ``sources
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 # ---------------------------------------------------------------------------------------------
 # FIXED VALUES (must equal the reference's for equal results).
 # Entity taxonomy: family, label and its any-of patterns, in declaration order. Matching is
@@ -102,22 +97,28 @@ BOOSTERS_UP = [
 BOOSTERS_DOWN = ["slightly", "somewhat", "barely", "hardly", "marginally", "little", "less", "partly", "scarcely"]
 
 
-@functools.lru_cache(maxsize=1)
+# Spark ML's default English stop words (StopWordsRemover.loadDefaultStopWords("english")).
+ENGLISH_STOP_WORDS = """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+    herself it its itself they them their theirs themselves what which who whom this that these those am is are
+    was were be been being have has had having do does did doing a an the and but if or because as until while
+    of at by for with about against between into through during before after above below to from up down in out
+    on off over under again further then once here there when where why how all any both each few more most
+    other some such no nor not only own same so than too very s t can will just don should now i'll you'll he'll
+    she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've
+    you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't
+    shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's
+    who's why's would
+""".split()
+
+
 def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list, read from the installed Spark jar.
+    """Spark ML's default English stop-word list (181 words), kept here so that no file is read at import.
 
-    Differs from scikit-learn's 318-word list (181 words; contractions instead of e.g. 'amongst'),
-    which changes which terms survive; callers may pass their own list.
+    Differs from scikit-learn's 318-word list (contractions instead of e.g. 'amongst'), which
+    changes which terms survive; callers may pass their own list.
     """
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = "org/apache/spark/ml/feature/stopwords/english.txt"
-            if name in z.namelist():
-                return tuple(w for w in z.read(name).decode("utf-8").split() if w)
-    raise FileNotFoundError("Spark ML English stop-word list not found")
+    return tuple(ENGLISH_STOP_WORDS)
 
 
 # ---------------------------------------------------------------------------------------------
