@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, shards
+from . import bpe, line_dedup, quality, shards
 from .common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": lambda spark, sf_dir: bpe.report(documents(spark, sf_dir)),
+        "op3_quality_rules": lambda spark, sf_dir: quality.report(documents(spark, sf_dir)),
         "op7_sharding": lambda spark, sf_dir: shards.report(documents(spark, sf_dir)),
         "op10_line_dedup": lambda spark, sf_dir: line_dedup.report(documents(spark, sf_dir)),
     }
