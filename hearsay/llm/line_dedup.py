@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, added, arrow_schema, byte_texts, map_arrow, with_columns
+from .common import SPACE, added, arrow_schema, byte_texts, map_arrow, materialize, with_columns
 
 HASH = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
@@ -61,7 +61,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``text_col`` rewritten, and n_lines (before dropping) and n_dropped (long) added."""
     pairs = line_pairs(docs, id_col, text_col, min_chars)
     held = pairs.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("keeper"))
-    condemned = held.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+    # Written once: the join then has an exchange of its own on either side, so that AQE can split a hot hash.
+    condemned = materialize(held.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "condemned-lines")
     drops = (
         pairs.join(condemned, ["h1", "h2"])
         .filter(~F.col("doc").eqNullSafe(F.col("keeper")))
