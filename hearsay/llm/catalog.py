@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, line_dedup, quality, shards
+from . import bpe, langid, line_dedup, quality, secret_scan, shards
 from .common import documents
 
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": lambda spark, sf_dir: bpe.report(documents(spark, sf_dir)),
         "op3_quality_rules": lambda spark, sf_dir: quality.report(documents(spark, sf_dir)),
+        "op4_secret_scan": lambda spark, sf_dir: secret_scan.report(documents(spark, sf_dir)),
         "op6_language_id": lambda spark, sf_dir: langid.report(documents(spark, sf_dir)),
         "op7_sharding": lambda spark, sf_dir: shards.report(documents(spark, sf_dir)),
         "op10_line_dedup": lambda spark, sf_dir: line_dedup.report(documents(spark, sf_dir)),
