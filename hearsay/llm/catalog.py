@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, line_dedup, lm_score, quality, secret_scan, shards
-from .common import documents
+from . import bpe, decontaminate, langid, line_dedup, lm_score, quality, secret_scan, shards
+from .common import documents, read
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": lambda spark, sf_dir: secret_scan.report(documents(spark, sf_dir)),
         "op6_language_id": lambda spark, sf_dir: langid.report(documents(spark, sf_dir)),
         "op7_sharding": lambda spark, sf_dir: shards.report(documents(spark, sf_dir)),
+        "op8_decontaminate": lambda spark, sf_dir: decontaminate.report(documents(spark, sf_dir), read(spark, sf_dir, "benchmark")),
         "op9_lm_scoring": lambda spark, sf_dir: lm_score.report(documents(spark, sf_dir)),
         "op10_line_dedup": lambda spark, sf_dir: line_dedup.report(documents(spark, sf_dir)),
     }
