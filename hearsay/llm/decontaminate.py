@@ -6,7 +6,8 @@ impact; list and block bounds skip whatever cannot reach ``THRESHOLD``. All item
 retrieved, and each is verified: the shares of the word windows of its question and of its answer (its
 last quarter) that the passage holds must both reach ``OVERLAP``. Passages are windows of words, each
 overlapping the next by half, at least twice as long as the longest item: any copy of an item lies
-whole in one of them.
+whole in one of them. Before the search, a passage is held against the largest impacts of groups of
+items: only one whose bound reaches the threshold in some group is searched.
 
 Defined cases: a null or empty text has no passage and is clean; null or wordless items are left out;
 equal items are each found; an empty benchmark finds nothing; ties don't arise, since all items over the
@@ -23,6 +24,7 @@ import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -35,7 +37,11 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, GRAM, BLOCK = 0.6, 0.6, 5, 64
 MIN_WINDOW = 128
 #: A part of the benchmark holds at most so many items, and so many bytes of text.
-PART_ITEMS, PART_BYTES = 20_000, 16 << 20
+PART_ITEMS, PART_BYTES = 4_096, 16 << 20
+#: Items are bounded together in groups of so many, or in so many groups if those are larger.
+GROUP, MAX_GROUPS = 4, 64
+#: Texts whose passages are bounded at a time.
+TEXTS = 64
 #: Items that occur in no real text by chance need so many words; shorter ones must be held whole.
 SHORT_WORDS = 8
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
@@ -73,6 +79,11 @@ class Index:
         self.impacts = [[p[1] for p in lists[k]] for k in range(len(self.terms))]
         self.block_max = [[max(x[j : j + BLOCK]) for j in range(0, len(x), BLOCK)] for x in self.impacts]
         self.bound = [max(x) for x in self.block_max]
+        each = max(GROUP, -(-n // MAX_GROUPS))
+        self.group_max = np.zeros((len(self.terms), max(1, -(-n // each))), np.float32)
+        for k, (at, x) in enumerate(zip(self.items, self.impacts)):
+            np.maximum.at(self.group_max[k], np.array(at) // each, np.array(x, np.float32))
+        self.half = max(MIN_WINDOW // 2, self.longest)
         self.question = [grams(w[: len(w) - max(1, len(w) // 4)]) for _, w in own]
         self.answer = [grams(w[len(w) - max(1, len(w) // 4) :]) for _, w in own]
         self.short = [len(w) < SHORT_WORDS for _, w in own]
@@ -122,23 +133,53 @@ class Index:
             open_ = [x for x in open_ if x[0] >= 0]
         return out
 
-    def hits(self, text: str | None) -> dict[int, tuple[float, float, float]]:
-        """Item number → (score, question share, answer share) of the verified items."""
-        words = words_of(text)
-        get = self.terms.get
-        ids = [get(w, -1) for w in words]
-        half = max(MIN_WINDOW // 2, self.longest)
-        own = [set(ids[k : k + half]) - {-1} for k in range(0, len(ids), half)]
-        found: dict[int, tuple[float, float, float]] = {}
-        bound = self.bound
-        for k in range(max(1, len(own) - 1) if own else 0):
-            terms = own[k] | own[k + 1] if k + 1 < len(own) else own[k]
-            if sum(map(bound.__getitem__, terms)) < THRESHOLD - 1e-9:
+    def passages(self, texts: list[list[str]]) -> list[list[tuple[int, list[int]]]]:
+        """For each text the passages (number, terms) that can reach the threshold, by the group bounds."""
+        get, half, n_terms = self.terms.get, self.half, max(1, len(self.terms))
+        out: list[list[tuple[int, list[int]]]] = [[] for _ in texts]
+        keys, owner, number = [], [], []
+        for k, words in enumerate(texts):
+            ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+            at = np.flatnonzero(ids >= 0)
+            if not len(at):
                 continue
-            for item, score in self.search(sorted(terms), THRESHOLD):
+            last = max(1, -(-len(words) // half) - 1) - 1  # the last passage's number
+            h = at // half
+            base = len(owner)
+            owner += [k] * (last + 1)
+            number += range(last + 1)
+            for passage in (np.minimum(h, last), np.clip(h - 1, 0, last)):
+                keys.append((base + passage) * n_terms + ids[at])
+        if not keys:
+            return out
+        pairs = np.unique(np.concatenate(keys))
+        passage, term = pairs // n_terms, pairs % n_terms
+        first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+        ends = np.append(first[1:], len(pairs))
+        step = 4096  # passages summed at a time
+        for j in range(0, len(first), step):
+            lo, hi = first[j], ends[min(j + step, len(first)) - 1]
+            bound = np.add.reduceat(self.group_max[term[lo:hi]], first[j : j + step] - lo, axis=0).max(axis=1)
+            for m in np.flatnonzero(bound >= THRESHOLD - 1e-4) + j:
+                p = int(passage[first[m]])
+                out[owner[p]].append((number[p], term[first[m] : ends[m]].tolist()))
+        return out
+
+    def hits(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
+        """For each text: item number → (score, question share, answer share) of the verified items."""
+        out = []
+        for j in range(0, len(texts), TEXTS):
+            words = [words_of(t) for t in texts[j : j + TEXTS]]
+            out += [self._verified(w, p) for w, p in zip(words, self.passages(words))]
+        return out
+
+    def _verified(self, words: list[str], passages: list[tuple[int, list[int]]]) -> dict[int, tuple[float, float, float]]:
+        found: dict[int, tuple[float, float, float]] = {}
+        for k, terms in passages:
+            for item, score in self.search(terms, THRESHOLD):
                 if item in found and found[item][0] >= score:
                     continue
-                passage = words[k * half : (k + 2) * half]
+                passage = words[k * self.half : (k + 2) * self.half]
                 share = []
                 for part in (self.question[item], self.answer[item]):
                     have = {n: grams(passage, n) for n in {len(g) for g in part}}
@@ -172,8 +213,8 @@ def _search_part(docs: DataFrame, index: Index, text_col: str) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         hits = []
-        for text, before in zip(b.column(text_col).to_pylist(), b.column("hits").to_pylist()):
-            new = [{"item_id": index.keys[k], "score": s, "question": q, "answer": a} for k, (s, q, a) in index.hits(text).items()]
+        for found, before in zip(index.hits(b.column(text_col).to_pylist()), b.column("hits").to_pylist()):
+            new = [{"item_id": index.keys[k], "score": s, "question": q, "answer": a} for k, (s, q, a) in found.items()]
             hits.append(sorted((before or []) + new, key=lambda h: h["item_id"]))
         return with_columns(b, out, hits=hits)
 
