@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import materialize, read  # noqa: F401  (re-used by the operators)
@@ -117,9 +118,10 @@ class Powers:
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             m = max(n, 1 << 16)
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate([[1], np.full(m - 1, _BASE, np.uint64)]).astype(np.uint64))
-                self.down = np.cumprod(np.concatenate([[1], np.full(m - 1, pow(_BASE, -1, 2**64), np.uint64)]).astype(np.uint64))
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+                x = np.full(m, base, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.cumprod(x))
         return self.up[:n], self.down[:n]
 
 
@@ -128,20 +130,20 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of ``text`` (runs of bytes that aren't white space), in order."""
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and the length of each word of ``text`` (runs of bytes that aren't white space), in order."""
     b = np.frombuffer(text, np.uint8)
     if not len(b):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     gap = _IS_SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     up, down = _POWERS.of(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), end - start
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -154,3 +156,9 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         x += mix64(words[j : n - k + 1 + j] ^ _LANES[j]) * _LANES[j + 32]
     return mix64(x + np.uint64(k))
+
+
+def blocked(x: DataFrame, id_name: str, size: Column, block_bytes: int) -> DataFrame:
+    """``x`` with ``block``: rows dealt by a hash of their id into blocks of about ``block_bytes`` of ``size``."""
+    total = x.agg(F.sum(size)).first()[0] or 0
+    return x.withColumn("block", F.pmod(F.xxhash64(id_name), F.lit(max(1, -(-total // block_bytes)))).cast("int"))
