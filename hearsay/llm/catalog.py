@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, line_dedup, lm_score, ngram_join, quality, secret_scan, shards
+import corpus_pipeline
+
+from . import bpe, decontaminate, langid, line_dedup, lm_score, ngram_join, quality, secret_scan, shards, suffix_dedup
 from .common import documents, read
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_byte_bpe": lambda spark, sf_dir: bpe.report(documents(spark, sf_dir)),
         "op2_ngram_join": lambda spark, sf_dir: ngram_join.report(documents(spark, sf_dir)),
         "op3_quality_rules": lambda spark, sf_dir: quality.report(documents(spark, sf_dir)),
         "op4_secret_scan": lambda spark, sf_dir: secret_scan.report(documents(spark, sf_dir)),
+        "op5_suffix_dedup": lambda spark, sf_dir: suffix_dedup.report(documents(spark, sf_dir)),
         "op6_language_id": lambda spark, sf_dir: langid.report(documents(spark, sf_dir)),
         "op7_sharding": lambda spark, sf_dir: shards.report(documents(spark, sf_dir)),
         "op8_decontaminate": lambda spark, sf_dir: decontaminate.report(documents(spark, sf_dir), read(spark, sf_dir, "benchmark")),

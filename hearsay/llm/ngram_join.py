@@ -36,10 +36,9 @@ from pyspark.sql import types as T
 
 from .common import arrow_schema, blocked, map_arrow, materialize, shingle_hashes, ship, word_hashes
 from .components import components
+from .shared_keys import answers, bucket_bits, bucket_keys, holds, known
 
 BLOCK_BYTES = 8 << 20
-#: Text bytes for which there is one bucket of column hashes.
-BUCKET_BYTES = 16 << 20
 #: Rows of a group that are multiplied at a time; columns of a dense product; rows from which a column is dense.
 ROWS, COLUMNS, DENSE = 1024, 4096, 48
 
@@ -65,12 +64,6 @@ def quarter(n: int) -> int:
     return -(-n // 4)
 
 
-def column_keys(ids: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket and 32 bits of columns, as one number: bucket highest."""
-    bucket = ids & np.uint64((1 << bits) - 1)
-    return (bucket << np.uint64(32)) | ((ids >> np.uint64(20)) & np.uint64(0xFFFFFFFF))
-
-
 def block_sets(table: pa.Table, k: int, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each text's set and long prefix."""
     sets = [shingles(t or b"", k) for t in table.column("text").cast(pa.binary()).to_pylist()]
@@ -79,36 +72,8 @@ def block_sets(table: pa.Table, k: int, percent: int) -> tuple[list[np.ndarray],
 
 def surviving_sets(x: DataFrame, bits: int, k: int, percent: int) -> DataFrame:
     """(id, n, d1, d2, columns): the set's size and digest, and its columns where it may be linked to another one."""
-    ask_schema = T.StructType.fromDDL("bucket int, block int, keys binary, twice binary")
-    ask_out = arrow_schema(ask_schema)
-
-    def ask(table: pa.Table) -> pa.Table:
-        _, prefixes = block_sets(table, k, percent)
-        keys, n = np.unique(column_keys(np.concatenate(prefixes), bits), return_counts=True)
-        bucket = (keys >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        low, twice = (keys & np.uint64(0xFFFFFFFF)).astype("<u4"), n > 1
-        ends = np.append(first[1:], len(keys))
-        own = table.column("block")[0].as_py()
-        rows = [(int(bucket[a]), own, low[a:b].tobytes(), np.packbits(twice[a:b]).tobytes()) for a, b in zip(first, ends)]
-        return pa.Table.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(ask_out)], schema=ask_out)
-
-    reply_schema = T.StructType.fromDDL("block int, bucket int, shared binary")
-    reply_out = arrow_schema(reply_schema)
-
-    def compare(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(v, "<u4") for v in table.column("keys").to_pylist()]
-        twice = [np.unpackbits(np.frombuffer(v, np.uint8))[: len(p)].astype(np.int64) for v, p in zip(table.column("twice").to_pylist(), parts)]
-        all_keys = np.concatenate(parts)
-        order = np.argsort(all_keys, kind="stable")
-        s = all_keys[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        n = np.add.reduceat(1 + np.concatenate(twice)[order], first)
-        shared = np.empty(len(s), bool)
-        shared[order] = np.repeat(n > 1, np.diff(np.append(first, len(s))))
-        at = np.cumsum([0, *map(len, parts)])
-        bits_of = [np.packbits(shared[a:b]).tobytes() for a, b in zip(at, at[1:])]
-        return pa.Table.from_arrays([table.column("block").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(bits_of, pa.binary())], schema=reply_out)
+    def keys_of(table: pa.Table) -> list[np.ndarray]:
+        return [bucket_keys(p, bits) for p in block_sets(table, k, percent)[1]]
 
     set_schema = T.StructType([x.schema["id"], *T.StructType.fromDDL("n long, d1 long, d2 long, columns binary").fields])
     set_out = arrow_schema(set_schema)
@@ -117,18 +82,11 @@ def surviving_sets(x: DataFrame, bits: int, k: int, percent: int) -> DataFrame:
         if not table.num_rows:
             return set_out.empty_table()
         sets, prefixes = block_sets(table, k, percent)
-        own = [column_keys(p, bits) for p in prefixes]
-        keys = np.unique(np.concatenate(own))
-        marks = dict(zip(reply.column("bucket").to_pylist(), reply.column("shared").to_pylist()))
-        bucket = (keys >> np.uint64(32)).astype(np.int64)
-        size = dict(zip(*(v.tolist() for v in np.unique(bucket, return_counts=True))))
-        shared = [np.unpackbits(np.frombuffer(marks[b], np.uint8))[: size[b]] for b in sorted(size)]
-        known = keys[np.concatenate(shared).astype(bool)] if shared else keys[:0]
+        own = [bucket_keys(p, bits) for p in prefixes]
+        shared = known(own, reply.column("bucket").to_pylist(), reply.column("shared").to_pylist())
         n, d, cols = [], [], []
         for s, p in zip(sets, own):
-            at = np.searchsorted(known, p)
-            at[at == len(known)] = 0
-            stays = len(s) and len(known) and int((known[at] == p).sum()) >= quarter(len(s))
+            stays = len(s) and int(holds(shared, p).sum()) >= quarter(len(s))
             raw = s.astype("<u8").tobytes()
             n.append(len(s))
             d.append(xxhash.xxh3_128_digest(raw))
@@ -136,8 +94,7 @@ def surviving_sets(x: DataFrame, bits: int, k: int, percent: int) -> DataFrame:
         d = np.frombuffer(b"".join(d), "<i8").reshape(-1, 2)
         return pa.Table.from_arrays([table.column("id").combine_chunks().cast(set_out.field(0).type), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(cols, pa.binary())], schema=set_out)
 
-    asked = x.groupBy("block").applyInArrow(ask, ask_schema)
-    replies = asked.groupBy("bucket").applyInArrow(compare, reply_schema)
+    replies = answers(x, keys_of)
     return x.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(answer, set_schema)
 
 
@@ -230,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     x = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = x.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, min(20, (-(-total // BUCKET_BYTES) - 1).bit_length()))
+    bits = bucket_bits(total)
     sets = materialize(surviving_sets(blocked(x, "id", F.octet_length("text"), BLOCK_BYTES), bits, words, percent), "shingle-sets")
     real = sets.filter(F.col("n") > 0)
     same = materialize(real.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "equal-sets")
