@@ -179,7 +179,8 @@ def judged(feats: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distances and kept."""
-    feats = features(docs, text_col)
+    # Written with the rows: a distance reads each count many times, and must not compute it as often.
+    feats = materialize(features(docs, text_col), "quality-features")
     return judged(feats, references(feats, lang_col))
 
 
