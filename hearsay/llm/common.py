@@ -162,3 +162,29 @@ def blocked(x: DataFrame, id_name: str, size: Column, block_bytes: int) -> DataF
     """``x`` with ``block``: rows dealt by a hash of their id into blocks of about ``block_bytes`` of ``size``."""
     total = x.agg(F.sum(size)).first()[0] or 0
     return x.withColumn("block", F.pmod(F.xxhash64(id_name), F.lit(max(1, -(-total // block_bytes)))).cast("int"))
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """(id, text, block) with each text compressed, for the move to its block; and the bytes of all texts."""
+    import zstandard
+
+    x = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    total = x.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    x = x.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    schema = T.StructType([x.schema["id"], T.StructField("text", T.BinaryType()), T.StructField("block", T.IntegerType())])
+    out = arrow_schema(schema)
+
+    def pack(b: pa.RecordBatch) -> pa.RecordBatch:
+        press = zstandard.ZstdCompressor(level=3).compress
+        return with_columns(b, out, text=[press(t) for t in byte_texts(b.column("text"))])
+
+    return map_arrow(x, pack, schema), total
+
+
+def unpacked(table: pa.Table) -> list[bytes]:
+    """The texts of a block's rows, from ``packed``."""
+    import zstandard
+
+    press = zstandard.ZstdDecompressor().decompress
+    return [press(t) for t in table.column("text").to_pylist()]

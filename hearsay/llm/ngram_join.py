@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, blocked, map_arrow, materialize, shingle_hashes, ship, word_hashes
+from .common import arrow_schema, map_arrow, materialize, packed, shingle_hashes, ship, unpacked, word_hashes
 from .components import components
 from .shared_keys import answers, bucket_bits, bucket_keys, holds, known
 
@@ -66,7 +66,7 @@ def quarter(n: int) -> int:
 
 def block_sets(table: pa.Table, k: int, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each text's set and long prefix."""
-    sets = [shingles(t or b"", k) for t in table.column("text").cast(pa.binary()).to_pylist()]
+    sets = [shingles(t, k) for t in unpacked(table)]
     return sets, [s[: len(s) - needed(len(s), percent) + quarter(len(s))] for s in sets]
 
 
@@ -142,8 +142,8 @@ def _count(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     overlap.reshape(-1)[key] += n.astype(np.float32)
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what is linked among the sets (id, columns)."""
+def links(sets: DataFrame, same: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what is linked among the sets (id, d1, d2, columns); of equal ones the named one is compared."""
     prefix_schema = T.StructType([T.StructField("column", T.LongType()), sets.schema["id"]])
     prefix_out = arrow_schema(prefix_schema)
 
@@ -159,10 +159,14 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     least = materialize(least.select("column", "b"), "column-minima")
     near = columns.join(least, "column").select(F.col("id").alias("a"), "b").filter(F.col("a") != F.col("b")).distinct()
     groups = components(near)
-    size = groups.groupBy("component").agg(F.count(F.lit(1)).alias("rows"))
+    # Whole sets move once to meet their group: a narrow table says which rows, and where they go.
+    names = sets.select("id", "d1", "d2").join(same, ["d1", "d2"]).filter(F.col("id") == F.col("rep")).select("id").distinct()
+    plan = materialize(names.join(groups, names["id"] == groups["node"]).select("id", "component"), "groups")
+    size = plan.groupBy("component").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+    plan = plan.join(size, "component")
     cuts = F.ceil(F.col("rows") / ROWS).cast("int")
     dealt = (
-        sets.join(groups, sets["id"] == groups["node"]).join(size, "component")
+        sets.select("id", "columns").join(plan, "id")
         .withColumn("cuts", cuts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
         # a block meets every block of its group: pair (i, j), i <= j; a group of one block is pair (0, 0)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
@@ -185,15 +189,12 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
     ship(docs.sparkSession)
-    x = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = x.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = bucket_bits(total)
-    sets = materialize(surviving_sets(blocked(x, "id", F.octet_length("text"), BLOCK_BYTES), bits, words, percent), "shingle-sets")
+    x, total = packed(docs, id_col, text_col, BLOCK_BYTES)
+    sets = materialize(surviving_sets(x, bucket_bits(total), words, percent), "shingle-sets")
     real = sets.filter(F.col("n") > 0)
     same = materialize(real.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "equal-sets")
-    one = sets.filter(F.col("columns").isNotNull()).select("id", "d1", "d2", "columns").join(same, ["d1", "d2"]).filter(F.col("id") == F.col("rep"))
-    one = materialize(one.select("id", "columns").dropDuplicates(["id"]), "candidates")
-    found = components(links(one, percent).unionByName(_shared_ids(real, same)))
+    candidates = sets.filter(F.col("columns").isNotNull() & F.col("id").isNotNull())
+    found = components(links(candidates, same, percent).unionByName(_shared_ids(real, same)))
     members = sets.select("id", "n", "d1", "d2").join(same, ["d1", "d2"], "left")
     members = members.withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")))
     named = members.join(found, F.col("rep") == F.col("node"), "left")
