@@ -8,7 +8,8 @@ are linked have many common columns among their prefixes, how many follows from
    block; columns that only one document has are marked, and a document whose prefix has fewer than
    ceil(n / 4) shared columns goes: it can't reach the bound with any other.
 2. Equal sets become one row, named by their smallest id.
-3. Rows that share a column of the short prefix (n - ceil(t n) + 1) are gathered by connected components.
+3. Rows that share a column of the short prefix (n - ceil(t n) + 1, columns found frequent last) are gathered
+   by connected components.
 4. In each, the matrix product of the rows' whole sets is accumulated block by block: columns of few rows by
    their pairs, columns of many rows as dense products. Pairs whose overlap is below the bound derived
    from their sizes go; the links that remain are reduced to a forest before they leave the task.
@@ -41,6 +42,8 @@ from .shared_keys import answers, bucket_bits, bucket_keys, holds, known
 BLOCK_BYTES = 8 << 20
 #: Rows of a group that are multiplied at a time; columns of a dense product; rows from which a column is dense.
 ROWS, COLUMNS, DENSE = 1024, 4096, 48
+#: Columns held to be frequent: rows that have one in batches of so many rows, and how many columns at most (1.6 MB).
+FREQUENT, FREQUENT_BATCH, FREQUENT_COLUMNS = 4, 2000, 200_000
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -142,14 +145,34 @@ def _count(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     overlap.reshape(-1)[key] += n.astype(np.float32)
 
 
+def frequent_columns(sets: DataFrame) -> np.ndarray:
+    """Columns that many of the sets have, sorted: two of a batch's rows or more, and ``FREQUENT`` such rows in all.
+
+    They come last in the order of columns. Any list gives the same links; with this one, a passage in many
+    documents doesn't gather them. So its length may be bounded: FREQUENT_COLUMNS, the most frequent.
+    """
+    schema = T.StructType.fromDDL("column long, n long")
+    out = arrow_schema(schema)
+
+    def count(b: pa.RecordBatch) -> pa.RecordBatch:
+        raw = b"".join({*b.column(0).to_pylist()})  # equal sets count once
+        keys, n = np.unique(np.frombuffer(raw, "<u8"), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view("<i8")), pa.array(n[n > 1].astype(np.int64))], schema=out)
+
+    seen = map_arrow(sets.select("columns"), count, schema, rows=FREQUENT_BATCH).groupBy("column").agg(F.sum("n").alias("n"))
+    most = seen.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "column").limit(FREQUENT_COLUMNS).collect()
+    return np.sort(np.array([r[0] for r in most], np.int64).view(np.uint64))
+
+
 def links(sets: DataFrame, same: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect what is linked among the sets (id, d1, d2, columns); of equal ones the named one is compared."""
+    frequent = frequent_columns(sets)
     prefix_schema = T.StructType([T.StructField("column", T.LongType()), sets.schema["id"]])
     prefix_out = arrow_schema(prefix_schema)
 
     def prefixes(b: pa.RecordBatch) -> pa.RecordBatch:
         cols = [np.frombuffer(c, "<u8") for c in b.column("columns").to_pylist()]
-        cols = [c[: len(c) - needed(len(c), percent) + 1] for c in cols]
+        cols = [np.concatenate([c[~f], c[f]])[: len(c) - needed(len(c), percent) + 1] for c in cols for f in [holds(frequent, c)]]
         at = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
         flat = np.concatenate([c.view("<i8") for c in cols]) if cols else np.zeros(0, "<i8")
         return pa.RecordBatch.from_arrays([pa.array(flat), b.column("id").take(pa.array(at, pa.int64()))], schema=prefix_out)
