@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,9 +91,6 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
 
-    def ends(self, text: str) -> list[int]:
-        return list(accumulate(map(len, self.split(text))))
-
 
 def cut(text: str, size: int, overlap: int) -> Iterator[tuple[int, str, str]]:
     """(chunk number, its own text, the overlap that follows)."""
@@ -155,39 +154,50 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     # Long texts. The key is the row's id and text; equal rows share their chunks and are counted.
     key = F.struct(F.col(id_col).cast("string").alias("id"), F.sha2(F.col(text_col), 256).alias("sha"))
     long = docs.filter(size > chunk_chars).withColumn("__key", F.to_json(key))
-    chunk_schema = T.StructType.fromDDL("key string, k int, body string, after string, ends array<int>")
-    cut_out = arrow_schema(T.StructType(chunk_schema.fields[:4]))
+    chunk_schema = T.StructType.fromDDL("key string, k int, body string, after string")
+    split_schema = T.StructType.fromDDL("key string, k int, packed binary, n_after int, sizes binary")
+    cut_out = arrow_schema(chunk_schema)
 
     def chunks(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(x, *c) for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for c in cut(t, chunk_chars, overlap_chars)]
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(cut_out)], schema=cut_out)
 
-    split_out = arrow_schema(chunk_schema)
+    split_out = arrow_schema(split_schema)
 
     def split(b: pa.RecordBatch) -> pa.RecordBatch:
         codec = Codec.of(ranks, pattern)
-        ends = [codec.ends(x + y) for x, y in zip(b.column("body").to_pylist(), b.column("after").to_pylist())]
-        return with_columns(b, split_out, ends=ends)
+        body, after = b.column("body").to_pylist(), b.column("after").to_pylist()
+        press = zstandard.ZstdCompressor(level=3).compress
+        sizes = [press(np.array([len(p) for p in codec.split(x + y)], "<u4").tobytes()) for x, y in zip(body, after)]
+        return with_columns(b, split_out, packed=[press(x.encode()) for x in body], n_after=[len(y) for y in after], sizes=sizes)
 
     texts = long.select(F.col("__key").alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
     pieces = map_arrow(
-        map_arrow(texts, chunks, T.StructType(chunk_schema.fields[:4]), rows=16).repartition(F.col("key"), F.col("k")),
-        split, chunk_schema, rows=64,
+        map_arrow(texts, chunks, chunk_schema, rows=16).repartition(F.col("key"), F.col("k")),
+        split, split_schema, rows=64,
     )
-    id_fields = T.StructType([T.StructField("__key2", T.StringType()), *(T.StructField(k, v) for k, v in new.items())])
+    id_fields = T.StructType.fromDDL("__key2 string, __ids binary")
 
     def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        codec = Codec.of(ranks, pattern)
+        codec, open_ = Codec.of(ranks, pattern), zstandard.ZstdDecompressor().decompress
         pdf = pdf.sort_values("k")
-        text, at, own = "".join(pdf["body"]), 0, []
-        for body, after, ends in zip(pdf["body"], pdf["after"], pdf["ends"]):
-            own.append((at, at + len(body) + len(after), list(ends)))
+        bodies, at, own = [open_(x).decode() for x in pdf["packed"]], 0, []
+        for body, n_after, sizes in zip(bodies, pdf["n_after"], pdf["sizes"]):
+            own.append((at, at + len(body) + n_after, np.cumsum(np.frombuffer(open_(sizes), "<u4"), dtype=np.int64).tolist()))
             at += len(body)
-        ids = codec.encode(stitch(codec, text, own))
-        return pd.DataFrame({"__key2": [pdf["key"].iloc[0]], "ids": [ids]} | ({"decoded": [codec.decode(ids)]} if decode else {}))
+        ids = codec.encode(stitch(codec, "".join(bodies), own))
+        return pd.DataFrame({"__key2": [pdf["key"].iloc[0]], "__ids": [zstandard.ZstdCompressor(level=3).compress(np.array(ids, "<u4").tobytes())]})
+
+    def unpack(b: pa.RecordBatch) -> pa.RecordBatch:
+        codec, open_ = Codec.of(ranks, pattern), zstandard.ZstdDecompressor().decompress
+        ids = [np.frombuffer(open_(x), "<u4").tolist() for x in b.column("__ids").to_pylist()]
+        cols = {"ids": pa.array(ids, out.field("ids").type)}
+        if decode:
+            cols["decoded"] = pa.array([codec.decode(x) for x in ids], out.field("decoded").type)
+        return with_columns(b, out, **cols)
 
     encoded = pieces.groupBy("key").applyInPandas(join_up, id_fields)
-    joined = long.drop(*new).join(encoded, F.col("__key") == F.col("__key2")).select(*[F.col(f.name) for f in schema.fields])
+    joined = map_arrow(long.drop(*new).join(encoded, F.col("__key") == F.col("__key2")).drop("__key", "__key2"), unpack, schema, rows=64)
     return short.unionByName(joined)
 
 
