@@ -121,13 +121,13 @@ def top_engagement(scored: DataFrame, k: int = 10) -> DataFrame:
             .orderBy(F.col("engagement").desc(), "id").limit(k))
 
 
-def product_detail(scored: DataFrame, sentiments: DataFrame, k_issues: int = 3) -> DataFrame:
-    """Per product its most common issues (top ``k``) and the communities it appears in."""
+def product_detail(scored: DataFrame, sentiments: DataFrame) -> DataFrame:
+    """Per product all its issues, most common first, and the communities it appears in."""
     p = scored.where(F.col("primary_product").isNotNull())
     issues = (p.select("primary_product", F.explode("entities.issues").alias("issue"))
               .groupBy("primary_product", "issue").agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("primary_product").orderBy(F.col("n").desc(), "issue")
-    top = (issues.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k_issues)
+    top = (issues.withColumn("_r", F.row_number().over(w))
            .groupBy("primary_product").agg(F.sort_array(F.collect_list(F.struct("_r", "issue"))).alias("_i"))
            .select("primary_product", F.transform("_i", lambda s: s["issue"]).alias("common_issues")))
     comms = (p.select("primary_product", "subreddit").distinct().groupBy("primary_product")

@@ -117,10 +117,10 @@ def _epoch_to_ts(r: Run) -> DataFrame:
 
 @plan("combine_text")
 def _combine_text(r: Run) -> DataFrame:
-    """The scoring text and the topics text (lengths and 40-char heads)."""
+    """The scoring text and the topics text (lengths and digests of the whole texts)."""
     s, t = tx.combine_for_scoring(), tx.combine_for_topics()
     return r.posts.select("id", F.length(s).alias("scoring_len"), F.length(t).alias("topics_len"),
-                          F.substring(s, 1, 40).alias("scoring_head"), F.substring(t, 1, 40).alias("topics_head"))
+                          F.sha2(s.cast("binary"), 256).alias("scoring_sha256"), F.sha2(t.cast("binary"), 256).alias("topics_sha256"))
 
 
 @plan("entity_tags")
@@ -209,7 +209,8 @@ def _unscored_posts(r: Run) -> DataFrame:
 def _enrich_update(r: Run) -> DataFrame:
     """K6: entities and primary product set by id on the posts table."""
     e = sk.enrich_update(r.posts.select("id", "subreddit"), r.scored.select("id", "entities", "primary_product"))
-    return e.select("id", F.col("entities.vehicles").alias("vehicles"), F.col("entities.issues").alias("issues"),
+    return e.select("id", F.col("entities.vehicles").alias("vehicles"),
+                    F.col("entities.energy_products").alias("energy_products"), F.col("entities.issues").alias("issues"),
                     "primary_product")
 
 
@@ -217,7 +218,7 @@ def _enrich_update(r: Run) -> DataFrame:
 def _lake_partitions(r: Run) -> DataFrame:
     """Posts written as a year/month/day/hour Parquet lake; rows per partition read back."""
     root = os.path.join(sk.table_root(r.spark, "lake"), uuid.uuid4().hex)
-    sk.lake_write(r.posts.drop("selftext"), root)
+    sk.lake_write(r.posts, root)
     return sk.lake_counts(r.spark, root)
 
 

@@ -78,9 +78,9 @@ SELECT doc_id * 2 AS msg_offset, doc_id, concat('p', doc_id) AS id,
   event_id % 2 = 0 AS is_self,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS link_flair_text,
   event_id AS _e
-FROM (SELECT d.doc_id, d.text, e.event_id, e.ts, e.user_id, e.event_type, e.value, e.props,
-             concat('r/c', d.doc_id % 7, '/comments/p', d.doc_id, '/') AS _path
-      FROM documents d JOIN events e ON d.doc_id = e.event_id)""")
+FROM (SELECT e.event_id AS doc_id, d.text, e.event_id, e.ts, e.user_id, e.event_type, e.value, e.props,
+             concat('r/c', e.event_id % 7, '/comments/p', e.event_id, '/') AS _path
+      FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id)""")
 
 _MSG = "id, title, selftext, author, subreddit, created_utc, score, num_comments, url, permalink, upvote_ratio, is_self, link_flair_text"
 cte("landing", ["_base"], f"""

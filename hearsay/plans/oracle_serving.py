@@ -79,7 +79,7 @@ LEFT JOIN (SELECT primary_product, list(issue ORDER BY r) AS common_issues FROM
                SELECT primary_product, issue, count(*) AS n FROM (
                  SELECT primary_product, unnest(issues) AS issue FROM scored_c WHERE primary_product IS NOT NULL)
                GROUP BY primary_product, issue))
-           WHERE r <= 3 GROUP BY primary_product) i ON p.primary_product = i.primary_product
+           GROUP BY primary_product) i ON p.primary_product = i.primary_product
 LEFT JOIN (SELECT primary_product, list(DISTINCT subreddit ORDER BY subreddit) AS related_subreddits FROM scored_c
            WHERE primary_product IS NOT NULL GROUP BY primary_product) c ON p.primary_product = c.primary_product""",
                                "products", "scored_c"))
@@ -146,8 +146,8 @@ register("date_parts", sql(f"""
 SELECT id, CAST(ingested_at AS DATE) AS ingest_date, hour(created_utc) AS hour,
        {mins_between('ingested_at', 'created_utc')} AS ingest_lag_minutes FROM posts""", "posts"))
 register("combine_text", sql(f"""
-SELECT id, length({COMBINED}) AS scoring_len, length(t) AS topics_len, substring({COMBINED}, 1, 40) AS scoring_head,
-       substring(t, 1, 40) AS topics_head
+SELECT id, length({COMBINED}) AS scoring_len, length(t) AS topics_len, sha256({COMBINED}) AS scoring_sha256,
+       sha256(t) AS topics_sha256
 FROM (SELECT *, CASE WHEN selftext IS NOT NULL AND length(selftext) > 0 THEN concat(title, ' ', selftext) ELSE title END AS t
       FROM posts)""", "posts"))
 register("epoch_to_ts", sql("""
@@ -233,7 +233,7 @@ register("unscored_posts", sql(f"""
 SELECT p.id, p.subreddit, p.minute FROM posts p WHERE p.ingested_at >= {AS_OF} - INTERVAL 24 HOUR
 AND NOT EXISTS (SELECT 1 FROM scored_c s WHERE s.ingested_at < {AS_OF} - INTERVAL 24 HOUR AND s.subreddit = p.subreddit
                 AND s.minute = p.minute)""", "posts", "scored_c", "as_of"))
-register("enrich_update", sql("SELECT id, vehicles, issues, primary_product FROM scored_c", "scored_c"))
+register("enrich_update", sql("SELECT id, vehicles, energy_products, issues, primary_product FROM scored_c", "scored_c"))
 register("lake_partitions", sql("""
 SELECT year(created_utc) AS year, month(created_utc) AS month, day(created_utc) AS day, hour(created_utc) AS hour, count(*) AS rows
 FROM posts GROUP BY 1, 2, 3, 4""", "posts"))

@@ -1,8 +1,9 @@
 """The ``posts`` adapter: community posts derived from the driver's ``documents`` and ``events``.
 
-One message per document, joined 1:1 on ``doc_id = event_id`` (FIXTURES.md §4), plus replayed
-copies (every tenth document, arriving 45 minutes later with a higher score) and invalid rows
-(null author, empty title). ``landing`` is the raw message log as it arrives from the topic;
+One message per event, its body the document of the same number (``doc_id = event_id``, FIXTURES.md §4);
+an event without a document is a title-only post (NULL ``selftext``). Replayed copies (every tenth
+event, arriving 45 minutes later with a higher score) and invalid rows (null author, empty title)
+are part of the log. ``landing`` is the raw message log as it arrives from the topic;
 ``posts`` is the clean table: required fields present, first write wins per id, permalink built.
 """
 
@@ -38,9 +39,9 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw message log: (msg_offset, 14 message fields). Contains copies and invalid rows."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    j = docs.join(ev, docs.doc_id == ev.event_id, "inner")
+    j = ev.join(docs, docs.doc_id == ev.event_id, "left")
 
-    d, e = F.col("doc_id"), F.col("event_id")
+    d = e = F.col("event_id")
     phrase_no = F.when(d % 61 < 13, d % 61).otherwise(F.lit(9))
     title = F.when(d % 41 == 0, F.lit("")).otherwise(F.element_at(F.array(*[F.lit(p) for p in fx.PHRASES]), (phrase_no + 1).cast("int")))
     minute_off = F.when(F.hour("ts") % 8 == 0, F.lit(0)).otherwise(e % 10)

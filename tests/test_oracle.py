@@ -50,8 +50,18 @@ def test_matches_duckdb(spark, duck, key):
 
 def test_every_query_has_sql_or_is_rows_only():
     from hearsay.plans import catalog
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == catalog.ROWS_ONLY
+    missing = set(catalog.PLANS) - set(E.oracle_sql())
+    assert missing == catalog.ROWS_ONLY and set(E.queries()) >= set(catalog.PLANS)
+
+
+def test_no_event_is_left_out(spark):
+    """Every event is a message, with or without a document; what has none is a title-only post."""
+    from hearsay.sources import adapter, tables
+    log = adapter.landing(spark, SMOKE)
+    events, docs = (tables.read(spark, SMOKE, t) for t in ("events", "documents"))
+    assert log.select("id").distinct().count() == events.select("event_id").distinct().count()
+    bare = log.where("selftext IS NULL").select("id").distinct().count()
+    assert bare == events.join(docs.where("text IS NOT NULL"), events.event_id == docs.doc_id, "left_anti").count() > 0
 
 
 def test_entry_returns_rows(spark):
