@@ -8,8 +8,9 @@ are linked have many common columns among their prefixes, how many follows from
    block; columns that only one document has are marked, and a document whose prefix has fewer than
    ceil(n / 4) shared columns goes: it can't reach the bound with any other.
 2. Equal sets become one row, named by their smallest id.
-3. Rows that share a column of the short prefix (n - ceil(t n) + 1, columns found frequent last) are gathered
-   by connected components.
+3. Rows are gathered by connected components over keys: the runs of ``RUN`` columns that follow each other, in
+   the order with columns found frequent last. Linked sets differ in few columns, so a run of common ones
+   stands early in both (``gathering_keys``); sets that only share a passage have such a run by chance alone.
 4. In each, the matrix product of the rows' whole sets is accumulated block by block: columns of few rows by
    their pairs, columns of many rows as dense products. Pairs whose overlap is below the bound derived
    from their sizes go; the links that remain are reduced to a forest before they leave the task.
@@ -40,6 +41,8 @@ from .components import components
 from .shared_keys import answers, bucket_bits, bucket_keys, holds, known
 
 BLOCK_BYTES = 8 << 20
+#: Columns in a run, for similarities of RUN_PERCENT and more (below it, runs needn't exist: single columns).
+RUN, RUN_PERCENT = 3, 75
 #: Rows of a group that are multiplied at a time; columns of a dense product; rows from which a column is dense.
 ROWS, COLUMNS, DENSE = 1024, 4096, 48
 #: Columns held to be frequent: rows that have one in batches of so many rows, and how many columns at most (1.6 MB).
@@ -67,6 +70,27 @@ def quarter(n: int) -> int:
     return -(-n // 4)
 
 
+def gathering_keys(columns: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set in its order, of which linked sets have one in common; ``shared``: columns that another set may have.
+
+    Let i columns be common to two linked sets and d be in one of them only: d <= i (1 - t) / t. Each run of fewer
+    than r common columns ends at one of the d, so a run of r is complete after (r - 1) d + r common columns, if there
+    are as many. In a set of n that is within r (1 - t) n + r columns. Sets so small that i may be less send single
+    columns of their short prefix too.
+    """
+    n, r = len(columns), RUN if percent >= RUN_PERCENT else 1
+    enough = -(-r * percent // (percent - (r - 1) * (100 - percent)))
+    out = []
+    if r > 1 and n >= r:
+        end = min(n, r * (100 - percent) * n // 100 + r)
+        common = np.lib.stride_tricks.sliding_window_view(shared[:end], r).all(axis=1)
+        out.append(shingle_hashes(columns[:end], r)[common])
+    if r == 1 or n * percent < 100 * enough:
+        short = n - needed(n, percent) + 1
+        out.append(columns[:short][shared[:short]])
+    return np.concatenate(out) if out else columns[:0]
+
+
 def block_sets(table: pa.Table, k: int, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each text's set and long prefix."""
     sets = [shingles(t, k) for t in unpacked(table)]
@@ -74,11 +98,12 @@ def block_sets(table: pa.Table, k: int, percent: int) -> tuple[list[np.ndarray],
 
 
 def surviving_sets(x: DataFrame, bits: int, k: int, percent: int) -> DataFrame:
-    """(id, n, d1, d2, columns): the set's size and digest, and its columns where it may be linked to another one."""
+    """(id, n, d1, d2, columns, marks): size and digest of the set; its columns, and which of its long prefix other
+    rows have too (a bit each), where it may be linked to another one."""
     def keys_of(table: pa.Table) -> list[np.ndarray]:
         return [bucket_keys(p, bits) for p in block_sets(table, k, percent)[1]]
 
-    set_schema = T.StructType([x.schema["id"], *T.StructType.fromDDL("n long, d1 long, d2 long, columns binary").fields])
+    set_schema = T.StructType([x.schema["id"], *T.StructType.fromDDL("n long, d1 long, d2 long, columns binary, marks binary").fields])
     set_out = arrow_schema(set_schema)
 
     def answer(table: pa.Table, reply: pa.Table) -> pa.Table:
@@ -87,15 +112,17 @@ def surviving_sets(x: DataFrame, bits: int, k: int, percent: int) -> DataFrame:
         sets, prefixes = block_sets(table, k, percent)
         own = [bucket_keys(p, bits) for p in prefixes]
         shared = known(own, reply.column("bucket").to_pylist(), reply.column("shared").to_pylist())
-        n, d, cols = [], [], []
+        n, d, cols, marks = [], [], [], []
         for s, p in zip(sets, own):
-            stays = len(s) and int(holds(shared, p).sum()) >= quarter(len(s))
+            mark = holds(shared, p)
+            stays = len(s) and int(mark.sum()) >= quarter(len(s))
             raw = s.astype("<u8").tobytes()
             n.append(len(s))
             d.append(xxhash.xxh3_128_digest(raw))
             cols.append(raw if stays else None)
+            marks.append(np.packbits(mark).tobytes() if stays else None)
         d = np.frombuffer(b"".join(d), "<i8").reshape(-1, 2)
-        return pa.Table.from_arrays([table.column("id").combine_chunks().cast(set_out.field(0).type), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(cols, pa.binary())], schema=set_out)
+        return pa.Table.from_arrays([table.column("id").combine_chunks().cast(set_out.field(0).type), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(cols, pa.binary()), pa.array(marks, pa.binary())], schema=set_out)
 
     replies = answers(x, keys_of)
     return x.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(answer, set_schema)
@@ -165,19 +192,25 @@ def frequent_columns(sets: DataFrame) -> np.ndarray:
 
 
 def links(sets: DataFrame, same: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what is linked among the sets (id, d1, d2, columns); of equal ones the named one is compared."""
+    """Edges (a, b) that connect what is linked among the sets (id, d1, d2, columns, marks); of equal ones the named one is compared."""
     frequent = frequent_columns(sets)
     prefix_schema = T.StructType([T.StructField("column", T.LongType()), sets.schema["id"]])
     prefix_out = arrow_schema(prefix_schema)
 
-    def prefixes(b: pa.RecordBatch) -> pa.RecordBatch:
-        cols = [np.frombuffer(c, "<u8") for c in b.column("columns").to_pylist()]
-        cols = [np.concatenate([c[~f], c[f]])[: len(c) - needed(len(c), percent) + 1] for c in cols for f in [holds(frequent, c)]]
+    def keys(b: pa.RecordBatch) -> pa.RecordBatch:
+        cols = []
+        for raw, marks in zip(b.column("columns").to_pylist(), b.column("marks").to_pylist()):
+            c = np.frombuffer(raw, "<u8")
+            shared = np.ones(len(c), bool)
+            prefix = len(c) - needed(len(c), percent) + quarter(len(c))
+            shared[:prefix] = np.unpackbits(np.frombuffer(marks, np.uint8))[: len(shared[:prefix])]
+            order = np.argsort(holds(frequent, c), kind="stable")
+            cols.append(gathering_keys(c[order], shared[order], percent))
         at = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
         flat = np.concatenate([c.view("<i8") for c in cols]) if cols else np.zeros(0, "<i8")
         return pa.RecordBatch.from_arrays([pa.array(flat), b.column("id").take(pa.array(at, pa.int64()))], schema=prefix_out)
 
-    columns = map_arrow(sets, prefixes, prefix_schema)
+    columns = map_arrow(sets, keys, prefix_schema)
     least = columns.groupBy("column").agg(F.min("id").alias("b"), F.max("id").alias("most")).filter(F.col("b") < F.col("most"))
     least = materialize(least.select("column", "b"), "column-minima")
     near = columns.join(least, "column").select(F.col("id").alias("a"), "b").filter(F.col("a") != F.col("b")).distinct()

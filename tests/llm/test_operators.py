@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -105,6 +106,26 @@ def test_ngram_join_blocks(docs, rows, monkeypatch):
     assert {i: r.component_id for i, r in got(ngram_join.report(docs)).items()} == comp
 
 
+@pytest.mark.parametrize("pct", [60, 75, 80, 85, 95])
+def test_linked_sets_share_a_gathering_key(pct):
+    """Linked sets of all sizes, differing at random places, at the front, or evenly."""
+    rng = np.random.default_rng(pct)
+    linked = 0
+    for trial in range(3000):
+        n = int(rng.integers(1, 120))
+        order = np.sort(rng.choice(10**6, n, replace=False)).astype(np.uint64)
+        most = n * (100 - pct) // 100
+        for gone in (rng.choice(n, most, replace=False), np.arange(most), np.arange(most) * (n // max(1, most)), np.arange(most) * min(3, n // max(1, most))):
+            side = rng.integers(0, 2, len(gone)).astype(bool) if trial % 2 else np.zeros(len(gone), bool)
+            x, y = np.delete(order, gone[side]), np.delete(order, gone[~side])
+            both = len(np.intersect1d(x, y))
+            if both and 100 * both >= pct * len(np.union1d(x, y)):
+                linked += 1
+                a, b = (ngram_join.gathering_keys(s, np.ones(len(s), bool), pct) for s in (x, y))
+                assert np.intersect1d(a, b).size
+    assert linked > 3000
+
+
 def test_quality(docs, rows):
     out = got(quality.report(docs))
     for i, t in rows:
