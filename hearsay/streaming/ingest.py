@@ -8,8 +8,10 @@ Pipeline (two queries, a Parquet table between them):
    same relational scoring/tagging as the batch path, lexicon broadcast) written to
    ``scored/batch_id=N`` with dynamic partition overwrite, so a replayed micro-batch rewrites
    its own partition (X7/X9: at-least-once delivery + idempotent sink). The checkpoint
-   replaces the consumer's offset commit.
-2. ``minute_rollup_stream``: reads the scored table as a stream, watermark 10 minutes,
+   replaces the consumer's offset commit. Messages that can't be decoded or lack a required
+   field go to ``quarantine/batch_id=N`` with their text and the reason, by a query of its own.
+2. ``minute_rollup_stream``: reads the scored table as a stream, watermark 10 minutes, one row
+   per id (a rewritten partition is new files to a file stream; its ids are known and count once),
    1-minute tumbling windows per community (X2/X3); append mode emits a window once the
    watermark passes it; later rows for a closed window are dropped (X8).
 
@@ -47,10 +49,10 @@ def file_source(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame
     return spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
 
 
-def parse(raw: DataFrame) -> DataFrame:
+def parse(raw: DataFrame, keep_value: bool = False) -> DataFrame:
     """Decode the message JSON; ISO strings become timestamps (NULL when malformed)."""
     m = F.from_json(F.col("value"), MESSAGE_SCHEMA)
-    p = raw.select(m.alias("m")).select("m.*")
+    p = raw.select("value", m.alias("m")).select(*(["value"] if keep_value else []), "m.*")
     return (p.withColumn("created_utc", F.try_to_timestamp("created_utc"))
             .withColumn("ingested_at", F.try_to_timestamp("ingested_at")))
 
@@ -59,6 +61,15 @@ def valid(parsed: DataFrame) -> Column:
     return adapter.required_present(parsed)
 
 
+def rejected(raw: DataFrame) -> DataFrame:
+    """Messages that ``valid`` turns down: (value, reason), the reason naming the missing fields."""
+    p = parse(raw, keep_value=True)
+    missing = F.concat_ws(", ", *[F.when(F.col(f).isNull(), F.lit(f)) for f in adapter.REQUIRED_FIELDS])
+    undecoded = F.coalesce(F.expr("try_parse_json(value)").isNull(), F.lit(True))
+    reason = F.when(undecoded, F.lit("not JSON")).otherwise(F.concat(F.lit("missing: "), missing))
+    return p.where(~valid(p)).select("value", reason.alias("reason"))
+
+
 def deduped(parsed: DataFrame) -> DataFrame:
     """Valid rows, event-time watermark, first arrival per id kept within the watermark."""
     return parsed.where(valid(parsed)).withWatermark("created_utc", WATERMARK).dropDuplicatesWithinWatermark(["id"])
@@ -87,11 +98,30 @@ def ingest(raw: DataFrame, out_dir: str, checkpoint: str, lexicon_rows=None, ava
     return w.start()
 
 
+def quarantine(raw: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True, interval: str = "5 seconds"):
+    """Start the query that keeps rejected messages, a partition per batch; returns the StreamingQuery."""
+
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_dir))
+
+    w = rejected(raw).writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    return w.start()
+
+
+def error_counts(quarantined: DataFrame) -> DataFrame:
+    """Rejected messages by batch and reason."""
+    return quarantined.groupBy("batch_id", "reason").agg(F.count(F.lit(1)).alias("messages"))
+
+
 def minute_rollup_stream(spark: SparkSession, scored_dir: str, schema) -> DataFrame:
     """1-minute tumbling windows per community over the scored table, as a stream."""
-    s = (spark.readStream.schema(schema).parquet(scored_dir)
+    # A replay deletes the files of its batch and writes the same rows anew: a missing file isn't a loss.
+    s = (spark.readStream.schema(schema).option("ignoreMissingFiles", True).parquet(scored_dir)
          .withColumn("event_time", F.col("created_utc").cast("timestamp")))
-    g = s.withWatermark("event_time", WATERMARK).groupBy(F.window("event_time", "1 minute"), "subreddit").agg(
+    once = s.withWatermark("event_time", WATERMARK).dropDuplicatesWithinWatermark(["id"])
+    g = once.groupBy(F.window("event_time", "1 minute"), "subreddit").agg(
         F.count(F.lit(1)).alias("posts_count"),
         F.sum(ru.units("compound")).alias("score_units"),
         F.count_if(F.col("category") == "positive").alias("positive_count"),
@@ -122,12 +152,14 @@ def run_pipeline(spark: SparkSession, landing: DataFrame, root: str, slices: int
         part = msgs.where((F.col("_t") >= lo + i * step) & (F.col("_t") < lo + (i + 1) * step)).select("value")
         part.write.mode("append").text(src)
         ingest(file_source(spark, src, max_files=1 << 30), scored_dir, ckpt).awaitTermination()
+    bad_dir = os.path.join(root, "quarantine")
+    quarantine(file_source(spark, src, max_files=1 << 30), bad_dir, os.path.join(root, "ckpt_quarantine")).awaitTermination()
     schema = spark.read.parquet(scored_dir).drop("batch_id").schema
     rolled = minute_rollup_stream(spark, scored_dir, schema)
     rq = (rolled.writeStream.outputMode("append").format("parquet").option("path", os.path.join(root, "minutes"))
           .option("checkpointLocation", os.path.join(root, "ckpt_minutes")).trigger(availableNow=True).start())
     rq.awaitTermination()
-    return {"in": src, "scored": scored_dir, "minutes": os.path.join(root, "minutes")}
+    return {"in": src, "scored": scored_dir, "quarantine": bad_dir, "minutes": os.path.join(root, "minutes")}
 
 
 def anomaly_batch(minutes_stream_table: DataFrame, baseline: DataFrame, threshold: float = 2.0) -> DataFrame:

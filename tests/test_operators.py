@@ -157,3 +157,49 @@ def test_stream_drops_rows_behind_watermark(spark, tmp_path):
     ids = sorted(r.id for r in spark.read.parquet(out).select("id").collect())
     # p3 is 25 min behind the 12:20 watermark → dropped; p4 on time; the p2 replay is a duplicate
     assert ids == ["p1", "p2", "p4"]
+
+
+def _message(k: int, minute: int, **changed):
+    import json
+
+    m = {"id": f"p{k}", "title": "Love my Model 3", "selftext": None, "author": "u1", "subreddit": "c1",
+         "created_utc": f"2024-01-01T00:{minute:02d}:00", "score": 1, "num_comments": 0, "url": "", "permalink": "",
+         "upvote_ratio": 0.5, "is_self": True, "link_flair_text": None, "ingested_at": f"2024-01-01T00:{minute:02d}:30"}
+    return json.dumps(m | changed)
+
+
+def test_replayed_batch_counts_once(spark, tmp_path):
+    from hearsay.streaming import ingest as st
+
+    src, scored, minutes = (str(tmp_path / x) for x in ("in", "scored", "minutes"))
+    raw = spark.createDataFrame([(_message(k, 0),) for k in range(3)], "value string")
+    sink = st._enrich_batch(scored, None)
+    batch = st.parse(raw)
+    sink(batch, 0)
+    schema = spark.read.parquet(scored).drop("batch_id").schema
+
+    def roll():
+        (st.minute_rollup_stream(spark, scored, schema).writeStream.outputMode("append").format("parquet")
+         .option("path", minutes).option("checkpointLocation", src).trigger(availableNow=True).start().awaitTermination())
+
+    roll()
+    sink(batch, 0)  # the same batch once more: its partition is rewritten
+    roll()
+    sink(st.parse(spark.createDataFrame([(_message(9, 50),)], "value string")), 1)
+    roll()
+    roll()
+    rows = [(r.minute.minute, r.posts_count) for r in spark.read.parquet(minutes).collect()]
+    assert rows == [(0, 3)]
+
+
+def test_bad_messages_are_kept_with_their_reason(spark, tmp_path):
+    from hearsay.streaming import ingest as st
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "bad")
+    lines = [_message(1, 0), "not a message", _message(2, 0, author=None), _message(3, 0, id=None, title=None)]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(src)
+    st.quarantine(st.file_source(spark, src, max_files=1 << 30), out, str(tmp_path / "ckpt")).awaitTermination()
+    bad = spark.read.parquet(out)
+    assert {(r.value, r.reason) for r in bad.collect()} == {
+        ("not a message", "not JSON"), (lines[2], "missing: author"), (lines[3], "missing: id, title")}
+    assert sum(r.messages for r in st.error_counts(bad).collect()) == 3
