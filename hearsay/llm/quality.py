@@ -143,25 +143,32 @@ def references(feats: DataFrame, lang_col: str = "lang") -> dict[str, tuple[list
     return out
 
 
-def _distance(bins: list[Column], reference: list[float]) -> Column:
-    """Jensen-Shannon distance of a histogram of counts to a reference of shares."""
-    total = bins[0]
-    for b in bins[1:]:
-        total = total + b
-    out = F.lit(0.0)
-    for b, q in zip(bins, reference):
-        p = b / F.greatest(total, F.lit(1.0))
-        m = (p + F.lit(q)) / 2
-        out = out + F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-        if q > 0:
-            out = out + F.lit(q) * F.log2(F.lit(q) / m)
-    return F.sqrt(F.greatest(out / 2, F.lit(0.0)))
+def _distance(shares: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance of a histogram to a reference, both arrays of shares."""
+
+    def term(p: Column, q: Column) -> Column:
+        m = (p + q) / 2
+        return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
+
+    terms = F.zip_with(shares, F.array(*[F.lit(q) for q in reference]), term)
+    return F.sqrt(F.greatest(_sum(terms) / 2, F.lit(0.0)))
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda total, v: total + v)
 
 
 def nearest(spec: tuple[str, list[str], str], refs: list[list[float]]) -> Column:
-    bins = _bins(spec[0], spec[1], F.col(spec[2]))
-    ds = [_distance(bins, r) for r in refs]
-    return F.round(F.least(*ds) if len(ds) > 1 else ds[0], 12) if ds else F.lit(0.0)
+    """The least distance to a reference. Bins are arrays, so that the plan stays small with many bins and references."""
+
+    def least(shares: Column) -> Column:
+        ds = [_distance(shares, r) for r in refs]
+        return F.round(F.least(*ds) if len(ds) > 1 else ds[0], 12)
+
+    def shares(bins: Column) -> Column:
+        return _let(F.greatest(_sum(bins), F.lit(1.0)), lambda total: F.transform(bins, lambda x: x / total))
+
+    return _let(_let(F.array(*_bins(spec[0], spec[1], F.col(spec[2]))), shares), least) if refs else F.lit(0.0)
 
 
 def judged(feats: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
