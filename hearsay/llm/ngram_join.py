@@ -29,6 +29,8 @@ exact join's is; its output and memory aren't.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -70,6 +72,32 @@ def quarter(n: int) -> int:
     return -(-n // 4)
 
 
+def prefix_length(n: int, percent: int) -> int:
+    return min(n, n - needed(n, percent) + quarter(n))
+
+
+@lru_cache(1 << 16)
+def guaranteed(n: int, percent: int) -> int:
+    """Of the columns that a set of n has in common with any set it is linked to, the first so many are in the other's prefix.
+
+    With m columns in the other set and i common ones at least, m - i columns of the other's prefix at most are its own.
+    So a column common to both that is among a set's first ``guaranteed(n)`` ones is in the other's prefix too.
+    """
+    m = np.arange(needed(n, percent), n * 100 // percent + 1)
+    common = -(-percent * (n + m) // (100 + percent))
+    prefix = np.minimum(m, m + (-m * percent // 100) - (-m // 4))
+    return int((prefix - m + common).min())
+
+
+def may_be_shared(marks: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Which of a set's n columns a linked set may have. A mark tells whether a column is in another row's prefix, not
+    whether it is in its set: without a mark, only the first ``guaranteed`` columns are known to be in no linked set."""
+    out = np.ones(n, bool)
+    first = guaranteed(n, percent)
+    out[:first] = marks[:first]
+    return out
+
+
 def gathering_keys(columns: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a set in its order, of which linked sets have one in common; ``shared``: columns that another set may have.
 
@@ -94,7 +122,7 @@ def gathering_keys(columns: np.ndarray, shared: np.ndarray, percent: int) -> np.
 def block_sets(table: pa.Table, k: int, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each text's set and long prefix."""
     sets = [shingles(t, k) for t in unpacked(table)]
-    return sets, [s[: len(s) - needed(len(s), percent) + quarter(len(s))] for s in sets]
+    return sets, [s[: prefix_length(len(s), percent)] for s in sets]
 
 
 def surviving_sets(x: DataFrame, bits: int, k: int, percent: int) -> DataFrame:
@@ -201,9 +229,7 @@ def links(sets: DataFrame, same: DataFrame, percent: int) -> DataFrame:
         cols = []
         for raw, marks in zip(b.column("columns").to_pylist(), b.column("marks").to_pylist()):
             c = np.frombuffer(raw, "<u8")
-            shared = np.ones(len(c), bool)
-            prefix = len(c) - needed(len(c), percent) + quarter(len(c))
-            shared[:prefix] = np.unpackbits(np.frombuffer(marks, np.uint8))[: len(shared[:prefix])]
+            shared = may_be_shared(np.unpackbits(np.frombuffer(marks, np.uint8)), len(c), percent)
             order = np.argsort(holds(frequent, c), kind="stable")
             cols.append(gathering_keys(c[order], shared[order], percent))
         at = np.repeat(np.arange(len(cols)), [len(c) for c in cols])

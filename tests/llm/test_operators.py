@@ -126,6 +126,37 @@ def test_linked_sets_share_a_gathering_key(pct):
     assert linked > 3000
 
 
+def linked_pairs(pct, seed):
+    """Linked pairs of sets of 1 to 300 columns, small ones more often, as the sorted columns of both."""
+    rng = np.random.default_rng(seed)
+    yield np.arange(7, dtype=np.uint64), np.array([0, 1, 2, 3, 5, 6], np.uint64)
+    for _ in range(6000):
+        n = int(rng.integers(1, rng.choice([8, 20, 60, 301])))
+        order = np.sort(rng.choice(10**6, n, replace=False)).astype(np.uint64)
+        gone = rng.choice(n, n * (100 - pct) // 100, replace=False)
+        side = rng.random(len(gone)) < rng.random()
+        x, y = np.delete(order, gone[side]), np.delete(order, gone[~side])
+        if 100 * len(np.intersect1d(x, y)) >= pct * len(np.union1d(x, y)) > 0 and len(x) != len(np.intersect1d(x, y)):
+            yield x, y
+
+
+@pytest.mark.parametrize("pct", [80, 85])
+def test_linked_pairs_share_a_key_with_their_own_marks(pct):
+    """Marks as of two rows alone: a column is marked if it is in the other's prefix. Some columns are frequent, and come last."""
+    rng, seen = np.random.default_rng(1), 0
+    for x, y in linked_pairs(pct, pct):
+        frequent = np.sort(rng.choice(x, int(len(x) * rng.choice([0, 0.1, 0.5])), replace=False))
+        prefixes = [s[: ngram_join.prefix_length(len(s), pct)] for s in (x, y)]
+        keys = []
+        for s, own, other in zip((x, y), prefixes, prefixes[::-1]):
+            shared = ngram_join.may_be_shared(np.isin(own, other), len(s), pct)
+            order = np.argsort(np.isin(s, frequent), kind="stable")
+            keys.append(ngram_join.gathering_keys(s[order], shared[order], pct))
+        assert np.intersect1d(*keys).size, (x, y)
+        seen += 1
+    assert seen > 2000
+
+
 def test_quality(docs, rows):
     out = got(quality.report(docs))
     for i, t in rows:
