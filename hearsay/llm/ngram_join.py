@@ -5,8 +5,8 @@ first, then by hash: long shingles are rare), and a set's first columns are its
 are linked have many common columns among their prefixes, how many follows from their sizes. So:
 
 1. Blocks of documents send the hashes of their prefixes (n - ceil(t n) + ceil(n / 4) columns) once a
-   block; columns that only one document has are marked, and a document whose prefix has fewer than
-   ceil(n / 4) shared columns goes: it can't reach the bound with any other.
+   block; columns that only one document has are marked, and a document whose prefix has fewer shared
+   columns than any linked set leaves it (``common_in_prefixes``) goes: it can't reach the bound with any other.
 2. Equal sets become one row, named by their smallest id.
 3. Rows are gathered by connected components over keys: the runs of ``RUN`` columns that follow each other, in
    the order with columns found frequent last. Linked sets differ in few columns, so a run of common ones
@@ -89,6 +89,12 @@ def guaranteed(n: int, percent: int) -> int:
     return int((prefix - m + common).min())
 
 
+def common_in_prefixes(n: int, percent: int) -> int:
+    """The least number of a set's prefix columns that are in the prefix of any set it is linked to, small ones included: of
+    the common columns, its own prefix has the first quarter(n) at least."""
+    return min(quarter(n), guaranteed(n, percent))
+
+
 def may_be_shared(marks: np.ndarray, n: int, percent: int) -> np.ndarray:
     """Which of a set's n columns a linked set may have. A mark tells whether a column is in another row's prefix, not
     whether it is in its set: without a mark, only the first ``guaranteed`` columns are known to be in no linked set."""
@@ -143,7 +149,7 @@ def surviving_sets(x: DataFrame, bits: int, k: int, percent: int) -> DataFrame:
         n, d, cols, marks = [], [], [], []
         for s, p in zip(sets, own):
             mark = holds(shared, p)
-            stays = len(s) and int(mark.sum()) >= quarter(len(s))
+            stays = len(s) and int(mark.sum()) >= common_in_prefixes(len(s), percent)
             raw = s.astype("<u8").tobytes()
             n.append(len(s))
             d.append(xxhash.xxh3_128_digest(raw))

@@ -157,6 +157,29 @@ def test_linked_pairs_share_a_key_with_their_own_marks(pct):
     assert seen > 2000
 
 
+@pytest.mark.parametrize("pct", [60, 80, 85, 95])
+def test_linked_pairs_stay(pct):
+    """Of two linked rows alone, neither goes: for all sizes, with the columns of one only first."""
+    for n in range(1, 120):
+        for m in range(n, n * 100 // pct + 1):
+            both = -(-pct * (n + m) // (100 + pct))
+            x = np.concatenate([np.arange(n - both), np.arange(500, 500 + both)])
+            y = np.concatenate([np.arange(200, 200 + m - both), np.arange(500, 500 + both)])
+            p, q = (s[: ngram_join.prefix_length(len(s), pct)] for s in (x, y))
+            shared = len(np.intersect1d(p, q))
+            assert shared >= max(ngram_join.common_in_prefixes(k, pct) for k in (n, m)), (n, m)
+
+
+def test_ngram_join_short_texts(spark):
+    """Pairs of 8 and 9 words alone, one a prefix or suffix of the other."""
+    data = []
+    for k in range(60):
+        w = [f"{hashlib.md5(b'%d-%d' % (k, j)).hexdigest()[: 3 + (j * 7 + k) % 6]}" for j in range(9)]
+        data += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:8] if k % 2 else w[1:]))]
+    out = got(ngram_join.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), words=5, percent=80))
+    assert {i: r.component_id for i, r in out.items()} == {i: i - i % 2 for i, _ in data}
+
+
 def test_quality(docs, rows):
     out = got(quality.report(docs))
     for i, t in rows:
