@@ -3,8 +3,10 @@
 Items are indexed by word with BM25 impacts, each divided by the item's score for itself, so that a
 passage's score is the share of the item it holds. Postings are kept in blocks with their largest
 impact; list and block bounds skip whatever cannot reach ``THRESHOLD``. All items at or above it are
-retrieved, and each is verified: the shares of the word windows of its question and of its answer (its
-last quarter) that the passage holds must both reach ``OVERLAP``. Passages are windows of words, each
+retrieved, and each is verified: the share of its words that stand in the passage in the item's order, within
+half as many words again as it has, must reach ``OVERLAP``; an edited word takes one word of the share, wherever
+it is. ``question`` and ``answer`` are the shares of the item's words before its last quarter and in it,
+in that place. An item shorter than ``SHORT_WORDS`` must stand there whole. Passages are windows of words, each
 overlapping the next by half, at least twice as long as the longest item: any copy of an item lies
 whole in one of them. Before the search, a passage is held against the largest impacts of groups of
 items: only one whose bound reaches the threshold in some group is searched.
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from .common import added, arrow_schema, map_arrow, with_columns
 
 K1, B = 1.2, 0.75
-THRESHOLD, OVERLAP, GRAM, BLOCK = 0.6, 0.6, 5, 64
+THRESHOLD, OVERLAP, BLOCK = 0.6, 0.6, 64
 MIN_WINDOW = 128
 #: A part of the benchmark holds at most so many items, and so many bytes of text.
 PART_ITEMS, PART_BYTES = 4_096, 16 << 20
@@ -51,9 +53,33 @@ def words_of(text: str | None) -> list[str]:
     return WORDS(text.lower()) if text else []
 
 
-def grams(words: list[str], k: int = GRAM) -> set[tuple[str, ...]]:
-    k = min(k, len(words))
-    return {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if k else set()
+def in_order(item: list[str], words: list[str]) -> tuple[int, int]:
+    """The most words of ``item`` that stand in its order within half as many words again as it has, and where these start."""
+    at: dict[str, int] = defaultdict(int)
+    for k, w in enumerate(item):
+        at[w] |= 1 << k
+    masks = [at.get(w, 0) for w in words]
+    span, full = len(item) + len(item) // 2, (1 << len(item)) - 1
+    best, place = 0, 0
+    for start in range(len(words)):
+        if not masks[start]:
+            continue
+        near = [m for m in masks[start : start + span] if m]
+        if len(near) <= best:
+            continue
+        v = full  # longest common subsequence, a bit each word of the item
+        for m in near:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+        n = len(item) - v.bit_count()
+        if n > best:
+            best, place = n, start
+    return best, place
+
+
+def holds_whole(item: list[str], words: list[str]) -> bool:
+    n = len(item)
+    return any(words[k : k + n] == item for k in range(len(words) - n + 1))
 
 
 class Index:
@@ -84,9 +110,7 @@ class Index:
         for k, (at, x) in enumerate(zip(self.items, self.impacts)):
             np.maximum.at(self.group_max[k], np.array(at) // each, np.array(x, np.float32))
         self.half = max(MIN_WINDOW // 2, self.longest)
-        self.question = [grams(w[: len(w) - max(1, len(w) // 4)]) for _, w in own]
-        self.answer = [grams(w[len(w) - max(1, len(w) // 4) :]) for _, w in own]
-        self.short = [len(w) < SHORT_WORDS for _, w in own]
+        self.words = [w for _, w in own]
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """(item number, score) of all items that reach the threshold, by block-max WAND."""
@@ -180,12 +204,13 @@ class Index:
                 if item in found and found[item][0] >= score:
                     continue
                 passage = words[k * self.half : (k + 2) * self.half]
-                share = []
-                for part in (self.question[item], self.answer[item]):
-                    have = {n: grams(passage, n) for n in {len(g) for g in part}}
-                    share.append(sum(g in have[len(g)] for g in part) / len(part) if part else 1.0)
-                if min(share) >= (1.0 if self.short[item] else OVERLAP):
-                    found[item] = (score, *share)
+                own = self.words[item]
+                n, at = in_order(own, passage := words[k * self.half : (k + 2) * self.half])
+                if not (holds_whole(own, passage) if len(own) < SHORT_WORDS else n >= OVERLAP * len(own)):
+                    continue
+                cut, near = len(own) - max(1, len(own) // 4), passage[at : at + len(own) + len(own) // 2]
+                question, answer = own[:cut], own[cut:]
+                found[item] = (score, in_order(question, near)[0] / len(question) if question else 1.0, in_order(answer, near)[0] / len(answer))
         return found
 
 

@@ -257,6 +257,29 @@ def test_decontamination(spark, docs, rows):
         assert sorted(k for k, _ in index.search(terms, 0.45)) == sorted(k for k, v in score.items() if v >= 0.45 - 1e-9)
 
 
+def test_decontamination_of_edited_items():
+    """Items of 15 to 59 words, in a text, with a word changed at each place or two anywhere; the question alone; other texts."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abdeginorstu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    common = vocab[:40]
+    text = lambda n: [rng.choice(common if rng.random() < 0.4 else vocab) for _ in range(n)]
+    items = [text(rng.randint(15, 59)) for _ in range(60)]
+    index = decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)])
+    once = [(k, [j]) for k, w in enumerate(items) for j in range(len(w))]
+    twice = [(k, rng.sample(range(len(w)), 2)) for k, w in enumerate(items) for _ in range(20)]
+    recall = []
+    for edits in (once, twice):
+        texts = [" ".join([*text(150), *("other" if j in at else w for j, w in enumerate(items[k])), *text(70)]) for k, at in edits]
+        recall.append(sum(k in found for (k, _), found in zip(edits, index.hits(texts))) / len(edits))
+    assert recall[0] == 1 and recall[1] > 0.99
+    questions = [" ".join([*text(90), *w[: len(w) - len(w) // 4], *text(90)]) for w in items]
+    assert sum(k in found for k, found in enumerate(index.hits(questions))) > 0.9 * len(items)
+    shuffled = [" ".join([*text(90), *rng.sample(w, len(w)), *text(90)]) for w in items]
+    assert not any(index.hits(shuffled)) and not any(index.hits([" ".join(text(300)) for _ in range(300)]))
+    short = decontaminate.Index([(1, "one short item here")])
+    assert [len(h) for h in short.hits(["a one short item here b", "one short other item here"])] == [1, 0]
+
+
 def test_lm_score(docs, rows):
     out = got(lm_score.report(docs))
     learn = {i: zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows}
