@@ -2,8 +2,10 @@
 
 Every text gets two histograms: characters by class, and words by whose list of common words they are
 in. References are the summed histograms of all documents of a language that pass the base rules.
-A document is judged by the Jensen-Shannon distance (base 2, 0 to 1) to the nearest reference, for
-either histogram, and only from a minimum length on: short texts have ragged histograms.
+A document is judged by the Jensen-Shannon distance (base 2, 0 to 1) to the references, for either
+histogram, and only from a minimum length on: short texts have ragged histograms. Characters fail beyond a
+fixed distance to the nearest reference; words, in lower case, where each reference is nearly as far as it is from a text
+without a common word (how far that is depends on the references).
 
 Defined cases: a null text is empty; an empty text has no words and fails the base rules (fewer than
 50 words); a null or unlisted language adds to no reference but is judged like any other; without any
@@ -18,6 +20,7 @@ a long text costs n log n.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -45,9 +48,10 @@ CHAR_CLASSES = {
     "stop": r"[^.,;:!?'\"()\-]+",
 }
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
-#: From these lengths on a histogram is judged; beyond these distances to every reference it fails.
+#: From these lengths on a histogram is judged; beyond this distance, or this share of a text's without common words, to
+#: every reference it fails.
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.25
-MIN_LIST_WORDS, MAX_WORD_DISTANCE = 80, 0.60
+MIN_LIST_WORDS, MAX_WORD_SHARE = 80, 0.8
 
 
 def _n(x: Column) -> Column:
@@ -61,6 +65,7 @@ def base_columns(text: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
     return {
         "__words": words,
+        "__folded": F.transform(words, F.lower),
         "n_words": _n(F.size(words)),
         "word_chars": _n(F.length(F.array_join(words, ""))),
         "n_symbols": _n(F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))),
@@ -110,9 +115,9 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the base counts, base_failed and the histogram columns (``__c_*``, ``__w_*``)."""
     x = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
     x = x.withColumns(base_columns(F.col("__text")))
-    x = x.withColumns({"n_repeat_words": repeat_words(F.col("__words")), "__chars": _n(F.length("__text"))} | histograms(F.col("__text"), F.col("__words")))
+    x = x.withColumns({"n_repeat_words": repeat_words(F.col("__words")), "__chars": _n(F.length("__text"))} | histograms(F.col("__text"), F.col("__folded")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
-    return x.withColumn("base_failed", failed).drop("__text", "__words")
+    return x.withColumn("base_failed", failed).drop("__text", "__words", "__folded")
 
 
 def _bins(prefix: str, names: list[str], total: Column) -> list[Column]:
@@ -158,30 +163,40 @@ def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda total, v: total + v)
 
 
-def nearest(spec: tuple[str, list[str], str], refs: list[list[float]]) -> Column:
-    """The least distance to a reference. Bins are arrays, so that the plan stays small with many bins and references."""
+def distance_of_none(reference: list[float]) -> float:
+    """The distance to a reference of a histogram with all in its last bin: of a text without common words."""
+    terms = [q * math.log2(2) for q in reference[:-1] if q > 0]
+    m = (1 + reference[-1]) / 2
+    terms += [math.log2(1 / m)] + ([reference[-1] * math.log2(reference[-1] / m)] if reference[-1] > 0 else [])
+    return math.sqrt(max(sum(terms) / 2, 0.0))
+
+
+def nearest(spec: tuple[str, list[str], str], refs: list[list[float]], limits: list[float]) -> Column:
+    """near: the least distance to a reference; over: the least excess of a distance over the reference's limit. Bins are
+    arrays, so that the plan stays small with many bins and references."""
 
     def least(shares: Column) -> Column:
-        ds = [_distance(shares, r) for r in refs]
-        return F.round(F.least(*ds) if len(ds) > 1 else ds[0], 12)
+        ds = F.array(*[F.round(_distance(shares, r), 12) for r in refs])
+        over = lambda ds: F.array_min(F.zip_with(ds, F.array(*[F.lit(x) for x in limits]), lambda d, x: d - x))
+        return _let(ds, lambda ds: F.struct(F.array_min(ds).alias("near"), over(ds).alias("over")))
 
     def shares(bins: Column) -> Column:
         return _let(F.greatest(_sum(bins), F.lit(1.0)), lambda total: F.transform(bins, lambda x: x / total))
 
-    return _let(_let(F.array(*_bins(spec[0], spec[1], F.col(spec[2]))), shares), least) if refs else F.lit(0.0)
+    return _let(_let(F.array(*_bins(spec[0], spec[1], F.col(spec[2]))), shares), least) if refs else F.struct(F.lit(0.0).alias("near"), F.lit(0.0).alias("over"))
 
 
 def judged(feats: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
     """``feats`` with char_distance, word_distance and kept; the histogram columns go."""
+    chars, words = [r[0] for r in refs.values()], [r[1] for r in refs.values()]
     x = feats.withColumns({
-        "char_distance": nearest(CHAR_BINS, [r[0] for r in refs.values()]),
-        "word_distance": nearest(WORD_BINS, [r[1] for r in refs.values()]),
+        "__char": nearest(CHAR_BINS, chars, [MAX_CHAR_DISTANCE] * len(chars)),
+        "__word": nearest(WORD_BINS, words, [MAX_WORD_SHARE * distance_of_none(r) for r in words]),
     })
-    odd = ((F.col("__chars") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | (
-        (F.col("n_words") >= MIN_LIST_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
-    )
+    x = x.withColumns({"char_distance": F.col("__char.near"), "word_distance": F.col("__word.near")})
+    odd = ((F.col("__chars") >= MIN_CHARS) & (F.col("__char.over") > 0)) | ((F.col("n_words") >= MIN_LIST_WORDS) & (F.col("__word.over") > 0))
     x = x.withColumn("kept", ~F.col("base_failed") & ~odd)
-    return x.drop("__chars", *[f"{p}{k}" for p, names, _ in (CHAR_BINS, WORD_BINS) for k in names])
+    return x.drop("__chars", "__char", "__word", *[f"{p}{k}" for p, names, _ in (CHAR_BINS, WORD_BINS) for k in names])
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

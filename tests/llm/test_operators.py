@@ -195,6 +195,23 @@ def test_quality(docs, rows):
         assert r.base_failed == (len(w) < 50 or 100 * len(at) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_quality_rejects_word_salad(spark):
+    """300 random words of lower-case letters, some with '#', fail; text with its language's common words stays, in any case."""
+    rng, data = random.Random(3), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    for lang, common in quality.COMMON_WORDS.items():
+        for k in range(30):
+            w = [rng.choice(common) if rng.random() < (0.1, 0.25, 0.4)[k % 3] else word() for _ in range(300)]
+            data.append((len(data), " ".join(w).title() if k % 5 == 4 else " ".join(w), lang, True))
+    for k in range(12):
+        data.append((len(data), " ".join(word() + ("#" if k % 2 and rng.random() < 0.1 else "") for _ in range(300)), (None, "en")[k % 2], False))
+    out = got(quality.report(spark.createDataFrame([d[:3] for d in data], "doc_id long, text string, lang string")))
+    title = {d[0] for d in data if d[1].istitle()}  # capitals are judged by the characters' rule
+    assert {d[0] for d in data if d[0] not in title and out[d[0]].kept != d[3]} == set()
+    plain = [out[d[0]].word_distance for d in data if d[3] and d[0] not in title]
+    assert max(out[i].word_distance for i in title) <= max(plain) + 0.02
+
+
 def test_secrets(docs, rows):
     out = got(secret_scan.report(docs))
     for i, t in rows:
