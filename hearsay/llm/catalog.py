@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, langid, line_dedup, lm_score, ngram_join, prefix_trie, quality, secret_scan, shards, suffix_dedup
+from . import bpe, decontaminate, hard_negatives, langid, line_dedup, lm_score, multi_index, ngram_join, prefix_trie, quality, secret_scan, shards, suffix_dedup
 from .common import documents, read
 
 
@@ -25,9 +25,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": lambda spark, sf_dir: decontaminate.report(documents(spark, sf_dir), read(spark, sf_dir, "benchmark")),
         "op9_lm_scoring": lambda spark, sf_dir: lm_score.report(documents(spark, sf_dir)),
         "op10_line_dedup": lambda spark, sf_dir: line_dedup.report(documents(spark, sf_dir)),
+        "op11_hard_negatives": lambda spark, sf_dir: hard_negatives.report(read(spark, sf_dir, "embeddings")),
         "op12_prefix_trie": lambda spark, sf_dir: prefix_trie.report(read(spark, sf_dir, "conversations")),
+        "op13_multi_index": lambda spark, sf_dir: multi_index.report(read(spark, sf_dir, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL}
+    return {
+        "op10_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+    }
