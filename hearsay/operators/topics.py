@@ -1,5 +1,5 @@
-"""Topics: per-community TF-IDF keywords (C6, W5), keyword stats (J8, A19), global TF-IDF +
-K-Means clusters (C7, C8), cluster summaries (A20, P19) and the extraction reports (A14-A17).
+"""Topics: per-community TF-IDF keywords (C6, W5), keyword stats (J8, A19), cluster summaries
+and the extraction reports (A14-A17). The clusters themselves are in ``clusters``.
 
 TF-IDF follows the common vectoriser semantics: lower-case tokens of two or more word
 characters, stop words removed *before* bigrams, 1-2 grams, document frequency bounds
@@ -15,7 +15,7 @@ are a window on ``id`` over already co-located rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -156,34 +156,12 @@ def keyword_stats(topics: DataFrame, posts: DataFrame, sentiments: DataFrame) ->
         F.coalesce(F.col("_u") / F.lit(1e6) / F.col("post_count"), F.lit(0.0)).alias("avg_sentiment"))
 
 
-def given_labels(spark_posts: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Cluster labels supplied with the data: ``embeddings.label`` of the post's document."""
-    lab = embeddings.select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("id"), F.col("label").alias("cluster_id"))
-    return spark_posts.select("id").join(lab, "id")
-
-
 def cluster_severity(avg: Column, n: Column) -> Column:
     """0.7 * max(0, -s) + 0.3 * min(n / 10, 1) → CRITICAL > .7, HIGH > .5, MEDIUM > .3, else LOW."""
     score = F.greatest(F.lit(0.0), -avg) * F.lit(0.7) + F.least(n / F.lit(10.0), F.lit(1.0)) * F.lit(0.3)
     return (F.when(score > 0.7, "CRITICAL").when(score > 0.5, "HIGH").when(score > 0.3, "MEDIUM").otherwise("LOW"))
 
 
-def cluster_keywords(labels: DataFrame, posts: DataFrame, max_features: int = 200, k: int = 5,
-                     stop: list[str] | None = None) -> DataFrame:
-    """Top ``k`` terms of each cluster centre (mean L2 tf-idf vector of its members)."""
-    docs = topic_docs(posts)
-    arrays = term_arrays(docs, None, stop)
-    vocab = materialise_small(vocabulary(term_stats(arrays, None), docs, None, max_features, 2, None), 1_000_000)
-    w = weights(arrays, vocab, None)
-    sizes = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    centre = (w.join(labels, "id").groupBy("cluster_id", "term").agg(F.sum("w").alias("_sw"))
-              .join(sizes, "cluster_id").select("cluster_id", "term", tx.rnd(F.col("_sw") / F.col("size"), 9).alias("weight")))
-    r = Window.partitionBy("cluster_id").orderBy(F.col("weight").desc(), F.col("term"))
-    top = centre.withColumn("_r", F.row_number().over(r)).where(F.col("_r") <= k)
-    return top.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("_r", "term"))).alias("_t")).select(
-        "cluster_id", F.transform("_t", lambda s: s["term"]).alias("keywords"))
-
-
 def cluster_summary(labels: DataFrame, sentiments: DataFrame, keywords: DataFrame, sample: int = 10) -> DataFrame:
     """A20 + P19: count, mean sentiment, name (top 3 keywords), severity per cluster.
 
@@ -204,42 +182,3 @@ def cluster_summary(labels: DataFrame, sentiments: DataFrame, keywords: DataFram
     return out.select(
         "cluster_id", F.concat_ws(" | ", F.slice(kw, 1, 3)).alias("cluster_name"), "first_post_ids", kw.alias("keywords"),
         "avg_sentiment", "post_count", cluster_severity(F.col("avg_sentiment"), F.col("post_count")).alias("severity"))
-
-
-def kmeans_clusters(spark: SparkSession, posts: DataFrame, k: int = 7, seeds: range = range(42, 52),
-                    max_features: int = 200) -> DataFrame:
-    """Global tf-idf (200 terms, 1-2 grams, min_df 2) + K-Means, best of ``seeds`` by cost.
-
-    Features are built relationally (same vocabulary as ``cluster_keywords``) and assembled into
-    sparse vectors per document; ``pyspark.ml`` K-Means trains distributed. Fewer posts than
-    ``k`` → k = max(2, n // 10), as in the reference.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    docs = topic_docs(posts)
-    arrays = term_arrays(docs, None)
-    vocab = materialise_small(vocabulary(term_stats(arrays, None), docs, None, max_features, 2, None).withColumn(
-        "idx", F.row_number().over(Window.orderBy("term")) - 1), 1_000_000)
-    size = vocab.count()
-    w = vocab_counts(arrays, vocab, None).join(vocab.select("term", "idx"), "term")
-    raw = F.col("tf") * F.col("idf")
-    w = w.select("id", "idx", (raw / F.sqrt(F.sum(raw * raw).over(Window.partitionBy("id")))).alias("w"))
-    vec = w.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("_e"))
-    feats = docs.select("id").join(vec, "id", "left").select(
-        "id", F.coalesce(F.transform("_e", lambda s: s["idx"]), F.array().cast("array<int>")).alias("_i"),
-        F.coalesce(F.transform("_e", lambda s: s["w"]), F.array().cast("array<double>")).alias("_v"))
-    n = docs.count()
-    kk = k if n >= k else max(2, n // 10)
-    # Dense features of ``size`` (<= max_features) slots assembled with array functions, JVM-side.
-    slots = F.map_from_entries(F.arrays_zip(F.col("_i").alias("idx"), F.col("_v").alias("w")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(slots, i), F.lit(0.0)))
-    feats = feats.select("id", array_to_vector(dense).alias("features"))
-    data = materialize(feats, "features")
-    best = None
-    for seed in seeds:
-        model = KMeans(k=kk, seed=seed, maxIter=300, initMode="k-means||").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    return best[1].transform(data).select("id", F.col("prediction").alias("cluster_id"))

@@ -18,6 +18,7 @@ from ..functions import text as tx
 from ..functions import validate as va
 from ..operators import alerts as al
 from ..operators import anomaly as an
+from ..operators import clusters as cl
 from ..operators import daily as dy
 from ..operators import quality as qu
 from ..operators import rollup as ru
@@ -351,36 +352,36 @@ def _anomaly_extreme_posts(r: Run) -> DataFrame:
 @plan("alerts_all")
 def _alerts_all(r: Run) -> DataFrame:
     """Current candidates of the four detectors in detector order."""
-    return r.ledger_runs[0]
+    return r.current_candidates
 
 
 @plan("alerts_dedupe")
 def _alerts_dedupe(r: Run) -> DataFrame:
-    """Candidates accepted after suppression against the ledger history."""
-    return r.ledger_runs[1]
+    """Candidates accepted after suppression against the stored ledger."""
+    return r.alert_ledger.raised(r.run_id(0))
 
 
 @plan("alerts_autoresolve")
 def _alerts_autoresolve(r: Run) -> DataFrame:
-    """The ledger after the current run's append and auto-resolve."""
+    """The stored ledger's state after the current run."""
     return r.ledger
 
 
 @plan("anomaly_run_summary")
 def _anomaly_run_summary(r: Run) -> DataFrame:
-    return al.run_summary(r.ledger_runs[0])
+    return al.run_summary(r.current_candidates)
 
 
 @plan("alert_messages")
 def _alert_messages(r: Run) -> DataFrame:
     """P20."""
-    return r.ledger_runs[0].select("alert_id", "alert_type", "message")
+    return r.current_candidates.select("alert_id", "alert_type", "message")
 
 
 @plan("alert_metadata")
 def _alert_metadata(r: Run) -> DataFrame:
     """P22."""
-    return r.ledger_runs[0].select("alert_id", "metadata")
+    return r.current_candidates.select("alert_id", "metadata")
 
 
 @plan("alerts_by_severity")
@@ -415,9 +416,11 @@ def _alert_counts(r: Run) -> DataFrame:
 
 @plan("alert_resolve")
 def _alert_resolve(r: Run) -> DataFrame:
-    """Resolve the open alert with the smallest id."""
-    target = r.ledger.where(~F.col("resolved")).select(F.min("alert_id")).scalar()
-    return al.resolve_by_id(r.ledger, target, r.as_of).select("alert_id", "resolved", "resolved_at", "matched")
+    """Resolve the open alert with the smallest id, in a copy of the ledger; the resolution is one more event."""
+    ledger = r.alert_ledger.copy(r.scratch("ledger-copy"))
+    target = ledger.state().where(~F.col("resolved")).agg(F.min("alert_id")).first()[0]
+    matched = ledger.resolve(target, r.as_of, "by-hand") if target is not None else 0
+    return ledger.state().select("alert_id", "resolved", "resolved_at", F.coalesce((F.col("alert_id") == F.lit(target)) & F.lit(matched > 0), F.lit(False)).alias("matched"))
 
 
 @plan("alert_links")
@@ -521,11 +524,11 @@ def _tfidf_keywords(r: Run) -> DataFrame:
 @plan("keyword_stats")
 def _keyword_stats(r: Run) -> DataFrame:
     """The topics table."""
-    return tp.keyword_stats(r.topics, r.posts, r.sentiments)
+    return r.topic_stats
 
 
 def _topics_table(r: Run) -> DataFrame:
-    return tp.keyword_stats(r.topics, r.posts, r.sentiments)
+    return r.topic_stats
 
 
 @plan("topic_counts")
@@ -554,10 +557,35 @@ def _posts_with_sentiment(r: Run) -> DataFrame:
 
 @plan("cluster_summary")
 def _cluster_summary(r: Run) -> DataFrame:
-    """A20/C8/P19 on the given labels."""
+    """The summaries of the stored model's clusters, over all posts."""
     return r.clusters
 
 
+@plan("cluster_model")
+def _cluster_model(r: Run) -> DataFrame:
+    """The stored centres."""
+    return r.model
+
+
+@plan("cluster_totals")
+def _cluster_totals(r: Run) -> DataFrame:
+    """Posts, assigned posts and the sum of the clusters' sizes are one number."""
+    n = r.clusters.agg(F.count(F.lit(1)).alias("clusters"), F.sum("post_count").alias("posts_in_clusters"))
+    return n.select("clusters", "posts_in_clusters", r.labels.select(F.count_distinct("id")).scalar().alias("assigned_posts"),
+                    r.posts.select(F.count(F.lit(1))).scalar().alias("posts"))
+
+
+@plan("topics_run")
+def _topics_run(r: Run) -> DataFrame:
+    """The whole extraction (A21, C6, A19, K7, C7, C8, K8): what each stored table holds."""
+    tables = [("topics", r.topic_stats), ("cluster_model", r.model), ("cluster_labels", r.labels), ("issue_clusters", r.clusters)]
+    parts = [t.select(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count")) for name, t in tables]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @plan("cluster_severity")
 def _cluster_severity(r: Run) -> DataFrame:
     """Severity score parts per cluster."""
@@ -615,8 +643,8 @@ def _existence_gate(r: Run) -> DataFrame:
 
 @plan("cluster_posts", rows_only=True)
 def _cluster_posts(r: Run) -> DataFrame:
-    """K-Means over global tf-idf (seeded, best cost of 10); rows-only check."""
-    return tp.kmeans_clusters(r.spark, r.posts)
+    """C7 with ``pyspark.ml``: sparse tf-idf, K-Means, the best cost of ten seeds; rows-only check."""
+    return cl.kmeans_model(r.posts)[1]
 
 
 # ---------------------------------------------------------------------------------------------

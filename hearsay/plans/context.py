@@ -6,15 +6,23 @@ several branches reuses the same logical subtree (Spark then reuses the exchange
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from ..operators import clusters as cl
 from ..operators import rollup as ru
+from ..operators import store
+from ..operators.ledger import Ledger
 from ..sources import adapter, tables
 
 
 class Ctx:
+    """Shared frames. What is derived from an input is stored once for that version of it and read by every later query."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
@@ -22,19 +30,27 @@ class Ctx:
     def table(self, name: str) -> DataFrame:
         return tables.read(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def version(self) -> str:
+        """The version of the input: a key of the files of the tables that posts come from."""
+        return store.input_version(self.table("events"), self.table("documents"))
+
+    def stored(self, name: str, build: Callable[[], DataFrame], row_group_bytes: int | None = None) -> DataFrame:
+        return store.stored(self.spark, name, self.version, build, row_group_bytes)
+
     @cached_property
     def landing(self) -> DataFrame:
         return adapter.landing(self.spark, self.sf_dir)
 
     @cached_property
     def posts(self) -> DataFrame:
-        """The clean posts table (the K2 sink's output), written once and read back.
+        """The clean posts table (the K2 sink's output).
 
         Every branch (scoring, TF-IDF, keyword matching, labels, checks) then scans Parquet with
         column pruning instead of re-running the landing join and the dedupe exchange.
         """
         rg = int(self.spark.conf.get("hearsay.text.rowGroupBytes", str(4 << 20)))
-        return tables.materialize(adapter.posts(self.spark, self.sf_dir), "posts", row_group_bytes=rg)
+        return self.stored("posts", lambda: adapter.posts(self.spark, self.sf_dir), rg)
 
     @cached_property
     def lexicon(self) -> DataFrame:
@@ -44,20 +60,20 @@ class Ctx:
     def scored(self) -> DataFrame:
         """Enriched posts: entities, primary_product, compound, category (no text).
 
-        Written once to the shared checkpoint folder: every later branch (rollups, detectors,
-        serving) reads this narrow table instead of re-scoring the texts, and a lost executor
-        does not send the lineage back to the text scan.
+        Every later branch (rollups, detectors, serving) reads this narrow table instead of
+        re-scoring the texts, and a lost executor does not send the lineage back to the text scan.
         """
-        return tables.materialize(ru.enrich(self.posts, self.lexicon), "scored")
+        return self.stored("scored", lambda: ru.enrich(self.posts, self.lexicon))
 
     @cached_property
     def minutes(self) -> DataFrame:
-        return tables.materialize(ru.minute_rollup(self.scored), "minutes")
+        return self.stored("minutes", lambda: ru.minute_rollup(self.scored))
 
     @cached_property
     def as_of(self) -> Column:
-        # one column of the written posts table: no scoring, no re-run of the landing join
-        return adapter.as_of(self.posts)
+        """The hour after the newest clean post; without stored posts, from four narrow columns of the log."""
+        path = store.stored_path(self.spark, "posts", self.version)
+        return adapter.as_of(self.spark.read.parquet(path) if path else adapter.post_times(self.landing))
 
 
 class Run(Ctx):
@@ -77,19 +93,37 @@ class Run(Ctx):
 
     @cached_property
     def topics(self) -> DataFrame:
+        """K7: the keywords of each community, a stored version."""
         from ..operators import topics as tp
-        return tp.community_keywords(self.posts)
+        return self.stored("topics", lambda: tp.community_keywords(self.posts))
 
     @cached_property
-    def labels(self) -> DataFrame:
+    def topic_stats(self) -> DataFrame:
         from ..operators import topics as tp
-        return tp.given_labels(self.posts, self.table("embeddings"))
+        return self.stored("topic-stats", lambda: tp.keyword_stats(self.topics, self.posts, self.sentiments))
+
+    @cached_property
+    def _vectors(self) -> tuple[DataFrame, DataFrame]:
+        vocab = self.stored("vocabulary", lambda: cl.vocabulary(self.posts))
+        return vocab, self.stored("post-vectors", lambda: cl.vectors(self.posts, vocab))
+
+    @cached_property
+    def model(self) -> DataFrame:
+        """The stored centres."""
+        vocab, vecs = self._vectors
+        return self.stored("cluster-model", lambda: cl.fit(vecs, vocab))
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        """Every post with its cluster, by the stored model."""
+        vocab, vecs = self._vectors
+        return self.stored("cluster-labels", lambda: cl.assign(vecs, self.model, vocab.count()))
 
     @cached_property
     def clusters(self) -> DataFrame:
+        """The summaries of the model's clusters, a stored version."""
         from ..operators import topics as tp
-        c = tp.cluster_summary(self.labels, self.sentiments, tp.cluster_keywords(self.labels, self.posts))
-        return tables.materialize(c, "clusters")
+        return self.stored("issue-clusters", lambda: tp.cluster_summary(self.labels, self.sentiments, cl.centre_keywords(self.model)))
 
     def candidates(self, hours_before: int = 0, with_clusters: bool = True) -> DataFrame:
         """Detector candidates of a run at ``as_of - hours_before`` over the data seen by then."""
@@ -106,22 +140,25 @@ class Run(Ctx):
         return an.all_alerts(parts)
 
     @cached_property
-    def ledger_runs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(current candidates, current accepted, final ledger) after the history runs."""
-        from ..operators import alerts as al
-        ledger = None
+    def current_candidates(self) -> DataFrame:
+        return self.stored("candidates", lambda: self.candidates(0))
+
+    @cached_property
+    def alert_ledger(self) -> Ledger:
+        """The stored ledger of this input: the history's runs and the current one, each appended once."""
+        ledger = Ledger(self.spark, os.path.join(store.table_root(self.spark, "ledger"), self.version))
         for h in self.HISTORY_HOURS:
-            at = self.at(h)
-            accepted = al.suppress(self.candidates(h, with_clusters=False), ledger, at)
-            rows = al.as_ledger_rows(accepted)
-            ledger = rows if ledger is None else ledger.unionByName(rows)
-            ledger = al.autoresolve(ledger, at)
-            ledger = tables.materialize(ledger, "ledger")  # small; keeps each run's plan shallow
-        cand = tables.materialize(self.candidates(0), "candidates")
-        accepted = tables.materialize(al.suppress(cand, ledger, self.as_of), "accepted")
-        final = tables.materialize(al.autoresolve(ledger.unionByName(al.as_ledger_rows(accepted)), self.as_of), "ledger")
-        return cand, accepted, final
+            ledger.run(self.run_id(h), lambda h=h: self.candidates(h, with_clusters=False), self.at(h))
+        ledger.run(self.run_id(0), lambda: self.current_candidates, self.as_of)
+        return ledger
+
+    @staticmethod
+    def run_id(hours_before: int) -> str:
+        return f"{hours_before:03d}h-before"
 
     @property
     def ledger(self) -> DataFrame:
-        return self.ledger_runs[2]
+        return self.alert_ledger.state().drop("raised_in")
+
+    def scratch(self, name: str) -> str:
+        return os.path.join(store.table_root(self.spark, name), uuid.uuid4().hex)

@@ -35,10 +35,14 @@ PHRASES = str_list(fx.PHRASES)
 TS_TEXT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 CTES: dict[str, tuple[list[str], str]] = {}
+#: Steps of an iteration: each is computed once, however often the next ones read it.
+COMPUTED_ONCE: set[str] = set()
 
 
-def cte(name: str, deps: list[str], body: str) -> None:
+def cte(name: str, deps: list[str], body: str, once: bool = False) -> None:
     CTES[name] = (deps, body)
+    if once:
+        COMPUTED_ONCE.add(name)
 
 
 def sql(select: str, *names: str) -> str:
@@ -55,7 +59,7 @@ def sql(select: str, *names: str) -> str:
         visit(n)
     if not order:
         return select
-    return "WITH " + ",\n".join(f"{n} AS (\n{CTES[n][1]}\n)" for n in order) + "\n" + select
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in COMPUTED_ONCE else ''}(\n{CTES[n][1]}\n)" for n in order) + "\n" + select
 
 
 # ---------------------------------------------------------------------------------------------

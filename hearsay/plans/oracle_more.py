@@ -17,7 +17,7 @@ def at_expr(h: int) -> str:
 UNITS6 = "CAST(sum(CAST(round({c} * CAST(1000000.0 AS DOUBLE)) AS BIGINT)) AS DOUBLE) / CAST(1000000.0 AS DOUBLE) / count({c})"
 
 # ---------------------------------------------------------------------------------------------
-# Post sentiment (A21), topics docs, global and per-community TF-IDF, clusters on given labels
+# Post sentiment (A21), topics docs, global and per-community TF-IDF, clusters
 # ---------------------------------------------------------------------------------------------
 cte("sentiments", ["posts", "minutes"], """
 SELECT p.id, p.subreddit, p.minute, coalesce(m.avg_sentiment, CAST(0.0 AS DOUBLE)) AS sentiment
@@ -65,8 +65,6 @@ FROM topics_kw k LEFT JOIN (
   JOIN topics_kw k2 ON d.subreddit = k2.subreddit AND contains({lower('d.text')}, k2.keyword)
   GROUP BY k2.subreddit, k2.keyword) h ON k.subreddit = h.subreddit AND k.keyword = h.keyword""")
 
-cte("labels", ["posts"], """
-SELECT p.id, e.label AS cluster_id FROM posts p JOIN embeddings e ON p.id = concat('p', e.vec_id)""")
 cte("gtf", ["ttf"], "SELECT id, term, tf FROM ttf")
 cte("gvocab", ["gtf", "tdocs"], f"""
 SELECT term, df, n, ln((CAST(1.0 AS DOUBLE) + n) / (CAST(1.0 AS DOUBLE) + df)) + CAST(1.0 AS DOUBLE) AS idf
@@ -75,13 +73,51 @@ WHERE df >= 2 ORDER BY total DESC, term LIMIT 200""")
 cte("gweights", ["gtf", "gvocab"], """
 SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w
 FROM (SELECT t.id, t.term, t.tf * v.idf AS raw FROM gtf t JOIN gvocab v ON t.term = v.term)""")
-cte("cluster_kw", ["gweights", "labels"], f"""
+# K-Means in whole numbers: first centres far apart, then rounds of assignment and means, a CTE a step.
+K, ROUNDS = 7, 6
+cte("gindex", ["gvocab"], "SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM gvocab", once=True)
+cte("gvec", ["gweights", "gindex", "tdocs"], f"""
+SELECT d.id, coalesce(array_to_string(v.i, ','), '') || '|' || coalesce(array_to_string(v.w, ','), '') AS vkey, v.i, v.w
+FROM tdocs d LEFT JOIN (
+  SELECT id, list(idx ORDER BY idx) AS i, list(CAST(round(w * {D(1e4)}) AS BIGINT) ORDER BY idx) AS w
+  FROM gweights JOIN gindex USING (term) GROUP BY id) v ON d.id = v.id""", once=True)
+cte("dvec", ["gvec"], """
+SELECT vkey, count(*) AS n, any_value(i) AS i, any_value(w) AS w,
+       CAST(coalesce(list_sum(list_transform(any_value(w), lambda x: x * x)), 0) AS BIGINT) AS sq
+FROM gvec GROUP BY vkey""", once=True)
+cte("dent", ["dvec"], "SELECT vkey, n, unnest(i) AS idx, unnest(w) AS w FROM dvec", once=True)
+cte("far_0", ["dvec"], "SELECT vkey, n, sq, CAST(NULL AS BIGINT) AS gap FROM dvec", once=True)
+cte("seed_0", ["far_0"], "SELECT vkey, sq FROM far_0 ORDER BY n DESC, vkey LIMIT 1", once=True)
+for _s in range(1, K):
+    cte(f"far_{_s}", [f"far_{_s - 1}", f"seed_{_s - 1}", "dent"], f"""
+SELECT f.vkey, f.n, f.sq, least(f.gap, f.sq + c.sq - 2 * coalesce(d.dot, 0)) AS gap
+FROM far_{_s - 1} f, seed_{_s - 1} c LEFT JOIN (
+  SELECT a.vkey, CAST(sum(a.w * b.w) AS BIGINT) AS dot FROM dent a JOIN dent b ON a.idx = b.idx
+  WHERE b.vkey = (SELECT vkey FROM seed_{_s - 1}) GROUP BY a.vkey) d ON d.vkey = f.vkey""", once=True)
+    cte(f"seed_{_s}", [f"far_{_s}"], f"SELECT vkey, sq FROM far_{_s} ORDER BY n * gap DESC, vkey LIMIT 1", once=True)
+cte("centres_1", ["dent"] + [f"seed_{_s}" for _s in range(K)],
+    " UNION ALL ".join(f"SELECT {_s} AS j, e.idx, 100 * e.w AS c FROM dent e JOIN seed_{_s} s ON s.vkey = e.vkey" for _s in range(K)), once=True)
+for _r in range(1, ROUNDS + 1):
+    cte(f"placed_{_r}", [f"centres_{_r}", "dent", "dvec"], f"""
+SELECT v.vkey, v.n, k.j FROM dvec v CROSS JOIN (SELECT CAST(unnest(range({K})) AS INTEGER) AS j) k
+LEFT JOIN (SELECT e.vkey, c.j, CAST(sum(e.w * c.c) AS BIGINT) AS dot FROM dent e JOIN centres_{_r} c ON e.idx = c.idx GROUP BY e.vkey, c.j) d
+  ON d.vkey = v.vkey AND d.j = k.j
+LEFT JOIN (SELECT j, CAST(sum(c * c) AS BIGINT) AS sq FROM centres_{_r} GROUP BY j) q ON q.j = k.j
+QUALIFY row_number() OVER (PARTITION BY v.vkey ORDER BY 200 * coalesce(d.dot, 0) - coalesce(q.sq, 0) DESC, k.j) = 1""", once=True)
+    if _r < ROUNDS:
+        cte(f"centres_{_r + 1}", [f"placed_{_r}", f"centres_{_r}", "dent"], f"""
+SELECT * FROM (
+  SELECT p.j, e.idx, CAST(100 * CAST(sum(e.n * e.w) AS BIGINT) // any_value(z.n) AS BIGINT) AS c
+  FROM placed_{_r} p JOIN dent e USING (vkey) JOIN (SELECT j, CAST(sum(n) AS BIGINT) AS n FROM placed_{_r} GROUP BY j) z ON z.j = p.j
+  GROUP BY p.j, e.idx) WHERE c > 0
+UNION ALL SELECT * FROM centres_{_r} WHERE j NOT IN (SELECT j FROM placed_{_r})""", once=True)
+cte("labels", ["gvec", f"placed_{ROUNDS}"], f"SELECT g.id, p.j AS cluster_id FROM gvec g JOIN placed_{ROUNDS} p USING (vkey)", once=True)
+cte("model", [f"centres_{ROUNDS}", "gindex"], f"""
+SELECT CAST(k.j AS INTEGER) AS cluster_id, CAST(c.idx AS INTEGER) AS idx, g.term, coalesce(c.c, 0) AS weight
+FROM (SELECT unnest(range({K})) AS j) k LEFT JOIN centres_{ROUNDS} c ON c.j = k.j LEFT JOIN gindex g ON g.idx = c.idx""")
+cte("cluster_kw", ["model"], """
 SELECT cluster_id, list(term ORDER BY r) AS keywords FROM (
-  SELECT cluster_id, term, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, term) AS r FROM (
-    SELECT l.cluster_id, w.term, {rnd('sum(w.w) / any_value(z.size)', 9)} AS weight
-    FROM gweights w JOIN labels l ON w.id = l.id
-    JOIN (SELECT cluster_id, count(*) AS size FROM labels GROUP BY cluster_id) z ON l.cluster_id = z.cluster_id
-    GROUP BY l.cluster_id, w.term))
+  SELECT cluster_id, term, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, term) AS r FROM model WHERE weight > 0)
 WHERE r <= 5 GROUP BY cluster_id""")
 SEVERITY_SCORE = (f"(greatest({D(0.0)}, -{{a}}) * {D(0.7)} + least({{n}} / {D(10.0)}, {D(1.0)}) * {D(0.3)})")
 

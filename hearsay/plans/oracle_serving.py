@@ -18,6 +18,14 @@ register("top_keywords", sql("SELECT keyword, subreddit, score FROM topics_tbl O
 register("topics_feed", sql("SELECT * FROM topics_tbl ORDER BY score DESC, keyword, subreddit LIMIT 20", "topics_tbl"))
 register("posts_with_sentiment", sql("SELECT * FROM sentiments", "sentiments"))
 register("cluster_summary", sql("SELECT * FROM clusters", "clusters"))
+register("cluster_model", sql("SELECT * FROM model", "model"))
+register("cluster_totals", sql("""
+SELECT count(*) AS clusters, CAST(sum(post_count) AS BIGINT) AS posts_in_clusters, (SELECT count(DISTINCT id) FROM labels) AS assigned_posts,
+       (SELECT count(*) FROM posts) AS posts FROM clusters""", "clusters", "labels", "posts"))
+register("topics_run", sql("""
+SELECT 'topics' AS table_name, count(*) AS row_count FROM topics_tbl UNION ALL SELECT 'cluster_model', count(*) FROM model
+UNION ALL SELECT 'cluster_labels', count(*) FROM labels UNION ALL SELECT 'issue_clusters', count(*) FROM clusters""",
+                          "topics_tbl", "model", "labels", "clusters"))
 register("cluster_severity", sql(
     f"SELECT cluster_id, {rnd(SEVERITY_SCORE.format(a='avg_sentiment', n='post_count'), 9)} AS severity_score, severity FROM clusters",
     "clusters"))

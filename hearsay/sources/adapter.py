@@ -107,6 +107,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def post_times(log: DataFrame) -> DataFrame:
+    """(id, created_utc) of the clean posts, from the log's narrow columns alone."""
+    return first_write_wins(log.where(required_present(log)).select("id", "created_utc", "ingested_at", "msg_offset")).select("id", "created_utc")
+
+
 def as_of(posts_df: DataFrame) -> Column:
     """Reproducible NOW(): the hour after the newest post.
 
