@@ -1,21 +1,15 @@
 """Sinks and table maintenance: K2 insert-if-absent, K3 ingest counts, K4 rollup merge,
-K6 enrichment update, K7/K8 versioned refresh, K13 lake layout.
+K5 day overwrite, K6 enrichment update, K13 lake layout. Versioned refreshes (K7, K8) are in ``store``.
 
 Tables are plain Parquet (no MERGE without a table format), so updates are expressed as
-relational rewrites: anti-join + append, partial sums, dynamic partition overwrite, and new
-version directories for full refreshes. Paths live under the session's shared checkpoint
-folder unless the caller names one.
+relational rewrites: anti-join + append, partial sums, dynamic partition overwrite.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
 from ..sources import adapter
 
 
@@ -46,17 +40,6 @@ def enrich_update(posts: DataFrame, enrichment: DataFrame) -> DataFrame:
     ).drop("_ne", "_np")
 
 
-def table_root(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "tables", name)
-
-
-def write_version(df: DataFrame, root: str) -> str:
-    """K7/K8: full refresh as a new version directory; readers of older versions are unaffected."""
-    path = os.path.join(root, f"v={uuid.uuid4().hex}")
-    df.write.mode("errorifexists").parquet(path)
-    return path
-
-
 def lake_write(posts: DataFrame, root: str) -> str:
     """Parquet lake, year=/month=/day=/hour= of created_utc (dynamic partition overwrite)."""
     t = F.col("created_utc")
@@ -68,6 +51,12 @@ def lake_write(posts: DataFrame, root: str) -> str:
     return root
 
 
+def overwrite_days(rows: DataFrame, root: str, column: str = "date") -> str:
+    """K5: replace the days that ``rows`` holds; the files of every other day stay as they are."""
+    rows.repartition(column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(root)
+    return root
+
+
 def lake_counts(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root).groupBy("year", "month", "day", "hour").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -6,8 +6,6 @@ streaming and K-Means keys have no SQL twin and are checked on rows only.
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +18,7 @@ from ..operators import alerts as al
 from ..operators import anomaly as an
 from ..operators import clusters as cl
 from ..operators import daily as dy
+from ..operators import incremental as inc
 from ..operators import quality as qu
 from ..operators import rollup as ru
 from ..operators import serving as sv
@@ -197,6 +196,32 @@ def _rollup_merge(r: Run) -> DataFrame:
     return ru.finish(ru.merge_partials(p1.unionByName(p2)))
 
 
+def _slices(r: Run, n: int = 4) -> list[int]:
+    """The offsets that cut the log into ``n`` batches."""
+    top = r.landing.agg(F.max("msg_offset")).first()[0]
+    return [] if top is None else [top * (k + 1) // n for k in range(n)]
+
+
+@plan("rollup_incremental")
+def _rollup_incremental(r: Run) -> DataFrame:
+    """The log processed in four batches, partials of dirty minutes appended, folded once on the way."""
+    rollup = inc.IncrementalRollup(r.spark, r.scratch("incremental"), r.lexicon)
+    for k, upto in enumerate(_slices(r)):
+        rollup.advance(r.landing, upto)
+        if k == 1:
+            rollup.compact()
+    return rollup.minutes()
+
+
+@plan("ingest_batches")
+def _ingest_batches(r: Run) -> DataFrame:
+    """K2/K3: inserted / duplicate / error counts of each of the four batches."""
+    rollup = inc.IncrementalRollup(r.spark, r.scratch("incremental"), r.lexicon)
+    for upto in _slices(r):
+        rollup.advance(r.landing, upto)
+    return rollup.batches()
+
+
 @plan("unscored_posts")
 def _unscored_posts(r: Run) -> DataFrame:
     """Posts of batch 2 whose (community, minute) bucket batch 1 has not created yet."""
@@ -218,7 +243,7 @@ def _enrich_update(r: Run) -> DataFrame:
 @plan("lake_partitions")
 def _lake_partitions(r: Run) -> DataFrame:
     """Posts written as a year/month/day/hour Parquet lake; rows per partition read back."""
-    root = os.path.join(sk.table_root(r.spark, "lake"), uuid.uuid4().hex)
+    root = r.scratch("lake")
     sk.lake_write(r.posts, root)
     return sk.lake_counts(r.spark, root)
 
@@ -496,12 +521,11 @@ def _daily_metrics_full(r: Run) -> DataFrame:
 
 @plan("upsert_replace")
 def _upsert_replace(r: Run) -> DataFrame:
-    """K5: yesterday's table (batch 1 data) with today's recomputed dates replacing their rows."""
+    """K5: yesterday's stored table (batch 1 data), of which the days that batch 2 touches are recomputed and overwritten."""
     cut = r.as_of - h24()
     s1 = r.scored.where(F.col("ingested_at") < cut)
-    old = dy.daily_table(s1, ru.minute_rollup(s1))
-    new = dy.daily_table(r.scored, r.minutes).where(F.col("date") >= F.to_date(cut))
-    return dy.upsert_replace(old, new)
+    root = sk.overwrite_days(dy.daily_table(s1, ru.minute_rollup(s1)), r.scratch("daily"))
+    return r.spark.read.parquet(sk.overwrite_days(dy.daily_table(r.scored, r.minutes).where(F.col("date") >= F.to_date(cut)), root))
 
 
 @plan("distinct_communities")
@@ -744,7 +768,7 @@ def _sentiment_labels(r: Run) -> DataFrame:
 
 def _stream_run(r: Run) -> dict[str, str]:
     from ..streaming import ingest as st
-    root = sk.table_root(r.spark, os.path.join("streams", uuid.uuid4().hex))
+    root = r.scratch("streams")
     return st.run_pipeline(r.spark, r.landing, root)
 
 

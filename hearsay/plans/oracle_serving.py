@@ -236,6 +236,17 @@ register("insert_if_absent", sql("SELECT id, score, num_comments, ingested_at FR
 register("ingest_counts", sql(f"""
 SELECT (SELECT count(*) FROM ins2) AS inserted, count_if({_VALID}) - (SELECT count(*) FROM ins2) AS duplicates,
        count_if(NOT ({_VALID})) AS errors FROM b2""", "ins2", "b2"))
+register("rollup_incremental", sql("SELECT * FROM minutes", "minutes"))
+register("ingest_batches", sql(f"""
+SELECT CAST(b.batch AS INTEGER) AS batch, b.from_offset, b.upto_offset, count(DISTINCT CASE WHEN m.first_batch = b.batch THEN m.id END) AS inserted,
+       count_if(m.ok) - count(DISTINCT CASE WHEN m.first_batch = b.batch THEN m.id END) AS duplicates, count_if(NOT m.ok) AS errors
+FROM (SELECT k AS batch, CASE WHEN k = 0 THEN -1 ELSE top * k // 4 END AS from_offset, top * (k + 1) // 4 AS upto_offset
+      FROM (SELECT max(msg_offset) AS top FROM landing), (SELECT unnest(range(4)) AS k)) b
+JOIN (SELECT *, min(CASE WHEN ok THEN least(3, CASE WHEN msg_offset <= top * 1 // 4 THEN 0 WHEN msg_offset <= top * 2 // 4 THEN 1
+                    WHEN msg_offset <= top * 3 // 4 THEN 2 ELSE 3 END) END) OVER (PARTITION BY id) AS first_batch
+      FROM (SELECT *, ({_VALID}) AS ok, max(msg_offset) OVER () AS top FROM landing)) m
+  ON m.msg_offset > b.from_offset AND m.msg_offset <= b.upto_offset
+GROUP BY b.batch, b.from_offset, b.upto_offset""", "landing"))
 register("rollup_merge", sql("SELECT * FROM minutes", "minutes"))
 register("unscored_posts", sql(f"""
 SELECT p.id, p.subreddit, p.minute FROM posts p WHERE p.ingested_at >= {AS_OF} - INTERVAL 24 HOUR

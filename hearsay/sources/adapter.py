@@ -98,13 +98,14 @@ def first_write_wins(df: DataFrame, key: str = "id", order: tuple[str, ...] = ("
     )
 
 
+def shaped(clean: DataFrame) -> DataFrame:
+    """Accepted messages as posts: absolute permalink, minute bucket."""
+    return clean.withColumn("permalink", tx.build_permalink("permalink")).withColumn("minute", tx.minute_bucket("created_utc"))
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean posts: valid, de-duplicated (first write wins), permalink absolute, minute bucket."""
-    msgs = landing(spark, sf_dir).where(required_present(None))
-    clean = first_write_wins(msgs)
-    return clean.withColumn("permalink", tx.build_permalink("permalink")).withColumn(
-        "minute", tx.minute_bucket("created_utc")
-    )
+    return shaped(first_write_wins(landing(spark, sf_dir).where(required_present(None))))
 
 
 def post_times(log: DataFrame) -> DataFrame:

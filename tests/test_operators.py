@@ -128,14 +128,6 @@ def test_first_write_wins_and_idempotent_insert(spark):
     assert adapter.first_write_wins(batch).count() == 2
 
 
-def test_versioned_refresh_keeps_old_version(spark, tmp_path):
-    root = str(tmp_path / "topics")
-    v1 = sk.write_version(spark.createDataFrame([("a", 1)], "k string, v int"), root)
-    v2 = sk.write_version(spark.createDataFrame([("a", 2), ("b", 3)], "k string, v int"), root)
-    assert v1 != v2
-    assert spark.read.parquet(v1).count() == 1 and spark.read.parquet(v2).count() == 2
-
-
 def test_stream_drops_rows_behind_watermark(spark, tmp_path):
     """A row older than the watermark arriving in a later micro-batch is dropped."""
     import json
