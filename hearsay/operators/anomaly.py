@@ -215,3 +215,36 @@ def rolling_anomalies(minutes: DataFrame, window_minutes: int = 60, threshold: f
     return (m.where(F.col("prior_std") > 0).withColumn("z_score", z).where(F.col("z_score") > threshold)
             .select("subreddit", "minute", "avg_sentiment", "prior_n", "prior_mean", "prior_std", "z_score",
                     z_severity(F.col("z_score")).alias("severity")))
+
+
+def micro(c: str) -> Column:
+    """A sentiment in whole millionths."""
+    return F.round(F.col(c) * F.lit(1e6)).cast("bigint")
+
+
+def expanding_anomalies(minutes: DataFrame, threshold: float = 2.0, state: DataFrame | None = None) -> DataFrame:
+    """Each minute bucket against all earlier ones of its community, by exact moments.
+
+    ``state`` (subreddit, n, s1, s2) stands for the buckets before these; with it a stream judges a batch of settled
+    windows as one pass over everything would. Buckets are rows of a rollup: one a minute and community.
+    """
+    before = Window.partitionBy("subreddit").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    u = micro("avg_sentiment")
+    whole = "decimal(38,0)"
+    x = minutes
+    if state is not None:
+        x = x.join(state.select("subreddit", F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2")), "subreddit", "left")
+    prior = (("_n", F.lit(0)), ("_s1", F.lit(0)), ("_s2", F.lit(0)))
+    n0, s10, s20 = (F.coalesce(F.col(c), z) if state is not None else z for c, z in prior)
+    x = x.select(
+        "subreddit", "minute", "avg_sentiment", (n0 + F.count(F.lit(1)).over(before)).alias("prior_n"),
+        (s10 + F.coalesce(F.sum(u).over(before), F.lit(0))).cast(whole).alias("_a"),
+        (s20.cast(whole) + F.coalesce(F.sum((u * u).cast("decimal(20,0)")).over(before), F.lit(0).cast("decimal(30,0)"))).cast(whole).alias("_b"))
+    n = F.col("prior_n").cast("double")
+    # n * sum of squares - square of the sum, in whole numbers: what is lost is lost in one division
+    spread = (F.col("prior_n").cast("decimal(18,0)") * F.col("_b").cast("decimal(19,0)")).cast(whole) - (F.col("_a").cast("decimal(19,0)") * F.col("_a").cast("decimal(19,0)")).cast(whole)
+    x = x.where((F.col("prior_n") >= 2) & (spread > 0)).select(
+        "subreddit", "minute", "avg_sentiment", "prior_n", (F.col("_a").cast("double") / n / F.lit(1e6)).alias("prior_mean"),
+        tx.rnd(F.sqrt(spread.cast("double") / (n * (n - 1))) / F.lit(1e6), 9).alias("prior_std"))
+    z = tx.rnd(F.abs(F.col("avg_sentiment") - F.col("prior_mean")) / F.col("prior_std"), 6)
+    return x.where(F.col("prior_std") > 0).withColumn("z_score", z).where(F.col("z_score") > threshold).withColumn("severity", z_severity(F.col("z_score")))

@@ -1,7 +1,7 @@
 """Query catalog: one plan per key of SURVEY §2, each ``fn(run) -> DataFrame``.
 
 Keys match ``plans.oracle.ORACLE`` (DuckDB SQL of the same meaning) where one exists; the
-streaming and K-Means keys have no SQL twin and are checked on rows only.
+key of ``pyspark.ml``'s K-Means has no SQL twin and is checked on rows only.
 """
 
 from __future__ import annotations
@@ -762,37 +762,57 @@ def _sentiment_labels(r: Run) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------
-# Streaming (rows-only checks: the stream drops rows behind its watermark by design)
+# Streaming: four arrival-time slices, each a micro-batch of every query
 # ---------------------------------------------------------------------------------------------
 
 
-def _stream_run(r: Run) -> dict[str, str]:
+def _stream(r: Run, table: str) -> DataFrame:
+    """A table of the one streamed run of this input, stored like any derived table."""
     from ..streaming import ingest as st
-    root = r.scratch("streams")
-    return st.run_pipeline(r.spark, r.landing, root)
 
+    def build() -> DataFrame:
+        made = st.run_pipeline(r.spark, r.landing, r.scratch("streams"))
+        for name, path in made.items():
+            if name not in ("in", table):
+                r.stored(f"stream-{name}", lambda p=path: r.spark.read.parquet(p))
+        return r.spark.read.parquet(made[table])
 
-@plan("stream_ingest", rows_only=True)
+    return r.stored(f"stream-{table}", build)
+
+
+@plan("stream_ingest")
 def _stream_ingest(r: Run) -> DataFrame:
-    """Messages → parse → watermark/dedupe → foreachBatch enrichment, per batch_id."""
-    return r.spark.read.parquet(_stream_run(r)["scored"])
+    """Messages → parse → watermark/dedupe → foreachBatch enrichment."""
+    batch = F.dense_rank().over(Window.orderBy("batch_id"))
+    order = _stream(r, "scored").select("batch_id").distinct().select("batch_id", batch.alias("slice"))
+    return _stream(r, "scored").join(order, "batch_id").select("id", "subreddit", "minute", "compound", "category", "slice")
 
 
-@plan("stream_dedupe", rows_only=True)
+@plan("stream_dedupe")
 def _stream_dedupe(r: Run) -> DataFrame:
     """Ids kept by the stream (each exactly once)."""
-    return r.spark.read.parquet(_stream_run(r)["scored"]).groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+    return _stream(r, "scored").groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@plan("stream_quarantine")
+def _stream_quarantine(r: Run) -> DataFrame:
+    """Rejected messages by reason."""
+    return _stream(r, "quarantine").groupBy("reason").agg(F.count(F.lit(1)).alias("messages"))
 
 
-@plan("stream_minute_rollup", rows_only=True)
+@plan("stream_minute_rollup")
 def _stream_minute_rollup(r: Run) -> DataFrame:
     """Settled 1-minute windows per community."""
-    return r.spark.read.parquet(_stream_run(r)["minutes"])
+    return _stream(r, "minutes").drop("batch_id")
 
 
-@plan("stream_anomaly", rows_only=True)
+@plan("stream_anomaly")
 def _stream_anomaly(r: Run) -> DataFrame:
-    """Streamed windows against the stored (batch) baseline."""
-    from ..streaming import ingest as st
-    windows = r.spark.read.parquet(_stream_run(r)["minutes"])
-    return st.anomaly_batch(windows, ru.sentiment_baseline(r.minutes))
+    """Alerts raised in the batch that settled their window."""
+    return _stream(r, "alerts").drop("batch_id")
+
+
+@plan("expanding_anomaly")
+def _expanding_anomaly(r: Run) -> DataFrame:
+    """X6's detector in one pass over the rollup."""
+    return an.expanding_anomalies(r.minutes)

@@ -282,3 +282,50 @@ SELECT 'sentiment_drop', 'medium', subreddit, max({rnd('(prev - s) / prev', 6)})
 WHERE prev > 0 AND s < prev * {D(0.5)} GROUP BY subreddit""", "posts", "minutes", "b2", "as_of"))
 
 UNITS6 = UNITS6  # re-exported for callers
+
+# ---------------------------------------------------------------------------------------------
+# Streams: slices of the log by arrival; the watermark of a slice comes from the slices before it
+# ---------------------------------------------------------------------------------------------
+cte("sliced", ["landing"], f"""
+SELECT *, (epoch_us(ingested_at) - lo) // ((hi - lo) // 4 + 1) AS slice
+FROM (SELECT *, min(epoch_us(ingested_at)) OVER () AS lo, max(epoch_us(ingested_at)) OVER () AS hi FROM landing)""")
+cte("marks", ["sliced"], f"""
+SELECT k.slice, (SELECT max(created_utc) FROM sliced s WHERE s.slice < k.slice AND {_VALID}) - INTERVAL 10 MINUTE AS mark
+FROM (SELECT unnest(range(4)) AS slice) k""")
+cte("streamed", ["sliced", "marks"], f"""
+SELECT id, min(slice) AS slice FROM sliced JOIN marks USING (slice) WHERE {_VALID} AND (mark IS NULL OR created_utc > mark) GROUP BY id""")
+cte("s_scored", ["streamed", "scored_c"], "SELECT c.*, s.slice FROM scored_c c JOIN streamed s USING (id)")
+cte("s_minutes", ["s_scored"], f"""
+SELECT minute, subreddit, count(*) AS posts_count,
+       CAST(sum(CAST(round(compound * {D(1e4)}) AS BIGINT)) AS DOUBLE) / {D(1e4)} / count(*) AS avg_sentiment,
+       CAST(count_if(category = 'positive') AS BIGINT) AS positive_count,
+       CAST(count_if(category = 'negative') AS BIGINT) AS negative_count,
+       CAST(count_if(category = 'neutral') AS BIGINT) AS neutral_count
+FROM s_scored WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(created_utc) FROM s_scored) - INTERVAL 10 MINUTE
+GROUP BY minute, subreddit""")
+
+
+def expanding(src: str) -> str:
+    z = rnd("abs(avg_sentiment - prior_mean) / prior_std", 6)
+    return f"""
+SELECT subreddit, minute, avg_sentiment, prior_n, prior_mean, prior_std, {z} AS z_score,
+       CASE WHEN {z} > 3 THEN 'CRITICAL' WHEN {z} > 2.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
+FROM (SELECT subreddit, minute, avg_sentiment, prior_n, CAST(a AS DOUBLE) / CAST(prior_n AS DOUBLE) / {D(1e6)} AS prior_mean,
+             {rnd('sqrt(CAST(prior_n * b - a * a AS DOUBLE) / (CAST(prior_n AS DOUBLE) * (CAST(prior_n AS DOUBLE) - 1))) / ' + D(1e6), 9)} AS prior_std
+      FROM (SELECT subreddit, minute, avg_sentiment, count(*) OVER w AS prior_n, sum(u) OVER w AS a, sum(u * u) OVER w AS b
+            FROM (SELECT *, CAST(round(avg_sentiment * {D(1e6)}) AS HUGEINT) AS u FROM {src})
+            WINDOW w AS (PARTITION BY subreddit ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      WHERE prior_n >= 2 AND prior_n * b - a * a > 0)
+WHERE prior_std > 0 AND {z} > {D(2.0)}"""
+
+
+register("stream_ingest", sql("SELECT id, subreddit, minute, compound, category, dense_rank() OVER (ORDER BY slice) AS slice FROM s_scored", "s_scored"))
+register("stream_dedupe", sql("SELECT id, 1 AS copies FROM s_scored", "s_scored"))
+register("stream_quarantine", sql(f"""
+SELECT concat('missing: ', concat_ws(', ', CASE WHEN id IS NULL THEN 'id' END, CASE WHEN title IS NULL THEN 'title' END,
+  CASE WHEN author IS NULL THEN 'author' END, CASE WHEN created_utc IS NULL THEN 'created_utc' END,
+  CASE WHEN subreddit IS NULL THEN 'subreddit' END)) AS reason, count(*) AS messages
+FROM landing WHERE NOT ({_VALID}) GROUP BY 1""", "landing"))
+register("stream_minute_rollup", sql("SELECT * FROM s_minutes", "s_minutes"))
+register("stream_anomaly", sql(expanding("s_minutes"), "s_minutes"))
+register("expanding_anomaly", sql(expanding("minutes"), "minutes"))

@@ -5,15 +5,16 @@ Pipeline (two queries, a Parquet table between them):
 1. ``ingest``: message source (Kafka topic, or a JSON file directory in tests) → ``from_json``
    → ISO text to timestamps (P3) → valid/quarantine split (P4) → event-time watermark →
    ``dropDuplicatesWithinWatermark(id)`` (X4) → ``foreachBatch``: batch enrichment (X5, the
-   same relational scoring/tagging as the batch path, lexicon broadcast) written to
-   ``scored/batch_id=N`` with dynamic partition overwrite, so a replayed micro-batch rewrites
+   same relational scoring/tagging as the batch path, lexicon broadcast) of the batch's posts,
+   written to ``scored_posts/batch_id=N``, into ``scored/batch_id=N`` with dynamic partition overwrite, so a replayed micro-batch rewrites
    its own partition (X7/X9: at-least-once delivery + idempotent sink). The checkpoint
    replaces the consumer's offset commit. Messages that can't be decoded or lack a required
    field go to ``quarantine/batch_id=N`` with their text and the reason, by a query of its own.
 2. ``minute_rollup_stream``: reads the scored table as a stream, watermark 10 minutes, one row
    per id (a rewritten partition is new files to a file stream; its ids are known and count once),
    1-minute tumbling windows per community (X2/X3); append mode emits a window once the
-   watermark passes it; later rows for a closed window are dropped (X8).
+   watermark passes it; later rows for a closed window are dropped (X8). ``detect`` runs the
+   detector in the batch that closes the windows (X6), with mergeable moments as its state.
 
 Streams carry ``TIMESTAMP`` (session UTC) because watermarks reject ``TIMESTAMP_NTZ``.
 """
@@ -26,7 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import anomaly as an
 from ..operators import rollup as ru
+from ..operators.store import children
 from ..sources import adapter, tables
 
 MESSAGE_SCHEMA = (
@@ -83,7 +86,10 @@ def _enrich_batch(out_dir: str, lexicon_rows):
                  .withColumn("ingested_at", F.col("ingested_at").cast("timestamp_ntz"))
                  .withColumn("permalink", tx.build_permalink("permalink"))
                  .withColumn("minute", tx.minute_bucket("created_utc")))
-        scored = ru.enrich(posts, lex).withColumn("batch_id", F.lit(batch_id))
+        # The batch's posts are written once and read back: the stateful dedupe runs once a batch, and is counted once.
+        stored = os.path.join(f"{out_dir}_posts", f"batch_id={batch_id}")
+        posts.write.mode("overwrite").parquet(stored)
+        scored = ru.enrich(spark.read.parquet(stored), lex).withColumn("batch_id", F.lit(batch_id))
         (scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(out_dir))
     return fn
@@ -91,13 +97,27 @@ def _enrich_batch(out_dir: str, lexicon_rows):
 
 def ingest(raw: DataFrame, out_dir: str, checkpoint: str, lexicon_rows=None, available_now: bool = True,
            interval: str = "5 seconds"):
-    """Start the ingest query; returns the StreamingQuery."""
-    w = deduped(parse(raw)).writeStream.foreachBatch(_enrich_batch(out_dir, lexicon_rows)).option(
-        "checkpointLocation", checkpoint)
+    """Start the ingest query; returns the StreamingQuery. Its progress carries the counts of ``batch_counts``."""
+    parsed = parse(raw)
+    ok = valid(parsed)
+    seen = parsed.observe("messages", F.count(F.lit(1)).alias("received"), F.count_if(~ok).alias("errors"))
+    kept = deduped(seen).observe("kept", F.count(F.lit(1)).alias("inserted"))
+    w = kept.writeStream.foreachBatch(_enrich_batch(out_dir, lexicon_rows)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
 
+def batch_counts(query) -> list[dict]:
+    """K3 of a running or ended ingest query: per micro-batch inserted, duplicate (or late) and error counts."""
+    out = []
+    for p in query.recentProgress:
+        m = p.observedMetrics
+        if "messages" in m and "kept" in m and m["messages"]["received"]:
+            received, errors, inserted = m["messages"]["received"], m["messages"]["errors"], m["kept"]["inserted"]
+            out.append({"batch_id": p.batchId, "inserted": inserted, "duplicates": received - errors - inserted, "errors": errors})
+    return out
+
+
 def quarantine(raw: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True, interval: str = "5 seconds"):
     """Start the query that keeps rejected messages, a partition per batch; returns the StreamingQuery."""
 
@@ -132,38 +152,67 @@ def minute_rollup_stream(spark: SparkSession, scored_dir: str, schema) -> DataFr
                     "positive_count", "negative_count", "neutral_count")
 
 
-def run_pipeline(spark: SparkSession, landing: DataFrame, root: str, slices: int = 4) -> dict[str, str]:
-    """Drive both queries over a message log in ``slices`` arrival-time slices.
+def _moments(windows: DataFrame) -> DataFrame:
+    """(subreddit, n, s1, s2): count, sum and sum of squares of the windows' sentiment in exact whole units; merge = sum."""
+    u = an.micro("avg_sentiment")
+    return windows.groupBy("subreddit").agg(F.count(F.lit(1)).alias("n"), F.sum(u).alias("s1"), F.sum((u * u).cast("decimal(38,0)")).cast("decimal(38,0)").alias("s2"))
+
+
+def merge_moments(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("subreddit").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").cast("decimal(38,0)").alias("s2"))
+
+
+def _detect_batch(root: str, threshold: float):
+    """A micro-batch of settled windows against the moments of all earlier ones.
+
+    Windows settle in the order of time, so those of a batch come after all that the state has seen: each is judged
+    by the state and the batch's own earlier windows, and the alerts don't depend on how the stream was cut. The
+    state, a row a community, is written per batch; a batch that runs again starts from its predecessor's.
+    """
+
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        part = lambda kind, k: os.path.join(root, kind, f"batch_id={k}")
+        batch.write.mode("overwrite").parquet(part("minutes", batch_id))
+        windows = spark.read.parquet(part("minutes", batch_id))
+        seen = [k for k in (int(c.split("=")[1]) for c in children(spark, os.path.join(root, "moments")) if c.startswith("batch_id=")) if k < batch_id]
+        state = spark.read.parquet(part("moments", max(seen))) if seen else _moments(windows.limit(0))
+        an.expanding_anomalies(windows, threshold, state).write.mode("overwrite").parquet(part("alerts", batch_id))
+        merge_moments(state.unionByName(_moments(windows))).coalesce(1).write.mode("overwrite").parquet(part("moments", batch_id))
+
+    return fn
+
+
+def detect(spark: SparkSession, scored_dir: str, schema, root: str, checkpoint: str, threshold: float = 2.0, available_now: bool = True, interval: str = "5 seconds"):
+    """Start the query that settles minute windows and raises alerts in the batch that closes them; returns the StreamingQuery."""
+    w = minute_rollup_stream(spark, scored_dir, schema).writeStream.outputMode("append").foreachBatch(_detect_batch(root, threshold)).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    return w.start()
+
+
+def run_pipeline(spark: SparkSession, landing: DataFrame, root: str, slices: int = 4, max_files: int = 1000) -> dict[str, str]:
+    """Drive all queries over a message log in ``slices`` arrival-time slices.
 
-    Each slice is appended to the source directory and the *same* ingest query is restarted
-    from its checkpoint (availableNow), so micro-batch boundaries are deterministic and every
-    restart only reads new files — the restart/idempotence path of X7/X9 runs on every call.
+    Each slice is appended to the source directory and the *same* queries are restarted from their checkpoints
+    (availableNow): ingest takes the slice's new files, the detector what ingest has written, so alerts appear
+    slice by slice and every restart exercises X7/X9. A slice has fewer files than a trigger may take, so that
+    a slice is one micro-batch and the watermark moves slice by slice.
     """
     from ..sources import listing
 
     src = os.path.join(root, "in")
     scored_dir = os.path.join(root, "scored")
-    ckpt = os.path.join(root, "ckpt_ingest")
     t = F.unix_micros(F.col("ingested_at").cast("timestamp"))
     lo, hi = landing.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
     step = (hi - lo) // slices + 1
     msgs = landing.select(t.alias("_t"), listing.message_value(False).alias("value"))
     for i in range(slices):
         part = msgs.where((F.col("_t") >= lo + i * step) & (F.col("_t") < lo + (i + 1) * step)).select("value")
-        part.write.mode("append").text(src)
-        ingest(file_source(spark, src, max_files=1 << 30), scored_dir, ckpt).awaitTermination()
+        part.coalesce(max_files // 2).write.mode("append").text(src)
+        ingest(file_source(spark, src, max_files), scored_dir, os.path.join(root, "ckpt_ingest")).awaitTermination()
+        schema = spark.read.parquet(scored_dir).drop("batch_id").schema
+        detect(spark, scored_dir, schema, os.path.join(root, "detected"), os.path.join(root, "ckpt_detect")).awaitTermination()
     bad_dir = os.path.join(root, "quarantine")
-    quarantine(file_source(spark, src, max_files=1 << 30), bad_dir, os.path.join(root, "ckpt_quarantine")).awaitTermination()
-    schema = spark.read.parquet(scored_dir).drop("batch_id").schema
-    rolled = minute_rollup_stream(spark, scored_dir, schema)
-    rq = (rolled.writeStream.outputMode("append").format("parquet").option("path", os.path.join(root, "minutes"))
-          .option("checkpointLocation", os.path.join(root, "ckpt_minutes")).trigger(availableNow=True).start())
-    rq.awaitTermination()
-    return {"in": src, "scored": scored_dir, "quarantine": bad_dir, "minutes": os.path.join(root, "minutes")}
-
-
-def anomaly_batch(minutes_stream_table: DataFrame, baseline: DataFrame, threshold: float = 2.0) -> DataFrame:
-    """Settled windows against a stored per-community baseline (mean, std)."""
-    j = minutes_stream_table.join(baseline.select("subreddit", "mean", "std"), "subreddit")
-    z = tx.rnd(F.abs(F.col("avg_sentiment") - F.col("mean")) / F.col("std"), 6)
-    return j.where(F.col("std") > 0).withColumn("z_score", z).where(F.col("z_score") > threshold)
+    quarantine(file_source(spark, src, max_files), bad_dir, os.path.join(root, "ckpt_quarantine")).awaitTermination()
+    found = os.path.join(root, "detected")
+    return {"in": src, "scored": scored_dir, "quarantine": bad_dir, "minutes": os.path.join(found, "minutes"), "alerts": os.path.join(found, "alerts"), "moments": os.path.join(found, "moments")}
