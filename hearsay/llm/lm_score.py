@@ -4,45 +4,50 @@ Texts are lower-cased (A-Z) and split into words; the words, one space between,
 symbols (bytes) that the tree predicts. Contexts are the last 0 to ``DEPTH`` symbols. A context is
 retained where its next-symbol distribution diverges from that of its longest proper suffix: its gain,
 n * KL(own || suffix) in bits, is at least ``MIN_GAIN`` and it was seen ``MIN_SEEN`` times. The suffixes of a
-retained context are retained too. Distributions are smoothed towards the suffix's (``PRIOR`` symbols),
+retained context are retained too. Every context that passes is retained: the tree grows with the corpus and
+is a set of written tables, one a depth. Distributions are smoothed towards the suffix's (``PRIOR`` symbols),
 and a text is scored by the longest retained suffix at each symbol: log10 of the product.
 
-The base score needs the count of each token in the training rows. Rows are dealt into blocks by a hash
-of their id; each block sends its distinct words once, the counts are added by word, and the sums come
-back to the blocks that asked.
+Rows are dealt into blocks. Each block sends its distinct words and its distinct grams (``DEPTH`` symbols and
+the next one) once, with the counts of its training rows; a bucket of the keys adds them up. The sums of the
+grams are the tree's statistics. Buckets then send back what each block asked for: the counts of its words, and
+for each gram the log10 probability under its longest retained context. Blocks score their texts with these.
 
 Defined cases: a null or empty text is the end mark alone (one token); without a training row every
 count is 0 and the tree is uniform; a null id is a training row (crc32 of no bytes is 0); rows that share
 an id are scored one by one; equal texts get equal scores; bytes outside the alphabet share one symbol and
-split its probability evenly.
+split its probability evenly. Words are told apart by 64-bit hashes with their length.
 
-At scale: texts move twice, to their block (the same exchange, which Spark re-uses). A word moves once a
-block, however often or wherever it occurs, so no word is hot. The tree's statistics are pre-aggregated in
-every task; its divergence tests are joins and sums by context; only the retained states, ``MAX_STATES`` at
-most (a parameter of the model: those of the largest gain), come to the driver and travel with the tasks.
+At scale: texts are compressed and move twice, to their block. A word or gram moves once a block, however often
+it occurs, in sorted arrays, so no key is hot. Divergence tests and probabilities are joins and sums by context
+over the distinct grams. Nothing but sums, and the counts of 256 bytes, comes to the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, materialize, ship, small_batches
+from .common import arrow_schema, byte_texts, map_arrow, materialize, mix64, ship, struct, word_hashes
 from .langid import id_crc
 
 #: Parameters of the tree.
-DEPTH, MIN_SEEN, MIN_GAIN, PRIOR, MAX_STATES = 5, 32, 24.0, 4.0, 32_768
+DEPTH, MIN_SEEN, MIN_GAIN, PRIOR = 5, 32, 24.0, 4.0
 ALPHABET = 64
-#: Text bytes of a block of rows.
-BLOCK_BYTES = 8 << 20
+#: Text bytes of a block of rows, of texts handled at a time, and for each bucket of keys.
+BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 48 << 20
 END = 10  # the byte that marks a text's end; not in any word
+END_WORD = np.uint64(1)  # the end mark's key among the words
+WORDS, GRAMS = 0, 1
+
+ASKED = struct("block int, bucket int, kind int, keys binary, counts binary")
+REPLY = struct("block int, kind int, keys binary, answers binary")
+GRAM = struct("gram long, n long, bucket int")
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -69,212 +74,267 @@ def contexts(x: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> np.ndarra
     return out
 
 
-def gram_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(gram, n): counts of DEPTH bytes and the next one, over all rows."""
-    schema = T.StructType.fromDDL("gram long, n long")
-    out = arrow_schema(schema)
+def text_chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``CHUNK_BYTES``; a longer text is a run of its own."""
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > CHUNK_BYTES:
+            yield at, k
+            at, size = k, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, len(texts)
 
-    def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([p[0] for p in parts])
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], np.concatenate([p[1] for p in parts])[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.add.reduceat(n, first)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in small_batches(batches):
-            x, starts = symbols([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()])
-            keys, n = np.unique(contexts(x, starts), return_counts=True)
-            parts.append((keys, n.astype(np.int64)))
-            if len(parts) >= 8:
-                parts = [add_up(parts)]
-            if len(parts[0][0]) > 2_000_000:  # bounded memory: what a task has so far goes out, and is added up later
-                yield pa.RecordBatch.from_arrays([pa.array(parts[0][0].astype(np.int64)), pa.array(parts[0][1])], schema=out)
-                parts = parts[1:]
-        if parts:
-            keys, n = add_up(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], schema=out)
 
-    ship(docs.sparkSession)
-    return docs.select(F.col(text_col)).mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def low_bytes(x, k: int):  # noqa: ANN001, ANN201
-    """The ``k`` lowest bytes of a number column."""
-    return x.bitwiseAND(F.lit((1 << (8 * k)) - 1))
-
-
-@dataclass
-class Tree:
-    """Retained contexts, each a tuple of symbol numbers (oldest first), and their log10 distributions."""
-
-    classes: np.ndarray  # byte → symbol number
-    contexts: list[tuple[int, ...]]
-    logp: np.ndarray  # states x ALPHABET, float32; of one byte of the symbol
-
-    def steps(self) -> np.ndarray:
-        """Where a state goes with the next older symbol: to a longer retained context, or to a copy of itself that stays."""
-        n = len(self.contexts)
-        place = {c: k for k, c in enumerate(self.contexts)}
-        out = np.repeat(np.arange(n, 2 * n, dtype=np.int32)[None], 2, 0).reshape(-1, 1).repeat(ALPHABET, 1)
-        for c, k in place.items():
-            if c:
-                out[place[c[1:]], c[0]] = k
-        return out.reshape(-1)
-
-
-_STEPS: dict[int, np.ndarray] = {}
-
-
-def score(tree: Tree, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each text: at each symbol, that of the longest retained suffix."""
-    key = hash((tree.logp.tobytes(), tuple(tree.contexts)))
-    if key not in _STEPS:
-        _STEPS.clear()
-        _STEPS[key] = tree.steps()
-    steps, n, end = _STEPS[key], len(tree.contexts), tree.classes[END]
-    flat = tree.logp.reshape(-1)
-    out = []
-    for k in range(0, len(texts), 64):
-        x, starts = symbols(texts[k : k + 64])
-        c = tree.classes[x].astype(np.int32)
-        since = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
-        ahead = np.concatenate([np.full(DEPTH, end, np.int32), c])
-        at = np.zeros(len(x), np.int32)
-        for d in range(1, DEPTH + 1):
-            before = ahead[DEPTH - d : DEPTH - d + len(x)].copy()
-            before[since < d] = end
-            at = steps[at * ALPHABET + before]
-        out.append(np.add.reduceat(flat[(at % n) * ALPHABET + c].astype(np.float64), starts))
-    return np.concatenate(out) if out else np.zeros(0)
-
-
-def fit(grams: DataFrame) -> Tree:
-    """The tree from gram counts: levels are sums, divergence tests join each context with its suffix."""
-    sums = {r[0]: r[1] for r in grams.groupBy(low_bytes(F.col("gram"), 1).alias("b")).agg(F.sum("n")).collect()}  # 256 rows at most
+def words_in(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the words of a run of symbols, in order, and how many each text has."""
+    gap = (x == 32) | (x == END)
+    first = ~gap & np.concatenate([[True], gap[:-1]])
+    return word_hashes(x.tobytes())[0], np.add.reduceat(first.astype(np.int64), starts)
+
+
+def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts."""
+    keys = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
+    n = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def distinct_of(texts: list[bytes], learn: list[bool]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The distinct words and grams of a block's texts, with their counts in the rows that learn."""
+    found: dict[int, list] = {WORDS: [], GRAMS: []}
+    for used in (True, False):
+        own = [t for t, x in zip(texts, learn) if x == used]
+        for a, b in text_chunks(own):
+            x, starts = symbols(own[a:b])
+            for kind, keys in ((WORDS, np.append(words_in(x, starts)[0], np.full(b - a, END_WORD))), (GRAMS, contexts(x, starts))):
+                k, n = np.unique(keys, return_counts=True)
+                found[kind].append((k, n.astype(np.int64) * used))
+                if len(found[kind]) >= 8:
+                    found[kind] = [add_up(found[kind])]
+    return {kind: add_up(parts) for kind, parts in found.items()}
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed differences: sorted keys and small counts take few bytes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def unpack(b: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.cumsum(np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel(), dtype=kind)
+
+
+def rows_of(schema: T.StructType, columns: list) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow_schema(schema))], schema=arrow_schema(schema))
+
+
+def shape_digits(gram: Column, classes: np.ndarray) -> Column:
+    """A gram of bytes as one of symbol numbers, 6 bits each."""
+    lookup = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
+    g = F.lit(0).cast("long")
+    for d in range(DEPTH, -1, -1):
+        g = g * ALPHABET + lookup[F.shiftright(gram, 8 * d).bitwiseAND(F.lit(255)).cast("int")]
+    return g
+
+
+def byte_classes(grams: DataFrame) -> np.ndarray:
+    """Byte → symbol number: the end mark, the space, the most frequent bytes, and one number for the rest."""
+    low = F.col("gram").bitwiseAND(F.lit(255)).alias("b")
+    sums = {r["b"]: r["n"] for r in grams.groupBy(low).agg(F.sum("n").alias("n")).collect()}  # 256 rows at most
     common = sorted((b for b in sums if b not in (END, 32)), key=lambda b: (-sums[b], b))
     classes = np.full(256, ALPHABET - 1, np.uint8)
     classes[END], classes[32] = 0, 1
     for k, b in enumerate(common[: ALPHABET - 3]):
         classes[b] = k + 2
-    members = np.bincount(classes, minlength=ALPHABET).astype(float)
-
-    # Symbol numbers replace bytes: DEPTH + 1 numbers of 6 bits.
-    lookup = F.split(F.lit(",".join(map(str, classes))), ",")
-    g = F.lit(0).cast("long")
-    for d in range(DEPTH, -1, -1):
-        g = g * ALPHABET + lookup[F.shiftright("gram", 8 * d).bitwiseAND(F.lit(255)).cast("int")].cast("long")
-    ctx_sym = lambda x: x.groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
-    levels = [ctx_sym(grams.select((F.floor(g / ALPHABET)).cast("long").alias("ctx"), (g % ALPHABET).alias("sym"), "n"))]
-    for d in range(DEPTH, -1, -1):  # a level is the longer one without its oldest symbol
-        if d < DEPTH:
-            levels.insert(0, ctx_sym(levels[0].select((F.col("ctx") % ALPHABET**d).alias("ctx"), "sym", "n")))
-        levels[0] = materialize(levels[0], f"lm-level{d}")
-    kept = None
-    for d in range(1, DEPTH + 1):
-        total = lambda x, name: x.groupBy("ctx").agg(F.sum("n").alias(name))
-        own = levels[d].join(total(levels[d], "total").filter(F.col("total") >= MIN_SEEN), "ctx")
-        up = levels[d - 1].join(total(levels[d - 1], "ut").filter(F.col("ut") >= MIN_SEEN), "ctx")
-        up = up.select(F.col("ctx").alias("up"), "sym", F.col("n").alias("un"), "ut")
-        both = own.withColumn("up", F.col("ctx") % ALPHABET ** (d - 1)).join(up, ["up", "sym"])
+    return classes
+
+
+def fit(grams: DataFrame, classes: np.ndarray) -> tuple[DataFrame, list[DataFrame]]:
+    """(g, p) of every distinct gram of symbol numbers, by its longest retained context; and the retained contexts of each depth.
+
+    Level d has the grams of d symbols and the next one, with their counts; a longer level without its oldest symbol adds up to the next.
+    """
+    level = grams.select(shape_digits(F.col("gram"), classes).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n"))
+    levels = [materialize(level, f"lm-level{DEPTH}")]
+    for d in range(DEPTH - 1, -1, -1):
+        shorter = levels[0].select((F.col("g") % ALPHABET ** (d + 1)).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n"))
+        levels.insert(0, materialize(shorter, f"lm-level{d}"))
+    ctx = F.floor(F.col("g") / ALPHABET).cast("long").alias("ctx")
+    totals = [materialize(x.groupBy(ctx).agg(F.sum("n").alias("total")), "lm-totals") for x in levels]
+
+    kept: list[DataFrame] = [None] * (DEPTH + 1)  # type: ignore[list-item]
+    deeper = None
+    for d in range(DEPTH, 0, -1):
+        own = levels[d].filter(F.col("n") > 0).select("g", "n", ctx).join(totals[d].filter(F.col("total") >= MIN_SEEN), "ctx")
+        up = levels[d - 1].select(F.col("g").alias("up"), F.col("n").alias("un"), ctx.alias("up_ctx"))
+        both = own.withColumn("up", F.col("g") % ALPHABET**d).join(up, "up")
+        both = both.join(totals[d - 1].select(F.col("ctx").alias("up_ctx"), F.col("total").alias("ut")), "up_ctx")
         part = F.col("n") * F.log2((F.col("n") / F.col("total")) / (F.col("un") / F.col("ut")))
-        gains = both.groupBy("ctx").agg(F.sum(part).alias("gain")).filter(F.col("gain") >= MIN_GAIN).withColumn("d", F.lit(d))
-        kept = gains if kept is None else kept.unionByName(gains)
-    best = kept.orderBy(F.desc("gain"), "d", "ctx").limit(MAX_STATES // 2).collect()
-
-    def digits(ctx: int, d: int) -> tuple[int, ...]:
-        return tuple((ctx // ALPHABET ** (d - 1 - j)) % ALPHABET for j in range(d))
-
-    found = {(): None} | {c[j:]: None for r in best for c in [digits(r["ctx"], r["d"])] for j in range(len(c) + 1)}
-    order = sorted(found, key=lambda c: (len(c), c))[:MAX_STATES]  # suffixes come first
-    place = {c: k for k, c in enumerate(order)}
-    counts = np.zeros((len(order), ALPHABET))
-    for d in range(DEPTH + 1):
-        wanted = [c for c in order if len(c) == d]
-        if not wanted:
-            continue
-        codes = {sum(x * ALPHABET ** (d - 1 - j) for j, x in enumerate(c)): place[c] for c in wanted}
-        spark = grams.sparkSession
-        pick = spark.createDataFrame([(k,) for k in codes], "ctx long")
-        rows = levels[d].join(F.broadcast(pick), "ctx")  # MAX_STATES rows at most
-        for r in rows.collect():
-            counts[codes[r["ctx"]], r["sym"]] += r["n"]
-    prob = np.zeros_like(counts)
-    for k, c in enumerate(order):
-        if not c:
-            prob[k] = (counts[k] + 0.5) / (counts[k].sum() + 0.5 * ALPHABET)
-        else:
-            prob[k] = (counts[k] + PRIOR * prob[place[c[1:]]]) / (counts[k].sum() + PRIOR)
-    return Tree(classes, order, np.log10(prob / np.maximum(members, 1)).astype(np.float32))
-
-
-def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, learn, block)."""
+        passed = both.groupBy("ctx").agg(F.sum(part).alias("gain")).filter(F.col("gain") >= MIN_GAIN).select("ctx")
+        if deeper is not None:
+            passed = passed.unionByName(deeper.select((F.col("ctx") % ALPHABET**d).alias("ctx"))).distinct()
+        kept[d] = deeper = materialize(passed.join(totals[d], "ctx"), f"lm-contexts{d}")
+    # The empty context is retained always.
+    all_seen = levels[0].agg(F.sum("n")).first()[0] or 0
+    p = levels[0].select("g", ((F.col("n") + 0.5) / (all_seen + 0.5 * ALPHABET)).alias("p"))
+    for d in range(1, DEPTH + 1):
+        x = levels[d].select("g", "n", ctx, (F.col("g") % ALPHABET**d).alias("up"))
+        x = x.join(p.select(F.col("g").alias("up"), F.col("p").alias("q")), "up").join(kept[d], "ctx", "left")
+        own_p = (F.col("n") + PRIOR * F.col("q")) / (F.col("total") + PRIOR)
+        p = materialize(x.select("g", F.when(F.col("total").isNotNull(), own_p).otherwise(F.col("q")).alias("p")), f"lm-p{d}")
+    return p, kept
+
+
+def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, text compressed, learn, block), written; and the buckets that the corpus's keys ask for.
+
+    Blocks are dealt by a hash of id and text, so that rows that share an id, or have none, don't share a block.
+    """
     x = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = x.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    return x.withColumns({"learn": id_crc(F.col("id"), 5) != 1, "block": F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")})
+    total = x.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_BYTES))
+    x = x.withColumns({"learn": id_crc(F.col("id"), 5) != 1, "block": F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")})
+    schema = T.StructType([x.schema["id"], *struct("text binary, learn boolean, block int").fields])
+    out = arrow_schema(schema)
+
+    def compress(b: pa.RecordBatch) -> pa.RecordBatch:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1).compress
+        texts = pa.array([press(t) for t in byte_texts(b.column("text"))], pa.binary())
+        return pa.RecordBatch.from_arrays([b.column("id").cast(out.field(0).type), texts, b.column("learn"), b.column("block")], schema=out)
+
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
+    return materialize(map_arrow(x, compress, schema), "lm-texts"), buckets
+
 
+def texts_of(table: pa.Table) -> list[bytes]:
+    import zstandard
 
-def vocabulary(table: pa.Table) -> tuple[list[bytes], list[int], Counter]:
-    """Distinct tokens of a block, sorted; the end mark is the empty one. Counts are those of the rows that learn."""
-    learned: Counter = Counter()
-    other: set[bytes] = set()
-    for t, learn in zip(table.column("text").cast(pa.binary()).to_pylist(), table.column("learn").to_pylist()):
-        if learn:
-            learned.update(tokens(t))
-            learned[b""] += 1
-        else:
-            other.update(tokens(t))
-    words = sorted({*learned, *other, b""})
-    return words, [learned.get(w, 0) for w in words], learned
+    press = zstandard.ZstdDecompressor().decompress
+    return [press(t) for t in table.column("text").to_pylist()]
+
+
+def ask_all(x: DataFrame, buckets: int) -> DataFrame:
+    """Each block's distinct words and grams, a row a bucket and kind: sorted keys, and their counts in training rows."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        out = []
+        for kind, (keys, n) in distinct_of(texts_of(table), table.column("learn").to_pylist()).items():
+            bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for k in range(buckets):
+                at = order[edges[k] : edges[k + 1]]
+                if len(at):
+                    out.append((block, k, kind, pack(keys[at]), pack(n[at])))
+        return rows_of(ASKED, list(zip(*out)) if out else [[]] * len(ASKED))
+
+    return materialize(x.groupBy("block").applyInArrow(ask, ASKED), "lm-asked")
+
+
+def bucket_sums(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys of each asking row of a bucket, and the bucket's distinct keys with their sums."""
+    keys = [unpack(b, np.uint64) for b in table.column("keys").to_pylist()]
+    counts = [unpack(b, np.int64) for b in table.column("counts").to_pylist()]
+    return (keys, *add_up(list(zip(keys, counts))))
+
+
+def model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[DataFrame], np.ndarray]:
+    """Of a corpus: its written blocks, what they ask, the grams with their counts, the tree's probabilities and contexts, the byte classes."""
+    ship(docs.sparkSession)
+    x, buckets = blocks(docs, id_col, text_col)
+    asked = ask_all(x, buckets)
+
+    def sum_grams(table: pa.Table) -> pa.Table:
+        _, keys, n = bucket_sums(table)
+        return rows_of(GRAM, [keys.astype(np.int64), n, np.full(len(keys), table.column("bucket")[0].as_py())])
+
+    grams = asked.filter(F.col("kind") == GRAMS).groupBy("bucket").applyInArrow(sum_grams, GRAM)
+    grams = materialize(grams, "lm-grams")
+    classes = byte_classes(grams)
+    p, kept = fit(grams, classes)
+    return x, asked, grams, p, kept, classes
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    ship(docs.sparkSession)
-    x = blocks(docs, id_col, text_col)
-    tree = fit(gram_counts(x.filter("learn").select("text"), "text"))
+    x, asked, grams, p, _, classes = model(docs, id_col, text_col)
 
-    word_schema = T.StructType.fromDDL("block int, k int, word binary, n long")
-    word_out = arrow_schema(word_schema)
+    def word_counts(table: pa.Table) -> pa.Table:
+        asking, keys, n = bucket_sums(table)
+        answers = [pack(n[np.searchsorted(keys, k)]) for k in asking]
+        return rows_of(REPLY, [table.column("block").to_pylist(), [WORDS] * len(asking), table.column("keys").to_pylist(), answers])
 
-    def ask(table: pa.Table) -> pa.Table:
-        words, n, _ = vocabulary(table)
-        return pa.Table.from_arrays([pa.array([table.column("block")[0].as_py()] * len(words), pa.int32()), pa.array(range(len(words)), pa.int32()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], schema=word_out)
+    words = asked.filter(F.col("kind") == WORDS)
+    word_replies = words.groupBy("bucket").applyInArrow(word_counts, REPLY)
+
+    # The probability of a byte is that of its symbol, split among the symbol's bytes.
+    members = F.split(F.lit(",".join(str(m) for m in np.bincount(classes, minlength=ALPHABET))), ",").cast("array<double>")
+    coded = grams.select("gram", "bucket", shape_digits(F.col("gram"), classes).alias("g")).join(p, "g")
+    known = coded.select("gram", F.log10(F.col("p") / members[(F.col("g") % ALPHABET).cast("int")]).alias("logp"), "bucket")
+
+    def gram_scores(table: pa.Table, found: pa.Table) -> pa.Table:
+        order = np.argsort(found.column("gram").to_numpy())
+        keys, logp = found.column("gram").to_numpy()[order].astype(np.uint64), found.column("logp").to_numpy()[order].astype(np.float32)
+        asking = [unpack(b, np.uint64) for b in table.column("keys").to_pylist()]
+        answers = [logp[np.searchsorted(keys, k)].tobytes() for k in asking]
+        return rows_of(REPLY, [table.column("block").to_pylist(), [GRAMS] * len(asking), table.column("keys").to_pylist(), answers])
 
-    asked = x.groupBy("block").applyInArrow(ask, word_schema)
-    totals = asked.groupBy("word").agg(F.sum("n").alias("c"), F.min(F.when(F.col("n") > 0, F.col("block"))).alias("owner"))
-    replies = asked.join(totals, "word").select("block", "k", "c", (F.col("owner").eqNullSafe(F.col("block"))).alias("owned"))
+    gram_replies = asked.filter(F.col("kind") == GRAMS).groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(gram_scores, REPLY)
+    replies = word_replies.unionByName(gram_replies)
 
-    kind = docs.schema[id_col].dataType
-    done_schema = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("learn boolean, n_tokens long, n_known long, logs double, score double, owned long").fields])
+    done_schema = T.StructType([x.schema["id"], *struct("learn boolean, n_tokens long, n_known long, logs double, score double").fields])
     done_out = arrow_schema(done_schema)
 
     def answer(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return done_out.empty_table()
-        words, _, _ = vocabulary(table)
-        c = np.zeros(len(words), np.int64)
-        c[reply.column("k").to_numpy()] = reply.column("c").to_numpy()
-        place = {w: k for k, w in enumerate(words)}
-        log = np.log10(c + 0.5)
-        texts = table.column("text").cast(pa.binary()).to_pylist()
-        n_tokens, n_known, logs = [], [], []
-        for t in texts:
-            at = np.fromiter(map(place.__getitem__, tokens(t)), np.int64)
-            n_tokens.append(len(at) + 1)
-            n_known.append(int((c[at] > 0).sum()) + int(c[0] > 0))  # the end mark sorts first
-            logs.append(float(log[at].sum() + log[0]))
-        owned = [0] * len(texts)
-        owned[0] = int(np.asarray(reply.column("owned").to_pylist(), bool).sum())
-        return pa.Table.from_arrays([pa.array(v, f.type) if not isinstance(v, pa.ChunkedArray) else v.cast(f.type) for v, f in zip((table.column("id"), table.column("learn"), n_tokens, n_known, logs, score(tree, texts), owned), done_out)], schema=done_out)
-
-    done = x.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(answer, done_schema)
-    done = materialize(done, "lm-scores")
-    n, v = done.agg(F.sum(F.when(F.col("learn"), F.col("n_tokens"))), F.sum("owned")).first()
-    n, v = n or 0, v or 0
+        parts: dict[int, list] = {WORDS: [], GRAMS: []}
+        for kind, keys, answers in zip(*(reply.column(c).to_pylist() for c in ("kind", "keys", "answers"))):
+            parts[kind].append((unpack(keys, np.uint64), unpack(answers, np.int64) if kind == WORDS else np.frombuffer(answers, np.float32)))
+        sets = []
+        for kind in (WORDS, GRAMS):
+            keys, values = (np.concatenate(v) for v in zip(*parts[kind]))
+            order = np.argsort(keys)
+            sets.append((keys[order], values[order]))
+        (word_keys, c), (gram_keys, logp) = sets
+        end = int(c[np.searchsorted(word_keys, END_WORD)])
+        log, texts = np.log10(c + 0.5), texts_of(table)
+        n_tokens, n_known, logs, score = [], [], [], []
+        for a, b in text_chunks(texts):
+            s, starts = symbols(texts[a:b])
+            words, n = words_in(s, starts)
+            at = np.searchsorted(word_keys, words)
+            cut = np.cumsum(n) - n
+            sums = lambda v, cut=cut, n=n: np.where(n > 0, np.add.reduceat(np.append(v, 0), cut), 0)
+            n_tokens.append(n + 1)
+            n_known.append(sums((c[at] > 0).astype(np.int64)) + int(end > 0))
+            logs.append(sums(log[at]) + np.log10(end + 0.5))
+            score.append(np.add.reduceat(logp[np.searchsorted(gram_keys, contexts(s, starts))].astype(np.float64), starts))
+        columns = [table.column("id"), table.column("learn"), *(pa.array(np.concatenate(v)) for v in (n_tokens, n_known, logs, score))]
+        return pa.Table.from_arrays([v.cast(f.type) for v, f in zip(columns, done_out)], schema=done_out)
+
+    done = materialize(x.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(answer, done_schema), "lm-scores")
+    n = done.agg(F.sum(F.when(F.col("learn"), F.col("n_tokens")))).first()[0] or 0
+
+    def count_words(table: pa.Table) -> pa.Table:
+        _, _, sums = bucket_sums(table)
+        return rows_of(struct("v long"), [[int((sums > 0).sum())]])
+
+    v = words.groupBy("bucket").applyInArrow(count_words, struct("v long")).agg(F.sum("v")).first()[0] or 0
     per_token = float(np.log10(n + 0.5 * (v + 1)))
     return done.select(
         F.col("id").alias(id_col), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
