@@ -10,15 +10,16 @@ and a text is scored by the longest retained suffix at each symbol: log10 of the
 
 Rows are dealt into blocks. Each block sends its distinct words and its distinct grams (``DEPTH`` symbols and
 the next one) once, with the counts of its training rows; a bucket of the keys adds them up. The sums of the
-grams are the tree's statistics. Buckets then send back what each block asked for: the counts of its words, and
-for each gram the log10 probability under its longest retained context. Blocks score their texts with these.
+grams are the tree's statistics. Buckets then send back what each block asked for, in the order in which it
+asked: the counts of its words, and for each gram the log10 probability under its longest retained context.
+Blocks find their distinct keys anew and score their texts with these.
 
 Defined cases: a null or empty text is the end mark alone (one token); without a training row every
 count is 0 and the tree is uniform; a null id is a training row (crc32 of no bytes is 0); rows that share
 an id are scored one by one; equal texts get equal scores; bytes outside the alphabet share one symbol and
 split its probability evenly. Words are told apart by 64-bit hashes with their length.
 
-At scale: texts are compressed and move twice, to their block. A word or gram moves once a block, however often
+At scale: texts move twice, to their block, many compressed together. A word or gram moves once a block, however often
 it occurs, in sorted arrays, so no key is hot. Divergence tests and probabilities are joins and sums by context
 over the distinct grams. Nothing but sums, and the counts of 256 bytes, comes to the driver.
 """
@@ -26,6 +27,7 @@ over the distinct grams. Nothing but sums, and the counts of 256 bytes, comes to
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, byte_texts, map_arrow, materialize, mix64, ship, struct, word_hashes
+from .common import SPACE, arrow_schema, byte_texts, map_arrow, materialize, mix64, ship, struct, word_hashes
 from .langid import id_crc
 
 #: Parameters of the tree.
@@ -42,11 +44,13 @@ ALPHABET = 64
 #: Text bytes of a block of rows, of texts handled at a time, and for each bucket of keys.
 BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 48 << 20
 END = 10  # the byte that marks a text's end; not in any word
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[list(SPACE)] = True
 END_WORD = np.uint64(1)  # the end mark's key among the words
-WORDS, GRAMS = 0, 1
+WORDS, GRAMS, ROWS = 0, 1, 2
 
 ASKED = struct("block int, bucket int, kind int, keys binary, counts binary")
-REPLY = struct("block int, kind int, keys binary, answers binary")
+REPLY = struct("block int, bucket int, kind int, answers binary")
 GRAM = struct("gram long, n long, bucket int")
 
 
@@ -54,43 +58,73 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes that the tree sees of several texts, one after the other, and where each text starts."""
-    parts = [b" ".join(tokens(t)) + b"\n" for t in texts]
-    starts = np.cumsum([0, *map(len, parts)])[:-1]
-    return np.frombuffer(b"".join(parts), np.uint8), starts
-
-
-def contexts(x: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """For each byte, it and the ``depth`` bytes before it as one number, the byte itself lowest. Before a text stand end marks."""
-    out = x.astype(np.uint64)
-    ahead = np.concatenate([np.full(depth, END, np.uint8), x])
-    # distance of each byte to its text's start
-    since = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
-    for d in range(1, depth + 1):
-        before = ahead[depth - d : depth - d + len(x)].astype(np.uint64)
-        before[since < d] = END
-        out |= before << np.uint64(8 * d)
-    return out
-
-
-def text_chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``CHUNK_BYTES``; a longer text is a run of its own."""
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > CHUNK_BYTES:
-            yield at, k
-            at, size = k, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
-def words_in(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of the words of a run of symbols, in order, and how many each text has."""
-    gap = (x == 32) | (x == END)
-    first = ~gap & np.concatenate([[True], gap[:-1]])
-    return word_hashes(x.tobytes())[0], np.add.reduceat(first.astype(np.int64), starts)
+def stream(text: bytes) -> bytes:
+    """What the tree sees of a text: its words, one space between, and the end mark."""
+    if len(text) < CHUNK_BYTES // 4:
+        return b" ".join(tokens(text)) + b"\n"
+    x = np.frombuffer(text.lower(), np.uint8)  # of a long text, without an object for each word
+    gap = IS_SPACE[x]
+    keep = ~gap | np.concatenate([[False], ~gap[:-1]])
+    return np.where(gap, 32, x)[keep].astype(np.uint8).tobytes().strip() + b"\n"
+
+
+@dataclass
+class Piece:
+    """A stretch of the texts' symbols that starts and ends between words."""
+
+    x: np.ndarray
+    ahead: np.ndarray  # the DEPTH symbols before it
+    since: int  # how far its text has come
+    starts: np.ndarray  # where its texts start (the first one, or its rest, at 0)
+    texts: np.ndarray  # their numbers
+
+    def contexts(self) -> np.ndarray:
+        """Each byte's gram: the byte before it highest, then the ones before that, and itself lowest, so that sorted grams
+        share their nearest context. Before a text stand end marks."""
+        x, n = self.x, len(self.x)
+        out = x.astype(np.uint64)
+        wide = np.concatenate([self.ahead, x])
+        since = np.arange(n) - np.repeat(self.starts, np.diff(np.append(self.starts, n)))
+        since[: self.starts[1] if len(self.starts) > 1 else n] += self.since
+        for d in range(1, DEPTH + 1):
+            before = wide[DEPTH - d : DEPTH - d + n].astype(np.uint64)
+            before[since < d] = END
+            out |= before << np.uint64(8 * (DEPTH + 1 - d))
+        return out
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the words, in order, and how many each text has here."""
+        gap = (self.x == 32) | (self.x == END)
+        first = ~gap & np.concatenate([[True], gap[:-1]])
+        return word_hashes(self.x.tobytes())[0], np.add.reduceat(first.astype(np.int64), self.starts)
+
+
+def pieces(texts: list[bytes]) -> Iterator[Piece]:
+    """The symbols of all texts in stretches of about ``CHUNK_BYTES``, whatever the texts' lengths."""
+    at = 0
+    while at < len(texts):
+        last, size = at, 0
+        while last < len(texts) and (size == 0 or size + len(texts[last]) <= CHUNK_BYTES):
+            size += len(texts[last]) + 1
+            last += 1
+        parts = [stream(t) for t in texts[at:last]]
+        starts = np.cumsum([0, *map(len, parts)])[:-1]
+        x = np.frombuffer(b"".join(parts), np.uint8)
+        cut = 0
+        while cut < len(x):
+            end, look = min(len(x), cut + CHUNK_BYTES), 1 << 12
+            while end < len(x):  # on to the next gap
+                gaps = np.flatnonzero((x[end - 1 : end - 1 + look] == 32) | (x[end - 1 : end - 1 + look] == END))
+                if len(gaps):
+                    end += int(gaps[0])
+                    break
+                look *= 4
+            before = x[max(0, cut - DEPTH) : cut]
+            inside = np.unique(np.append(starts[(starts >= cut) & (starts < end)], cut))
+            number = np.searchsorted(starts, inside, side="right") - 1
+            yield Piece(x[cut:end], np.concatenate([np.full(DEPTH - len(before), END, np.uint8), before]), cut - int(starts[number[0]]), inside - cut, number + at)
+            cut = end
+        at = last
 
 
 def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,19 +139,66 @@ def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(n, first)
 
 
-def distinct_of(texts: list[bytes], learn: list[bool]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The distinct words and grams of a block's texts, with their counts in the rows that learn."""
-    found: dict[int, list] = {WORDS: [], GRAMS: []}
-    for used in (True, False):
-        own = [t for t, x in zip(texts, learn) if x == used]
-        for a, b in text_chunks(own):
-            x, starts = symbols(own[a:b])
-            for kind, keys in ((WORDS, np.append(words_in(x, starts)[0], np.full(b - a, END_WORD))), (GRAMS, contexts(x, starts))):
-                k, n = np.unique(keys, return_counts=True)
-                found[kind].append((k, n.astype(np.int64) * used))
-                if len(found[kind]) >= 8:
-                    found[kind] = [add_up(found[kind])]
-    return {kind: add_up(parts) for kind, parts in found.items()}
+class Distinct:
+    """The sorted distinct words and grams of a block's texts, and their counts in the rows that learn."""
+
+    def __init__(self, texts: list[bytes], learn: list[bool]) -> None:
+        found: dict[int, list] = {WORDS: [], GRAMS: []}
+        for used in (True, False):
+            for p in pieces([t for t, x in zip(texts, learn) if x == used]):
+                ends = np.full(int((p.x == END).sum()), END_WORD)
+                for kind, keys in ((WORDS, np.append(p.words()[0], ends)), (GRAMS, p.contexts())):
+                    k, n = np.unique(keys, return_counts=True)
+                    found[kind].append((k, n.astype(np.int64) * used))
+                    if len(found[kind]) >= 8:
+                        found[kind] = [add_up(found[kind])]
+        self.keys, self.counts = {}, {}
+        for kind, parts in found.items():
+            self.keys[kind], self.counts[kind] = add_up(parts)
+
+    def dealt(self, kind: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the keys in the order of their buckets, and where each bucket starts."""
+        bucket = (mix64(self.keys[kind]) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+class Places:
+    """Finds keys among distinct ones: tables by hash, each for what the one before has no room for."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.tables = keys, []
+        self.bits = np.uint64(64 - max(8, int(len(keys) * 4).bit_length()))
+        left = np.arange(len(keys), dtype=np.int32)
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
+            table = np.full(1 << int(64 - self.bits), -1, np.int32)
+            slot = self.slots(keys[left], np.uint64(factor))
+            table[slot] = left
+            left = left[table[slot] != left]
+            self.tables.append((np.uint64(factor), table))
+        self.rest = left[np.argsort(keys[left])]
+
+    def slots(self, keys: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return (((keys ^ (keys >> np.uint64(31))) * factor) >> self.bits).astype(np.int64)
+
+    def of(self, asked: np.ndarray) -> np.ndarray:
+        """The place of each asked key, all of which are there."""
+        out = np.full(len(asked), -1, np.int32)
+        open_ = slice(None)
+        for factor, table in self.tables:
+            q = asked[open_]
+            at = table[self.slots(q, factor)]
+            hit = (at >= 0) & (self.keys[at] == q)
+            if isinstance(open_, slice):
+                out = np.where(hit, at, -1)
+                open_ = np.flatnonzero(~hit)
+            else:
+                out[open_[hit]] = at[hit]
+                open_ = open_[~hit]
+            if not len(open_):
+                return out
+        out[open_] = self.rest[np.searchsorted(self.keys[self.rest], asked[open_])]
+        return out
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -135,16 +216,29 @@ def unpack(b: bytes, kind: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel(), dtype=kind)
 
 
+def press(rows: pa.RecordBatch) -> bytes:
+    """Rows compressed together."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(rows.serialize())
+
+
+def unpress(parts: list[bytes], schema: pa.Schema) -> pa.Table:
+    import zstandard
+
+    return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(zstandard.ZstdDecompressor().decompress(p)), schema) for p in parts], schema)
+
+
 def rows_of(schema: T.StructType, columns: list) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow_schema(schema))], schema=arrow_schema(schema))
 
 
 def shape_digits(gram: Column, classes: np.ndarray) -> Column:
-    """A gram of bytes as one of symbol numbers, 6 bits each."""
+    """A gram of bytes as one of symbol numbers, 6 bits each: the oldest highest, the predicted one lowest."""
     lookup = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
     g = F.lit(0).cast("long")
-    for d in range(DEPTH, -1, -1):
-        g = g * ALPHABET + lookup[F.shiftright(gram, 8 * d).bitwiseAND(F.lit(255)).cast("int")]
+    for place in (*range(1, DEPTH + 1), 0):
+        g = g * ALPHABET + lookup[F.shiftright(gram, 8 * place).bitwiseAND(F.lit(255)).cast("int")]
     return g
 
 
@@ -196,8 +290,8 @@ def fit(grams: DataFrame, classes: np.ndarray) -> tuple[DataFrame, list[DataFram
     return p, kept
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(id, text compressed, learn, block), written; and the buckets that the corpus's keys ask for.
+def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, pa.Schema, int]:
+    """(block, rows): rows (id, text, learn) compressed; their schema; and the buckets that the corpus's keys ask for.
 
     Blocks are dealt by a hash of id and text, so that rows that share an id, or have none, don't share a block.
     """
@@ -205,42 +299,36 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]
     total = x.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     x = x.withColumns({"learn": id_crc(F.col("id"), 5) != 1, "block": F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")})
-    schema = T.StructType([x.schema["id"], *struct("text binary, learn boolean, block int").fields])
+    inner = arrow_schema(T.StructType([x.schema["id"], *struct("text string, learn boolean").fields]))
+    schema = struct("block int, rows binary")
     out = arrow_schema(schema)
 
     def compress(b: pa.RecordBatch) -> pa.RecordBatch:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=1).compress
-        texts = pa.array([press(t) for t in byte_texts(b.column("text"))], pa.binary())
-        return pa.RecordBatch.from_arrays([b.column("id").cast(out.field(0).type), texts, b.column("learn"), b.column("block")], schema=out)
+        block = b.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0, [True]])) if len(block) else np.zeros(1, np.int64)
+        rows = pa.RecordBatch.from_arrays([b.column(f.name).take(pa.array(order)).cast(f.type) for f in inner], schema=inner)
+        parts = [press(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in rows.slice(s, e - s).columns], schema=inner)) for s, e in zip(edges, edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(block[order][edges[:-1]], pa.int32()), pa.array(parts, pa.binary())], schema=out)
 
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
-    return materialize(map_arrow(x, compress, schema), "lm-texts"), buckets
-
-
-def texts_of(table: pa.Table) -> list[bytes]:
-    import zstandard
+    return map_arrow(x, compress, schema, rows=4000), inner, buckets
 
-    press = zstandard.ZstdDecompressor().decompress
-    return [press(t) for t in table.column("text").to_pylist()]
 
-
-def ask_all(x: DataFrame, buckets: int) -> DataFrame:
-    """Each block's distinct words and grams, a row a bucket and kind: sorted keys, and their counts in training rows."""
+def ask_all(x: DataFrame, inner: pa.Schema, buckets: int) -> DataFrame:
+    """Each block's distinct words and grams, a row a bucket and kind: sorted keys, and their counts in training rows; and its rows."""
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        out = []
-        for kind, (keys, n) in distinct_of(texts_of(table), table.column("learn").to_pylist()).items():
-            bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for k in range(buckets):
+        rows = unpress(table.column("rows").to_pylist(), inner).combine_chunks()
+        own = Distinct(byte_texts(rows.column("text")), rows.column("learn").to_pylist())
+        out = [(block, -1, ROWS, press(rows.to_batches()[0]), None)]
+        for kind in (WORDS, GRAMS):
+            order, edges = own.dealt(kind, buckets)
+            for k in np.flatnonzero(np.diff(edges)).tolist():
                 at = order[edges[k] : edges[k + 1]]
-                if len(at):
-                    out.append((block, k, kind, pack(keys[at]), pack(n[at])))
-        return rows_of(ASKED, list(zip(*out)) if out else [[]] * len(ASKED))
+                out.append((block, k, kind, pack(own.keys[kind][at]), pack(own.counts[kind][at])))
+        return rows_of(ASKED, list(zip(*out)))
 
     return materialize(x.groupBy("block").applyInArrow(ask, ASKED), "lm-asked")
 
@@ -252,82 +340,100 @@ def bucket_sums(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     return (keys, *add_up(list(zip(keys, counts))))
 
 
-def model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[DataFrame], np.ndarray]:
-    """Of a corpus: its written blocks, what they ask, the grams with their counts, the tree's probabilities and contexts, the byte classes."""
+@dataclass
+class Model:
+    """Of a corpus: what its blocks ask and hold, the grams with their counts, the tree's probabilities and contexts by depth, the byte classes."""
+
+    asked: DataFrame
+    inner: pa.Schema
+    buckets: int
+    grams: DataFrame
+    p: DataFrame
+    contexts: list[DataFrame]
+    classes: np.ndarray
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     ship(docs.sparkSession)
-    x, buckets = blocks(docs, id_col, text_col)
-    asked = ask_all(x, buckets)
+    x, inner, buckets = blocks(docs, id_col, text_col)
+    asked = ask_all(x, inner, buckets)
 
     def sum_grams(table: pa.Table) -> pa.Table:
         _, keys, n = bucket_sums(table)
         return rows_of(GRAM, [keys.astype(np.int64), n, np.full(len(keys), table.column("bucket")[0].as_py())])
 
-    grams = asked.filter(F.col("kind") == GRAMS).groupBy("bucket").applyInArrow(sum_grams, GRAM)
-    grams = materialize(grams, "lm-grams")
+    grams = materialize(asked.filter(F.col("kind") == GRAMS).groupBy("bucket").applyInArrow(sum_grams, GRAM), "lm-grams")
     classes = byte_classes(grams)
     p, kept = fit(grams, classes)
-    return x, asked, grams, p, kept, classes
+    return Model(asked, inner, buckets, grams, p, kept, classes)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    x, asked, grams, p, _, classes = model(docs, id_col, text_col)
+    import zstandard
+
+    m = learn(docs, id_col, text_col)
+    inner, buckets, classes = m.inner, m.buckets, m.classes
+
+    def replies_of(table: pa.Table, kind: int, answers: list[bytes]) -> pa.Table:
+        return rows_of(REPLY, [table.column("block").to_pylist(), table.column("bucket").to_pylist(), [kind] * len(answers), answers])
 
     def word_counts(table: pa.Table) -> pa.Table:
         asking, keys, n = bucket_sums(table)
-        answers = [pack(n[np.searchsorted(keys, k)]) for k in asking]
-        return rows_of(REPLY, [table.column("block").to_pylist(), [WORDS] * len(asking), table.column("keys").to_pylist(), answers])
+        return replies_of(table, WORDS, [pack(n[np.searchsorted(keys, k)]) for k in asking])
 
-    words = asked.filter(F.col("kind") == WORDS)
+    words = m.asked.filter(F.col("kind") == WORDS)
     word_replies = words.groupBy("bucket").applyInArrow(word_counts, REPLY)
 
     # The probability of a byte is that of its symbol, split among the symbol's bytes.
-    members = F.split(F.lit(",".join(str(m) for m in np.bincount(classes, minlength=ALPHABET))), ",").cast("array<double>")
-    coded = grams.select("gram", "bucket", shape_digits(F.col("gram"), classes).alias("g")).join(p, "g")
+    members = F.split(F.lit(",".join(str(k) for k in np.bincount(classes, minlength=ALPHABET))), ",").cast("array<double>")
+    coded = m.grams.select("gram", "bucket", shape_digits(F.col("gram"), classes).alias("g")).join(m.p, "g")
     known = coded.select("gram", F.log10(F.col("p") / members[(F.col("g") % ALPHABET).cast("int")]).alias("logp"), "bucket")
 
     def gram_scores(table: pa.Table, found: pa.Table) -> pa.Table:
         order = np.argsort(found.column("gram").to_numpy())
         keys, logp = found.column("gram").to_numpy()[order].astype(np.uint64), found.column("logp").to_numpy()[order].astype(np.float32)
-        asking = [unpack(b, np.uint64) for b in table.column("keys").to_pylist()]
-        answers = [logp[np.searchsorted(keys, k)].tobytes() for k in asking]
-        return rows_of(REPLY, [table.column("block").to_pylist(), [GRAMS] * len(asking), table.column("keys").to_pylist(), answers])
+        small = zstandard.ZstdCompressor(level=1).compress
+        return replies_of(table, GRAMS, [small(logp[np.searchsorted(keys, unpack(b, np.uint64))].tobytes()) for b in table.column("keys").to_pylist()])
 
-    gram_replies = asked.filter(F.col("kind") == GRAMS).groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(gram_scores, REPLY)
+    gram_replies = m.asked.filter(F.col("kind") == GRAMS).groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(gram_scores, REPLY)
     replies = word_replies.unionByName(gram_replies)
 
-    done_schema = T.StructType([x.schema["id"], *struct("learn boolean, n_tokens long, n_known long, logs double, score double").fields])
+    done_schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *struct("learn boolean, n_tokens long, n_known long, logs double, score double").fields])
     done_out = arrow_schema(done_schema)
 
     def answer(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return done_out.empty_table()
-        parts: dict[int, list] = {WORDS: [], GRAMS: []}
-        for kind, keys, answers in zip(*(reply.column(c).to_pylist() for c in ("kind", "keys", "answers"))):
-            parts[kind].append((unpack(keys, np.uint64), unpack(answers, np.int64) if kind == WORDS else np.frombuffer(answers, np.float32)))
-        sets = []
-        for kind in (WORDS, GRAMS):
-            keys, values = (np.concatenate(v) for v in zip(*parts[kind]))
-            order = np.argsort(keys)
-            sets.append((keys[order], values[order]))
-        (word_keys, c), (gram_keys, logp) = sets
-        end = int(c[np.searchsorted(word_keys, END_WORD)])
-        log, texts = np.log10(c + 0.5), texts_of(table)
-        n_tokens, n_known, logs, score = [], [], [], []
-        for a, b in text_chunks(texts):
-            s, starts = symbols(texts[a:b])
-            words, n = words_in(s, starts)
-            at = np.searchsorted(word_keys, words)
-            cut = np.cumsum(n) - n
+        rows = unpress(table.column("keys").to_pylist(), inner).combine_chunks()
+        own = Distinct(byte_texts(rows.column("text")), rows.column("learn").to_pylist())
+        large = zstandard.ZstdDecompressor().decompress
+        got = sorted(zip(*(reply.column(c).to_pylist() for c in ("kind", "bucket", "answers"))), key=lambda r: r[:2])
+        values = {}
+        for kind, read in ((WORDS, lambda a: unpack(a, np.int64)), (GRAMS, lambda a: np.frombuffer(large(a), np.float32))):
+            order, _ = own.dealt(kind, buckets)
+            in_order = np.concatenate([read(a) for k, _, a in got if k == kind])
+            values[kind] = np.empty_like(in_order)
+            values[kind][order] = in_order
+        c, logp = values[WORDS], values[GRAMS]
+        words_at, grams_at = Places(own.keys[WORDS]), Places(own.keys[GRAMS])
+        end = int(c[words_at.of(np.array([END_WORD]))[0]])
+        log = np.log10(c + 0.5)
+        size = rows.num_rows
+        n_tokens, n_known, logs, score = np.ones(size, np.int64), np.full(size, int(end > 0)), np.full(size, np.log10(end + 0.5)), np.zeros(size)
+        for p in pieces(byte_texts(rows.column("text"))):
+            words, n = p.words()
+            at, cut = words_at.of(words), np.cumsum(n) - n
             sums = lambda v, cut=cut, n=n: np.where(n > 0, np.add.reduceat(np.append(v, 0), cut), 0)
-            n_tokens.append(n + 1)
-            n_known.append(sums((c[at] > 0).astype(np.int64)) + int(end > 0))
-            logs.append(sums(log[at]) + np.log10(end + 0.5))
-            score.append(np.add.reduceat(logp[np.searchsorted(gram_keys, contexts(s, starts))].astype(np.float64), starts))
-        columns = [table.column("id"), table.column("learn"), *(pa.array(np.concatenate(v)) for v in (n_tokens, n_known, logs, score))]
+            n_tokens[p.texts] += n
+            n_known[p.texts] += sums((c[at] > 0).astype(np.int64))
+            logs[p.texts] += sums(log[at])
+            score[p.texts] += np.add.reduceat(logp[grams_at.of(p.contexts())].astype(np.float64), p.starts)
+        columns = [rows.column("id"), rows.column("learn"), *(pa.array(v) for v in (n_tokens, n_known, logs, score))]
         return pa.Table.from_arrays([v.cast(f.type) for v, f in zip(columns, done_out)], schema=done_out)
 
-    done = materialize(x.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(answer, done_schema), "lm-scores")
+    held = m.asked.filter(F.col("kind") == ROWS).select("block", "keys")
+    done = materialize(held.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(answer, done_schema), "lm-scores")
     n = done.agg(F.sum(F.when(F.col("learn"), F.col("n_tokens")))).first()[0] or 0
 
     def count_words(table: pa.Table) -> pa.Table:

@@ -39,7 +39,7 @@ from .shared_keys import answers, bucket_bits, bucket_keys, holds, known, runs_o
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # bytes of a string that may stand before its anchor
 ENTRY = LENGTH + REACH + 2  # suffix, what stands before it, and how much of either the document has
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -52,20 +52,37 @@ def _slide(x: np.ndarray, n: int, op: np.ufunc) -> np.ndarray:
     return op(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and 64-bit hashes of the anchors of a text."""
-    if len(text) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    b = np.frombuffer(text, np.uint8)
+def text_chunks(lens: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of texts of about ``CHUNK_BYTES``; a longer text is a run of its own."""
+    out, at, size = [], 0, 0
+    for k, n in enumerate(lens.tolist()):
+        if size and size + n > CHUNK_BYTES:
+            out.append((at, k))
+            at, size = k, 0
+        size += n
+    return [*out, (at, len(lens))] if at < len(lens) else out
+
+
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text numbers, places and 64-bit hashes of the anchors of some texts."""
+    b = np.frombuffer(b"".join(texts), np.uint8)
+    if len(b) < LENGTH:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lens)
     up, down = _POWERS.of(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
     h = mix64((total[GRAM:] - total[:-GRAM]) * down[: len(b) - GRAM + 1])
     n = REACH + 1
     least = _slide(h, n, np.minimum)  # of each string
+    left = np.repeat(ends, lens)[: len(least)] - np.arange(len(least))
+    least[left < LENGTH] = 0  # no string: it would reach into the next text
     edge = np.zeros(n - 1, np.uint64)
-    at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), n, np.maximum) == h)
-    return at, h[at]
+    most = _slide(np.concatenate([edge, least, edge]), n, np.maximum)
+    at = np.flatnonzero((most == h) & (most > 0))
+    doc = np.searchsorted(ends, at, side="right")
+    return doc, at - (ends - lens)[doc], h[at]
 
 
 class Block:
@@ -86,33 +103,42 @@ class Block:
             if self.leads[-1]:
                 seen.add(t)
         self.first = first
-        self.found = [anchors(t) if lead else anchors(b"") for t, lead in zip(self.texts, self.leads)]
+        self.lens = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        found = []
+        for a, b in text_chunks(self.lens):
+            doc, at, h = anchors([t if lead else b"" for t, lead in zip(self.texts[a:b], self.leads[a:b])])
+            found.append((doc + a, at, bucket_keys(h, bits)))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        self.found = tuple(np.concatenate(v) for v in zip(none, *found))
 
     def keys(self) -> list[np.ndarray]:
-        return [np.unique(bucket_keys(h, self.bits)) for _, h in self.found]
+        """The distinct keys of each text, all together."""
+        doc, _, key = self.found
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])[: len(key)]
+        return [key[first]]
 
     def runs(self, reply_buckets: list[int], reply_bits: list[bytes]) -> None:
         """Makes the sorted entries of the anchors that others have too: per bucket, and where each is in the texts."""
         shared = known(self.keys(), reply_buckets, reply_bits)
-        rows, doc, place, bucket = [], [], [], []
-        for k, (at, h) in enumerate(self.found):
-            key = bucket_keys(h, self.bits)
-            use = holds(shared, key)
-            at, key = at[use], key[use]
-            if not len(at):
+        use = holds(shared, self.found[2])
+        self.doc, self.place, key = (x[use] for x in self.found)
+        bucket = (key >> np.uint64(32)).astype(np.int64)
+        rows = []
+        for a, b in text_chunks(self.lens):
+            first, last = np.searchsorted(self.doc, [a, b])
+            if first == last:
                 continue
-            b = np.frombuffer(self.texts[k], np.uint8)
-            padded = np.concatenate([np.zeros(REACH, np.uint8), b, np.zeros(LENGTH, np.uint8)])
-            around = np.lib.stride_tricks.sliding_window_view(padded, REACH + LENGTH)[at]  # from at - REACH on
-            lens = np.stack([np.minimum(len(b) - at, LENGTH), np.minimum(at, REACH)], 1).astype(np.uint8)
-            rows.append(np.concatenate([around[:, REACH:], around[:, REACH - 1 :: -1] if REACH else around[:, :0], lens], 1))
-            doc.append(np.full(len(at), k))
-            place.append(at)
-            bucket.append((key >> np.uint64(32)).astype(np.int64))
+            x = np.frombuffer(b"".join([bytes(REACH), *self.texts[a:b], bytes(LENGTH)]), np.uint8)
+            starts = np.cumsum(self.lens[a:b]) - self.lens[a:b]
+            doc, at = self.doc[first:last] - a, self.place[first:last]
+            around = np.lib.stride_tricks.sliding_window_view(x, REACH + LENGTH)[starts[doc] + at]  # from at - REACH on
+            right, left = np.minimum(self.lens[a:b][doc] - at, LENGTH), np.minimum(at, REACH)
+            after = np.where(np.arange(LENGTH) < right[:, None], around[:, REACH:], 0)
+            before = np.where(np.arange(REACH) < left[:, None], around[:, REACH - 1 :: -1], 0)
+            rows.append(np.concatenate([after, before, np.stack([right, left], 1)], 1).astype(np.uint8))
         self.rows = np.concatenate(rows) if rows else np.zeros((0, ENTRY), np.uint8)
-        self.doc = np.concatenate(doc) if doc else np.zeros(0, np.int64)
-        self.place = np.concatenate(place) if place else np.zeros(0, np.int64)
-        bucket = np.concatenate(bucket) if bucket else np.zeros(0, np.int64)
         # sorted by bucket, then bytes: the bucket goes in front as two big-endian 32-bit words would
         wide = np.concatenate([bucket.astype(">u4").view(np.uint8).reshape(-1, 4), self.rows], 1) if len(bucket) else np.zeros((0, ENTRY + 4), np.uint8)
         text = wide.tobytes()
@@ -137,22 +163,20 @@ class Block:
 
     def removed(self, masks: np.ndarray) -> list[np.ndarray]:
         """For each text which bytes go; ``masks`` has a bit for each entry and offset."""
-        gone = [np.zeros(len(t), bool) for t in self.texts]
         ids = np.array(self.ids, np.int64)
         n_right, n_left = self.rows[:, -2].astype(np.int64), self.rows[:, -1].astype(np.int64)
         later = ids[self.doc] > self.least[self.entry]  # its own block has an earlier one with all of the entry
-        order = np.argsort(self.doc, kind="stable")
-        for a, b in zip(*runs_of(self.doc[order])):
-            pick = order[a:b]
-            k = int(self.doc[pick[0]])
-            edge = np.zeros(len(self.texts[k]) + 1, np.int64)
-            for o in range(REACH + 1):
-                fits = (n_left[pick] >= o) & (n_right[pick] >= LENGTH - o)
-                hit = pick[fits & (later[pick] | ((masks[self.entry[pick]] >> np.uint32(o)) & np.uint32(1)).astype(bool))]
-                start = self.place[hit] - o
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + LENGTH, -1)
-            gone[k] = np.cumsum(edge)[:-1] > 0
+        mask = np.where(later, np.uint32((1 << (REACH + 1)) - 1), masks[self.entry] if len(masks) else np.uint32(0))
+        starts = np.cumsum(self.lens) - self.lens
+        place = starts[self.doc] + self.place
+        size = int(self.lens.sum()) + 1
+        edge = np.zeros(size, np.int32)
+        for o in range(REACH + 1):  # strings end within their text, so texts can lie one behind the other
+            hit = place[(n_left >= o) & (n_right >= LENGTH - o) & ((mask >> np.uint32(o)) & np.uint32(1)).astype(bool)] - o
+            np.add.at(edge, hit, 1)
+            np.add.at(edge, hit + LENGTH, -1)
+        covered = np.cumsum(edge, out=edge)[:-1] > 0
+        gone = [covered[a : a + n].copy() for a, n in zip(starts.tolist(), self.lens.tolist())]
         for k, (t, lead) in enumerate(zip(self.texts, self.leads)):
             if not lead and len(t) >= LENGTH:
                 if self.ids[k] > self.first[t]:

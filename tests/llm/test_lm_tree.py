@@ -72,9 +72,9 @@ def test_tree_and_scores(spark, monkeypatch, seen, gain, block):
     monkeypatch.setattr(lm_score, "CHUNK_BYTES", 700)
     rows = corpus()
     docs = spark.createDataFrame([(*r, *"abcd") for r in rows], SCHEMA).repartition(3)
-    *_, contexts, classes = lm_score.model(docs)
-    kept, score = brute(rows, np.array(classes))
-    got = {tuple((r.ctx // 64 ** (d - 1 - j)) % 64 for j in range(d)) for d in range(1, lm_score.DEPTH + 1) for r in contexts[d].collect()}
+    m = lm_score.learn(docs)
+    kept, score = brute(rows, np.array(m.classes))
+    got = {tuple((r.ctx // 64 ** (d - 1 - j)) % 64 for j in range(d)) for d in range(1, lm_score.DEPTH + 1) for r in m.contexts[d].collect()}
     assert got == kept and kept
     out = collections.defaultdict(list)
     for r in lm_score.report(docs).collect():
@@ -91,6 +91,6 @@ def test_the_tree_grows_with_the_corpus(spark):
     sizes = []
     for n in (60, 600):
         docs = spark.createDataFrame([(*r, *"abcd") for r in corpus(n)], SCHEMA)
-        sizes.append(sum(x.count() for x in lm_score.model(docs)[4][1:]))
+        sizes.append(sum(x.count() for x in lm_score.learn(docs).contexts[1:]))
     assert sizes[1] > 1.3 * sizes[0]
     assert not hasattr(lm_score, "MAX_STATES")
