@@ -4,9 +4,9 @@ Items are indexed by word with BM25 impacts, each divided by the item's score fo
 passage's score is the share of the item it holds. Postings are kept in blocks with their largest
 impact; list and block bounds skip whatever cannot reach ``THRESHOLD``. All items at or above it are
 retrieved, and each is verified: the share of its words that stand in the passage in the item's order, within
-half as many words again as it has, must reach ``OVERLAP``; an edited word takes one word of the share, wherever
-it is. ``question`` and ``answer`` are the shares of the item's words before its last quarter and in it,
-in that place. An item shorter than ``SHORT_WORDS`` must stand there whole. Passages are windows of words, each
+half as many words again as it has, must reach ``OVERLAP``, and in that place the question (the item without its
+last quarter) ``QUESTION`` and the answer (the last quarter) ``ANSWER``; an edited word takes one word of a share, so a
+question without its answer is clean, and an item with a word or two changed anywhere is found. An item shorter than ``SHORT_WORDS`` must stand there whole. Passages are windows of words, each
 overlapping the next by half, at least twice as long as the longest item: any copy of an item lies
 whole in one of them. Before the search, a passage is held against the largest impacts of groups of
 items: only one whose bound reaches the threshold in some group is searched.
@@ -17,7 +17,8 @@ threshold count; a document's hits are sorted by item, one each, with the best s
 pass through, and a column named like an added one gives way.
 
 At scale: documents aren't shuffled. The benchmark is read in parts of ``PART_ITEMS`` items, whose size in
-bytes is checked first, each sent with one pass over the documents: a query set against all rows, in blocks.
+bytes is checked first, each sent with one pass over the documents: a query set against all rows, in blocks. Document
+frequencies, the number of items and their mean length are counted over all items, so parts change no score.
 """
 
 from __future__ import annotations
@@ -33,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import added, arrow_schema, map_arrow, with_columns
+from .common import added, arrow_schema, map_arrow, materialize, with_columns
 
 K1, B = 1.2, 0.75
-THRESHOLD, OVERLAP, BLOCK = 0.6, 0.6, 64
+THRESHOLD, OVERLAP, QUESTION, ANSWER, BLOCK = 0.6, 0.6, 0.5, 0.5, 64
 MIN_WINDOW = 128
 #: A part of the benchmark holds at most so many items, and so many bytes of text.
 PART_ITEMS, PART_BYTES = 4_096, 16 << 20
@@ -83,16 +84,21 @@ def holds_whole(item: list[str], words: list[str]) -> bool:
 
 
 class Index:
-    """Postings by term number: item numbers, impacts, and the largest impact of each block and list."""
+    """Postings by term number: item numbers, impacts, and the largest impact of each block and list.
 
-    def __init__(self, items: list[tuple[object, str]]) -> None:
+    ``whole``: of the whole benchmark, the number of items, their mean length, and the items that hold each of these items'
+    words; counted from ``items`` if they are all there are.
+    """
+
+    def __init__(self, items: list[tuple[object, str]], whole: tuple[int, float, dict[str, int]] | None = None) -> None:
         own = [(key, w) for key, text in items if (w := words_of(text))]
         self.keys = [k for k, _ in own]
         self.longest = max((len(w) for _, w in own), default=0)
         mean = sum(len(w) for _, w in own) / max(1, len(own))
-        df = Counter(t for _, w in own for t in set(w))
+        df: dict[str, int] = Counter(t for _, w in own for t in set(w))
         n = len(own)
-        idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+        total, mean, held = whole or (n, mean, df)
+        idf = {t: math.log(1 + (total - held[t] + 0.5) / (held[t] + 0.5)) for t in df}
         self.terms = {t: k for k, t in enumerate(sorted(df))}
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for at, (_, w) in enumerate(own):
@@ -203,14 +209,15 @@ class Index:
             for item, score in self.search(terms, THRESHOLD):
                 if item in found and found[item][0] >= score:
                     continue
-                passage = words[k * self.half : (k + 2) * self.half]
                 own = self.words[item]
                 n, at = in_order(own, passage := words[k * self.half : (k + 2) * self.half])
                 if not (holds_whole(own, passage) if len(own) < SHORT_WORDS else n >= OVERLAP * len(own)):
                     continue
                 cut, near = len(own) - max(1, len(own) // 4), passage[at : at + len(own) + len(own) // 2]
                 question, answer = own[:cut], own[cut:]
-                found[item] = (score, in_order(question, near)[0] / len(question) if question else 1.0, in_order(answer, near)[0] / len(answer))
+                parts = in_order(question, near)[0] / len(question) if question else 1.0, in_order(answer, near)[0] / len(answer)
+                if parts[0] >= QUESTION and parts[1] >= ANSWER:
+                    found[item] = (score, *parts)
         return found
 
 
@@ -225,13 +232,35 @@ def search_documents(docs: DataFrame, items: DataFrame, text_col: str = "text",
     bench = items.select(F.col(item_id).alias("k"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull() & F.col("k").isNotNull())
     n, size = bench.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     parts = max(1, -(-n // PART_ITEMS), -(-size // PART_BYTES))
-    for p in range(parts if n else 0):
-        mine = bench.filter(F.pmod(F.xxhash64("k"), F.lit(parts)) == p) if parts > 1 else bench
-        index = Index(sorted((r[0], r[1]) for r in mine.collect()))  # a part's size is bounded above
+    if parts == 1:
+        rows = bench.collect() if n else []
+        return _search_part(out, Index(sorted((r[0], r[1]) for r in rows)), text_col) if rows else out
+    held = materialize(item_words(bench.withColumn("part", F.pmod(F.xxhash64("k", "t"), F.lit(parts)).cast("int"))), "item-words")
+    total, mean = held.filter("word = ''").agg(F.count(F.lit(1)), F.avg("n")).first()
+    counts = materialize(held.filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.collect_set("part").alias("parts")), "item-word-counts")
+    for p in range(parts):
+        mine = bench.filter(F.pmod(F.xxhash64("k", "t"), F.lit(parts)) == p)
+        df = {r[0]: r[1] for r in counts.filter(F.array_contains("parts", p)).select("word", "df").collect()}
+        index = Index(sorted((r[0], r[1]) for r in mine.collect()), (total, mean, df))  # a part's size is bounded above
         out = _search_part(out, index, text_col)
     return out
 
 
+def item_words(bench: DataFrame) -> DataFrame:
+    """(part, word, n): the distinct words of each item, and a row without a word that has its length."""
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+    out = arrow_schema(schema)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for part, text in zip(b.column("part").to_pylist(), b.column("t").to_pylist()):
+            w = words_of(text)
+            rows += [(part, "", len(w))] * bool(w) + [(part, x, 1) for x in sorted(set(w))]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(out)], schema=out)
+
+    return map_arrow(bench, run, schema)
+
+
 def _search_part(docs: DataFrame, index: Index, text_col: str) -> DataFrame:
     schema = added(docs.schema, hits=docs.schema["hits"].dataType)
     out = arrow_schema(schema)

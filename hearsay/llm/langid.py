@@ -13,7 +13,7 @@ a null id isn't held out; equal texts get equal predictions; further columns pas
 named like an added one gives way.
 
 At scale: one count by language and one filtered scan give the sample: at most ``PER_LANG`` rows a
-language in expectation (a hash of the id decides), of the ``MAX_LANGS`` most frequent languages.
+language in expectation (a hash of the id decides), fewer each where there are so many languages that ``SAMPLE_ROWS`` have to do.
 Predictions are one pass without a shuffle.
 """
 
@@ -30,7 +30,7 @@ from .cnn import ByteCNN, windows_of
 from .common import added, arrow_schema, map_arrow, with_columns
 
 #: The bound of the training sample (documented parameters).
-PER_LANG, MAX_LANGS, SAMPLE_WINDOWS = 800, 64, 4
+SAMPLE_ROWS, PER_LANG, SAMPLE_WINDOWS = 51_200, 800, 4
 WINDOW, OVERLAP = 256, 3
 LETTER = regex.compile(r"\p{L}")
 
@@ -40,20 +40,21 @@ def id_crc(id_col: Column, mod: int) -> Column:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """(lang, text) of at most PER_LANG rows a language in expectation; texts as pieces spread over the whole."""
+    """(lang, text) of at most PER_LANG rows a language in expectation, fewer where SAMPLE_ROWS have to do for many languages;
+    texts as pieces spread over the whole."""
     known = docs.filter((id_crc(F.col(id_col), 4) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()
-    if not counts:
+    counts = known.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__count"))
+    n_langs = counts.count()
+    if not n_langs:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, PER_LANG / r["count"]))])
+    each = max(1, min(PER_LANG, SAMPLE_ROWS // n_langs))
     draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     size, piece = F.length(text_col), 4 * WINDOW
     starts = [F.lit(1), *[(F.greatest(size - piece, F.lit(0)) * k / SAMPLE_WINDOWS + 1).cast("int") for k in range(1, SAMPLE_WINDOWS)]]
     pieces = F.concat_ws("\n", *[F.substring(F.col(text_col), s, F.lit(WINDOW)) for s in starts])
     rows = (
-        known.withColumn("__share", F.get(F.map_values(F.map_filter(share, lambda k, v: k == F.col(lang_col))), F.lit(0)))
-        .filter(draw < F.col("__share"))
-        .select(lang_col, pieces.alias("text")).limit(2 * PER_LANG * len(counts)).collect()
+        known.join(counts, known[lang_col] == counts["__lang"]).filter(draw < F.lit(float(each)) / F.col("__count"))
+        .select(lang_col, pieces.alias("text")).limit(2 * each * n_langs).collect()
     )
     return sorted((r[0], r[1]) for r in rows)
 

@@ -3,9 +3,11 @@
 Every text gets two histograms: characters by class, and words by whose list of common words they are
 in. References are the summed histograms of all documents of a language that pass the base rules.
 A document is judged by the Jensen-Shannon distance (base 2, 0 to 1) to the references, for either
-histogram, and only from a minimum length on: short texts have ragged histograms. Characters fail beyond a
-fixed distance to the nearest reference; words, in lower case, where each reference is nearly as far as it is from a text
-without a common word (how far that is depends on the references).
+histogram, and only from a minimum length on: short texts have ragged histograms. Characters, by classes of any
+script, fail beyond a fixed distance to the nearest reference; words, in lower case, where each reference is nearly
+as far as it is from a text without a common word (how far that is depends on the references) and the text has no
+common words of its own either: prose of any language comes back to its short words, so a text of a language
+without a list stays if at least ``MIN_REUSE`` of its words occurred in it before.
 
 Defined cases: a null text is empty; an empty text has no words and fails the base rules (fewer than
 50 words); a null or unlisted language adds to no reference but is judged like any other; without any
@@ -38,20 +40,19 @@ COMMON_WORDS = {
     "es": "el la los las de que y en un una por con para del se no al es lo su".split(),
     "fr": "le la les de des et un une du est que qui dans en pour par sur au pas il".split(),
 }
-#: Character classes: name and what is not in it (Java regular expressions).
+#: Character classes: name and what is not in it (Java regular expressions). Letters without case count as lower.
 CHAR_CLASSES = {
-    "lower": r"[^a-z]+",
-    "upper": r"[^A-Z]+",
-    "letter": r"[^\p{L}&&[^a-zA-Z]]+",
+    "lower": r"[^\p{Ll}\p{Lo}]+",
+    "upper": r"[^\p{Lu}]+",
     "digit": r"[^0-9]+",
     "space": r"[^\x20\x09-\x0D]+",
     "stop": r"[^.,;:!?'\"()\-]+",
 }
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 #: From these lengths on a histogram is judged; beyond this distance, or this share of a text's without common words, to
-#: every reference it fails.
+#: every reference it fails, the latter if fewer of its words than this share are a word it had before.
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.25
-MIN_LIST_WORDS, MAX_WORD_SHARE = 80, 0.8
+MIN_LIST_WORDS, MAX_WORD_SHARE, MIN_REUSE = 80, 0.8, 0.12
 
 
 def _n(x: Column) -> Column:
@@ -107,6 +108,13 @@ def histograms(text: Column, words: Column) -> dict[str, Column]:
     return out | {f"__w_{k}": _n(F.size(F.filter(words, _is_in(v)))) for k, v in COMMON_WORDS.items()}
 
 
+def reuse(words: Column) -> Column:
+    """The share of the words that the text had before, of those with a letter; marks are short, so longer words aren't looked at."""
+    marks = F.filter(words, lambda w: (F.length(w) <= 3) & ~w.rlike(r"\p{L}"))
+    again = lambda x: F.size(x) - F.size(F.array_distinct(x))
+    return _let(marks, lambda m: (again(words) - again(m)) / F.greatest(F.size(words) - F.size(m), F.lit(1)))
+
+
 def _is_in(values: list[str]) -> Callable[[Column], Column]:
     return lambda w: w.isin(values)
 
@@ -115,7 +123,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the base counts, base_failed and the histogram columns (``__c_*``, ``__w_*``)."""
     x = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
     x = x.withColumns(base_columns(F.col("__text")))
-    x = x.withColumns({"n_repeat_words": repeat_words(F.col("__words")), "__chars": _n(F.length("__text"))} | histograms(F.col("__text"), F.col("__folded")))
+    x = x.withColumns({"n_repeat_words": repeat_words(F.col("__words")), "__chars": _n(F.length("__text")), "__reuse": reuse(F.col("__folded"))} | histograms(F.col("__text"), F.col("__folded")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     return x.withColumn("base_failed", failed).drop("__text", "__words", "__folded")
 
@@ -194,9 +202,10 @@ def judged(feats: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -
         "__word": nearest(WORD_BINS, words, [MAX_WORD_SHARE * distance_of_none(r) for r in words]),
     })
     x = x.withColumns({"char_distance": F.col("__char.near"), "word_distance": F.col("__word.near")})
-    odd = ((F.col("__chars") >= MIN_CHARS) & (F.col("__char.over") > 0)) | ((F.col("n_words") >= MIN_LIST_WORDS) & (F.col("__word.over") > 0))
+    odd = ((F.col("__chars") >= MIN_CHARS) & (F.col("__char.over") > 0)) | (
+        (F.col("n_words") >= MIN_LIST_WORDS) & (F.col("__word.over") > 0) & (F.col("__reuse") < MIN_REUSE))
     x = x.withColumn("kept", ~F.col("base_failed") & ~odd)
-    return x.drop("__chars", "__char", "__word", *[f"{p}{k}" for p, names, _ in (CHAR_BINS, WORD_BINS) for k in names])
+    return x.drop("__chars", "__reuse", "__char", "__word", *[f"{p}{k}" for p, names, _ in (CHAR_BINS, WORD_BINS) for k in names])
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
