@@ -19,7 +19,7 @@ count is 0 and the tree is uniform; a null id is a training row (crc32 of no byt
 an id are scored one by one; equal texts get equal scores; bytes outside the alphabet share one symbol and
 split its probability evenly. Words are told apart by 64-bit hashes with their length.
 
-At scale: texts move twice, to their block, many compressed together. A word or gram moves once a block, however often
+At scale: texts move twice, to their block, many compressed together; they are read twice and stored nowhere. A word or gram moves once a block, however often
 it occurs, in sorted arrays, so no key is hot. Divergence tests and probabilities are joins and sums by context
 over the distinct grams. Nothing but sums, and the counts of 256 bytes, comes to the driver.
 """
@@ -47,7 +47,7 @@ END = 10  # the byte that marks a text's end; not in any word
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACE)] = True
 END_WORD = np.uint64(1)  # the end mark's key among the words
-WORDS, GRAMS, ROWS = 0, 1, 2
+WORDS, GRAMS = 0, 1
 
 ASKED = struct("block int, bucket int, kind int, keys binary, counts binary")
 REPLY = struct("block int, bucket int, kind int, answers binary")
@@ -316,19 +316,19 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, pa.S
 
 
 def ask_all(x: DataFrame, inner: pa.Schema, buckets: int) -> DataFrame:
-    """Each block's distinct words and grams, a row a bucket and kind: sorted keys, and their counts in training rows; and its rows."""
+    """Each block's distinct words and grams, a row a bucket and kind: sorted keys, and their counts in training rows."""
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        rows = unpress(table.column("rows").to_pylist(), inner).combine_chunks()
-        own = Distinct(byte_texts(rows.column("text")), rows.column("learn").to_pylist())
-        out = [(block, -1, ROWS, press(rows.to_batches()[0]), None)]
+        rows = unpress(table.column("rows").to_pylist(), inner)
+        own = Distinct([t for c in rows.column("text").chunks for t in byte_texts(c)], rows.column("learn").to_pylist())
+        out = []
         for kind in (WORDS, GRAMS):
             order, edges = own.dealt(kind, buckets)
             for k in np.flatnonzero(np.diff(edges)).tolist():
                 at = order[edges[k] : edges[k + 1]]
                 out.append((block, k, kind, pack(own.keys[kind][at]), pack(own.counts[kind][at])))
-        return rows_of(ASKED, list(zip(*out)))
+        return rows_of(ASKED, list(zip(*out)) or [[]] * len(ASKED))
 
     return materialize(x.groupBy("block").applyInArrow(ask, ASKED), "lm-asked")
 
@@ -342,8 +342,9 @@ def bucket_sums(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
 
 @dataclass
 class Model:
-    """Of a corpus: what its blocks ask and hold, the grams with their counts, the tree's probabilities and contexts by depth, the byte classes."""
+    """Of a corpus: its blocks and what they ask, the grams with their counts, the tree's probabilities and contexts by depth, the byte classes."""
 
+    blocks: DataFrame
     asked: DataFrame
     inner: pa.Schema
     buckets: int
@@ -365,7 +366,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     grams = materialize(asked.filter(F.col("kind") == GRAMS).groupBy("bucket").applyInArrow(sum_grams, GRAM), "lm-grams")
     classes = byte_classes(grams)
     p, kept = fit(grams, classes)
-    return Model(asked, inner, buckets, grams, p, kept, classes)
+    return Model(x, asked, inner, buckets, grams, p, kept, classes)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,10 +381,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def word_counts(table: pa.Table) -> pa.Table:
         asking, keys, n = bucket_sums(table)
-        return replies_of(table, WORDS, [pack(n[np.searchsorted(keys, k)]) for k in asking])
+        answers = [n[np.searchsorted(keys, k)] for k in asking]
+        answers[0] = np.append(answers[0], (n > 0).sum())  # the first one is also told how many words of the bucket were learned
+        return replies_of(table, WORDS, [pack(a) for a in answers])
 
-    words = m.asked.filter(F.col("kind") == WORDS)
-    word_replies = words.groupBy("bucket").applyInArrow(word_counts, REPLY)
+    word_replies = m.asked.filter(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(word_counts, REPLY)
 
     # The probability of a byte is that of its symbol, split among the symbol's bytes.
     members = F.split(F.lit(",".join(str(k) for k in np.bincount(classes, minlength=ALPHABET))), ",").cast("array<double>")
@@ -399,29 +401,31 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gram_replies = m.asked.filter(F.col("kind") == GRAMS).groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(gram_scores, REPLY)
     replies = word_replies.unionByName(gram_replies)
 
-    done_schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *struct("learn boolean, n_tokens long, n_known long, logs double, score double").fields])
+    done_schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *struct("learn boolean, n_tokens long, n_known long, logs double, score double, learned long").fields])
     done_out = arrow_schema(done_schema)
 
     def answer(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return done_out.empty_table()
-        rows = unpress(table.column("keys").to_pylist(), inner).combine_chunks()
-        own = Distinct(byte_texts(rows.column("text")), rows.column("learn").to_pylist())
+        rows = unpress(table.column("rows").to_pylist(), inner)
+        texts = [t for c in rows.column("text").chunks for t in byte_texts(c)]
+        own = Distinct(texts, rows.column("learn").to_pylist())
         large = zstandard.ZstdDecompressor().decompress
         got = sorted(zip(*(reply.column(c).to_pylist() for c in ("kind", "bucket", "answers"))), key=lambda r: r[:2])
-        values = {}
+        values, learned = {}, 0
         for kind, read in ((WORDS, lambda a: unpack(a, np.int64)), (GRAMS, lambda a: np.frombuffer(large(a), np.float32))):
-            order, _ = own.dealt(kind, buckets)
-            in_order = np.concatenate([read(a) for k, _, a in got if k == kind])
-            values[kind] = np.empty_like(in_order)
-            values[kind][order] = in_order
+            order, edges = own.dealt(kind, buckets)
+            parts = [(read(a), int(edges[b + 1] - edges[b])) for k, b, a in got if k == kind]
+            learned += sum(int(v[n]) for v, n in parts if len(v) > n)
+            values[kind] = np.empty(len(order), parts[0][0].dtype)
+            values[kind][order] = np.concatenate([v[:n] for v, n in parts])
         c, logp = values[WORDS], values[GRAMS]
         words_at, grams_at = Places(own.keys[WORDS]), Places(own.keys[GRAMS])
         end = int(c[words_at.of(np.array([END_WORD]))[0]])
         log = np.log10(c + 0.5)
         size = rows.num_rows
         n_tokens, n_known, logs, score = np.ones(size, np.int64), np.full(size, int(end > 0)), np.full(size, np.log10(end + 0.5)), np.zeros(size)
-        for p in pieces(byte_texts(rows.column("text"))):
+        for p in pieces(texts):
             words, n = p.words()
             at, cut = words_at.of(words), np.cumsum(n) - n
             sums = lambda v, cut=cut, n=n: np.where(n > 0, np.add.reduceat(np.append(v, 0), cut), 0)
@@ -429,18 +433,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             n_known[p.texts] += sums((c[at] > 0).astype(np.int64))
             logs[p.texts] += sums(log[at])
             score[p.texts] += np.add.reduceat(logp[grams_at.of(p.contexts())].astype(np.float64), p.starts)
-        columns = [rows.column("id"), rows.column("learn"), *(pa.array(v) for v in (n_tokens, n_known, logs, score))]
+        columns = [rows.column("id"), rows.column("learn"), *(pa.array(v) for v in (n_tokens, n_known, logs, score, [learned] + [0] * (size - 1)))]
         return pa.Table.from_arrays([v.cast(f.type) for v, f in zip(columns, done_out)], schema=done_out)
 
-    held = m.asked.filter(F.col("kind") == ROWS).select("block", "keys")
-    done = materialize(held.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(answer, done_schema), "lm-scores")
-    n = done.agg(F.sum(F.when(F.col("learn"), F.col("n_tokens")))).first()[0] or 0
-
-    def count_words(table: pa.Table) -> pa.Table:
-        _, _, sums = bucket_sums(table)
-        return rows_of(struct("v long"), [[int((sums > 0).sum())]])
-
-    v = words.groupBy("bucket").applyInArrow(count_words, struct("v long")).agg(F.sum("v")).first()[0] or 0
+    done = materialize(m.blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(answer, done_schema), "lm-scores")
+    n, v = done.agg(F.sum(F.when(F.col("learn"), F.col("n_tokens"))), F.sum("learned")).first()
+    n, v = n or 0, v or 0
     per_token = float(np.log10(n + 0.5 * (v + 1)))
     return done.select(
         F.col("id").alias(id_col), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
