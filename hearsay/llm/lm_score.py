@@ -42,7 +42,7 @@ from .langid import id_crc
 DEPTH, MIN_SEEN, MIN_GAIN, PRIOR = 5, 32, 24.0, 4.0
 ALPHABET = 64
 #: Text bytes of a block of rows, of texts handled at a time, and for each bucket of keys.
-BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 48 << 20
+BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES = 5 << 20, 1 << 20, 48 << 20
 END = 10  # the byte that marks a text's end; not in any word
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACE)] = True

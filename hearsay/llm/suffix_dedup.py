@@ -12,7 +12,8 @@ alone, so two equal strings hold the same anchor at the same offset, and every s
    compares on from there only, and gives the prefixes shared by neighbours of the merged order. From these and
    the bytes before the anchors follows, for each offset of an anchor in a string, the smallest id that has
    the same string. Entries with a smaller one get a bit for the offset.
-4. Each block marks its strings and cuts the covered bytes out.
+4. Each block marks its strings and cuts the covered bytes out. Where its entries stand it has sent along with its
+   runs (``state``), so that nothing is searched or sorted twice; its rows have one order whenever they meet.
 
 All comparisons are of bytes; hashes only choose anchors and the place where they meet.
 
@@ -85,13 +86,33 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, at - (ends - lens)[doc], h[at]
 
 
+def _press(x: np.ndarray) -> bytes:
+    """An array by its bytes' places, compressed, its size in front."""
+    import zstandard
+
+    raw = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+    return len(raw).to_bytes(8, "little") + raw
+
+
+def _unpress(data: bytes, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
+    """The array of ``n`` numbers at a place of ``data``, and how much room it takes there."""
+    import zstandard
+
+    size = int.from_bytes(data[at : at + 8], "little")
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at + 8 : at + 8 + size]), np.uint8)
+    return np.ascontiguousarray(raw.reshape(-1, n).T if n else raw).view(kind).reshape(-1), size + 8
+
+
 class Block:
     """The documents of a block: ids, texts, anchors."""
 
     def __init__(self, table: pa.Table, bits: int) -> None:
-        self.ids = [NO_ID if k is None else k for k in table.column("id").to_pylist()]
-        self.texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
+        ids, texts = table.column("id").to_pylist(), [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
+        order = sorted(range(len(ids)), key=lambda k: (NO_ID if ids[k] is None else ids[k], texts[k]))
+        self.own_ids, self.texts = [ids[k] for k in order], [texts[k] for k in order]
+        self.ids = [NO_ID if k is None else k for k in self.own_ids]
         self.bits = bits
+        self.lens = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
         # Of equal texts in a block the first id alone has anchors; the others are covered by it.
         first: dict[bytes, int] = {}
         for k, t in sorted(zip(self.ids, self.texts), key=lambda x: x[0]):
@@ -103,13 +124,16 @@ class Block:
             if self.leads[-1]:
                 seen.add(t)
         self.first = first
-        self.lens = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+
+    def find(self) -> Block:
+        """The anchors of the block: text numbers, places, keys."""
         found = []
         for a, b in text_chunks(self.lens):
             doc, at, h = anchors([t if lead else b"" for t, lead in zip(self.texts[a:b], self.leads[a:b])])
-            found.append((doc + a, at, bucket_keys(h, bits)))
+            found.append((doc + a, at, bucket_keys(h, self.bits)))
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         self.found = tuple(np.concatenate(v) for v in zip(none, *found))
+        return self
 
     def keys(self) -> list[np.ndarray]:
         """The distinct keys of each text, all together."""
@@ -161,11 +185,35 @@ class Block:
             out.append((int(self.buckets[a]), shared.tobytes(), run[np.arange(ENTRY) >= shared[:, None]].tobytes(), self.least[a:b].astype("<i8").tobytes()))
         return out
 
+    def state(self) -> bytes:
+        """Where the entries stand, their numbers, which of them an earlier text of the block has, and the entries of each bucket."""
+        ids = np.array(self.ids, np.int64)
+        place = (np.cumsum(self.lens) - self.lens)[self.doc] + self.place
+        later = np.packbits(ids[self.doc] > self.least[self.entry])
+        first, ends = runs_of(self.buckets)
+        parts = [np.diff(place, prepend=0).astype("<u4"), self.entry.astype("<u4"), later, self.buckets[first].astype("<u4"), (ends - first).astype("<u4")]
+        return b"".join(len(p).to_bytes(8, "little") + _press(p) for p in parts)
+
+    def load(self, state: bytes) -> list[int]:
+        """Takes what ``state`` gave; the buckets in the order of their entries."""
+        parts, at = [], 0
+        for kind in ("<u4", "<u4", "u1", "<u4", "<u4"):
+            n = int.from_bytes(state[at : at + 8], "little")
+            part, size = _unpress(state, at + 8, n, kind)
+            parts.append(part)
+            at += 8 + size
+        place, self.entry, later, buckets, self.sizes = (p.astype(np.int64) if k != 2 else p for k, p in enumerate(parts))
+        place = np.cumsum(place)
+        starts = np.cumsum(self.lens) - self.lens
+        self.doc = np.searchsorted(starts, place, side="right") - 1
+        self.place = place - starts[self.doc]
+        self.later = np.unpackbits(later)[: len(place)].astype(bool)
+        return buckets.tolist()
+
     def removed(self, masks: np.ndarray) -> list[np.ndarray]:
         """For each text which bytes go; ``masks`` has a bit for each entry and offset."""
-        ids = np.array(self.ids, np.int64)
-        n_right, n_left = self.rows[:, -2].astype(np.int64), self.rows[:, -1].astype(np.int64)
-        later = ids[self.doc] > self.least[self.entry]  # its own block has an earlier one with all of the entry
+        n_right, n_left = np.minimum(self.lens[self.doc] - self.place, LENGTH), np.minimum(self.place, REACH)
+        later = self.later  # its own block has an earlier one with all of the entry
         mask = np.where(later, np.uint32((1 << (REACH + 1)) - 1), masks[self.entry] if len(masks) else np.uint32(0))
         starts = np.cumsum(self.lens) - self.lens
         place = starts[self.doc] + self.place
@@ -286,7 +334,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     size = F.octet_length("text")
     bits = bucket_bits(x.agg(F.sum(size)).first()[0] or 0)
     x = blocked(x, "id", size, BLOCK_BYTES)
-    replies = answers(x, lambda table: Block(table, bits).keys())
+    replies = answers(x, lambda table: Block(table, bits).find().keys())
 
     run_schema = T.StructType.fromDDL("bucket int, block int, shared binary, rest binary, ids binary")
     run_out = arrow_schema(run_schema)
@@ -294,16 +342,19 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def send(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return run_out.empty_table()
-        block = Block(table, bits)
+        block = Block(table, bits).find()
         block.runs(reply.column("bucket").to_pylist(), reply.column("shared").to_pylist())
         own = table.column("block")[0].as_py()
         rows = [(b, own, s, r, i) for b, s, r, i in block.front_coded()]
+        rows.append((-1 - own, own, block.state(), None, None))  # to be handed on to the last step, under a number of its own
         return pa.Table.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(run_out)], schema=run_out)
 
     mask_schema = T.StructType.fromDDL("block int, bucket int, masks binary")
     mask_out = arrow_schema(mask_schema)
 
     def merge(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.Table.from_arrays([table.column(c).combine_chunks() for c in ("block", "bucket", "shared")], schema=mask_out)
         runs = list(zip(table.column("shared").to_pylist(), table.column("rest").to_pylist()))
         run_of, number, entries, shared = [], [], [], []
         for r, k, e, h in LoserTree(runs):
@@ -321,9 +372,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.Table.from_arrays([table.column("block").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(parts, pa.binary())], schema=mask_out)
 
     masks = x.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(send, run_schema).groupBy("bucket").applyInArrow(merge, mask_schema)
-    both = replies.select("block", "bucket", "shared", F.lit(None).cast("binary").alias("masks")).unionByName(
-        masks.select("block", "bucket", F.lit(None).cast("binary").alias("shared"), "masks")
-    )
     kept_schema = T.StructType.fromDDL("id long, kept binary, n_bytes long, n_removed long, n_spans long")
     kept_out = arrow_schema(kept_schema)
 
@@ -331,18 +379,15 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if not table.num_rows:
             return kept_out.empty_table()
         block = Block(table, bits)
-        rows = list(zip(reply.column("bucket").to_pylist(), reply.column("shared").to_pylist(), reply.column("masks").to_pylist()))
-        asked = [(b, s) for b, s, m in rows if s is not None]
-        block.runs([b for b, _ in asked], [s for _, s in asked])
-        found = dict((b, m) for b, _, m in rows if m is not None)
-        parts = [np.frombuffer(found[int(block.buckets[a])], "<u4") for a, _ in zip(*runs_of(block.buckets))]
+        found = dict(zip(reply.column("bucket").to_pylist(), reply.column("masks").to_pylist()))
+        parts = [np.frombuffer(found[b], "<u4") for b in block.load(next(m for b, m in found.items() if b < 0))]
         gone = block.removed(np.concatenate(parts) if parts else np.zeros(0, np.uint32))
         kept = [t if not g.any() else np.frombuffer(t, np.uint8)[~g].tobytes() for t, g in zip(block.texts, gone)]
         spans = [int((np.diff(np.concatenate([[0], g.view(np.int8)])) == 1).sum()) for g in gone]
-        cols = (table.column("id").combine_chunks(), kept, [len(t) for t in block.texts], [int(g.sum()) for g in gone], spans)
+        cols = (block.own_ids, kept, [len(t) for t in block.texts], [int(g.sum()) for g in gone], spans)
         return pa.Table.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(cols, kept_out)], schema=kept_out)
 
-    return x.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut, kept_schema).withColumnRenamed("id", id_col)
+    return x.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(cut, kept_schema).withColumnRenamed("id", id_col)
 
 
 def report(docs: DataFrame) -> DataFrame:
