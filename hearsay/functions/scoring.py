@@ -1,9 +1,10 @@
 """P9 sentiment scoring as a relational Spark job.
 
 Rule-based valence scoring after the published method (Hutto & Gilbert, ICWSM 2014):
-token valences from a lexicon *table*, intensifier/dampener words up to three tokens back
-(decayed 1 / 0.95 / 0.9), negation within three tokens (×-0.74), contrast on the first 'but'
-(×0.5 before, ×1.5 after), '!' emphasis (0.292 each, at most 4) and the normalisation
+token valences from a lexicon *table* (an argument of every caller), intensifier/dampener words up
+to three tokens back (decayed 1 / 0.95 / 0.9), capitals where only some words of the text are in
+capitals (0.733 for the word and for its intensifier), negation within three tokens (×-0.74), contrast
+on the first 'but' (×0.5 before, ×1.5 after), '!' emphasis (0.292 each, at most 4) and the normalisation
 ``s / sqrt(s² + 15)``, rounded to 4 places. Bit parity with any packaged scorer is not claimed.
 
 Plan: neighbour tokens are attached with array functions *before* the explode, so context
@@ -24,20 +25,23 @@ from . import text as tx
 MICRO = 1_000_000
 
 
-def _booster(word: Column) -> Column:
-    return (
-        F.when(word.isin(*fx.BOOSTERS_UP), F.lit(fx.BOOSTER_INCR))
-        .when(word.isin(*fx.BOOSTERS_DOWN), F.lit(-fx.BOOSTER_INCR))
-        .otherwise(F.lit(0.0))
-    )
+def _booster(word: Column, mixed: Column) -> Column:
+    """What an intensifier (or dampener) adds to a positive valence; more where it stands out in capitals."""
+    low = F.lower(word)
+    step = F.when(low.isin(*fx.BOOSTERS_UP), F.lit(fx.BOOSTER_INCR)).when(low.isin(*fx.BOOSTERS_DOWN), F.lit(-fx.BOOSTER_INCR))
+    return F.coalesce(step + F.when(mixed & tx.is_caps(word), F.lit(fx.CAPS_INCR)).otherwise(F.lit(0.0)), F.lit(0.0))
+
 
+def token_contribution(valence: Column, word: Column, p1: Column, p2: Column, p3: Column, pos: Column, but_pos: Column, mixed: Column) -> Column:
+    """Contribution of one lexicon token, in micro-units (exact integer sums downstream).
 
-def token_contribution(valence: Column, p1: Column, p2: Column, p3: Column, pos: Column, but_pos: Column) -> Column:
-    """Contribution of one lexicon token, in micro-units (exact integer sums downstream)."""
+    Words come as they are written; ``mixed`` says that some but not all words of the text are in capitals.
+    """
     sign = F.when(valence < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    boost = _booster(p1) + _booster(p2) * F.lit(0.95) + _booster(p3) * F.lit(0.9)
-    v = valence + sign * boost
-    negated = p1.isin(*fx.NEGATORS) | p2.isin(*fx.NEGATORS) | p3.isin(*fx.NEGATORS)
+    caps = F.when(mixed & tx.is_caps(word), F.lit(fx.CAPS_INCR)).otherwise(F.lit(0.0))
+    boost = _booster(p1, mixed) + _booster(p2, mixed) * F.lit(0.95) + _booster(p3, mixed) * F.lit(0.9)
+    v = valence + sign * caps + sign * boost
+    negated = F.lower(p1).isin(*fx.NEGATORS) | F.lower(p2).isin(*fx.NEGATORS) | F.lower(p3).isin(*fx.NEGATORS)
     v = F.when(F.coalesce(negated, F.lit(False)), v * F.lit(fx.NEGATION_SCALAR)).otherwise(v)
     v = (
         F.when((but_pos > 0) & (pos < but_pos), v * F.lit(fx.CONTRAST_BEFORE))
@@ -55,8 +59,7 @@ def compound_from_sum(sum_micro: Column, exclamations: Column) -> Column:
     return tx.rnd(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)), 4)
 
 
-def score(df: DataFrame, lexicon: DataFrame, text: Column | None = None, key: str = "id",
-          carry: list[str] | None = None, lowered: bool = False) -> DataFrame:
+def score(df: DataFrame, lexicon: DataFrame, text: Column | None = None, key: str = "id", carry: list[str] | None = None) -> DataFrame:
     """Add ``compound`` to ``df`` (one row per ``key``), keeping the ``carry`` columns.
 
     Only (key, token context) rows are exploded; the inner broadcast join with the lexicon keeps
@@ -69,23 +72,26 @@ def score(df: DataFrame, lexicon: DataFrame, text: Column | None = None, key: st
     carry = [c for c in (carry if carry is not None else df.columns) if c != key]
     # Materialise the token array once: a lambda that referenced the expression itself would
     # re-tokenise the whole text for every element.
-    staged = df.select(F.col(key), tx.score_tokens(text, lowered).alias("_toks"))
+    words = df.select(F.col(key), tx.score_tokens(text).alias("_words"))
+    n_caps = F.size(F.filter("_words", tx.is_caps))
+    staged = words.select(F.col(key), F.filter("_words", lambda t: F.length(t) >= 2).alias("_toks"), ((n_caps > 0) & (n_caps < F.size("_words"))).alias("_mixed"))
     toks = F.col("_toks")
     ctx = F.transform(
         toks,
         lambda t, i: F.struct(
-            t.alias("tok"),
+            t.alias("word"),
             (i + 1).alias("pos"),
             F.get(toks, i - 1).alias("p1"),
             F.get(toks, i - 2).alias("p2"),
             F.get(toks, i - 3).alias("p3"),
         ),
     )
-    exploded = staged.select(F.col(key).alias("_k"), F.array_position(toks, "but").alias("_but"), F.explode(ctx).alias("_t"))
+    but = F.array_position(F.transform(toks, F.lower), "but")
+    exploded = staged.select(F.col(key).alias("_k"), "_mixed", but.alias("_but"), F.explode(ctx).alias("_t"))
     lex = lexicon.select(F.col("token").alias("_tok"), F.col("valence").alias("_val"))
-    hits = exploded.join(lex, exploded["_t.tok"] == lex["_tok"], "inner")
+    hits = exploded.join(lex, F.lower(exploded["_t.word"]) == lex["_tok"], "inner")
     contrib = token_contribution(
-        F.col("_val"), F.col("_t.p1"), F.col("_t.p2"), F.col("_t.p3"), F.col("_t.pos"), F.col("_but")
+        F.col("_val"), F.col("_t.word"), F.col("_t.p1"), F.col("_t.p2"), F.col("_t.p3"), F.col("_t.pos"), F.col("_but"), F.col("_mixed")
     )
     sums = hits.groupBy("_k").agg(F.sum(contrib).alias("_s"))
     base = df.select(F.col(key), *[F.col(c) for c in carry], tx.count_char(text, "!").alias("_bang"))

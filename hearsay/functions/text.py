@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tokens for scoring: lower-case ASCII word runs, an optional apostrophe suffix (isn't, won't),
-# at least two characters. Same class syntax in Java regex and RE2.
-SCORE_TOKEN_PATTERN = "[a-z0-9_]+(?:'[a-z]+)?"
-# Tokens for TF-IDF: two or more ASCII word characters.
-TERM_TOKEN_PATTERN = "[a-z0-9_]{2,}"
+# Tokens for scoring: runs of letters and digits of any script, an optional apostrophe suffix (isn't, won't).
+SCORE_TOKEN_PATTERN = r"[\p{L}\p{N}_]+(?:'\p{L}+)?"
+# Tokens for TF-IDF: two or more letters or digits of any script.
+TERM_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 REDDIT_HOST = "https://reddit.com"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -105,14 +104,18 @@ def severity_rank(c: str | Column) -> Column:
     return F.when(s == "CRITICAL", 1).when(s == "HIGH", 2).when(s == "MEDIUM", 3).when(s == "LOW", 4)
 
 
-def score_tokens(text: str | Column, lowered: bool = False) -> Column:
-    low = col(text) if lowered else ascii_lower(text)
-    toks = F.regexp_extract_all(low, F.lit(SCORE_TOKEN_PATTERN), 0)
-    return F.filter(toks, lambda t: F.length(t) >= 2)
+def score_tokens(text: str | Column) -> Column:
+    """The words of a text as they are written."""
+    return F.regexp_extract_all(col(text), F.lit(SCORE_TOKEN_PATTERN), 0)
+
+
+def is_caps(word: Column) -> Column:
+    """Written in capitals: it has a letter with case, and none is lower-case."""
+    return (word == F.upper(word)) & (word != F.lower(word))
 
 
 def term_tokens(text: str | Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(TERM_TOKEN_PATTERN), 0)
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(TERM_TOKEN_PATTERN), 0)
 
 
 def count_char(text: str | Column, ch: str) -> Column:

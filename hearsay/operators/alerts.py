@@ -110,6 +110,7 @@ def run_summary(candidates: DataFrame) -> DataFrame:
     return by_t.unionByName(by_s).unionByName(tot)
 
 
+# FIXED VALUE: what display links leave out.
 HOST_PREFIX = r"^https?://(www\.)?reddit\.com"
 
 
@@ -138,5 +139,6 @@ def notify_candidates(ledger: DataFrame, at: Column) -> DataFrame:
     w = Window.partitionBy().orderBy(tx.severity_rank("severity"), F.col("detected_at").desc(), "alert_id")
     ranked = rows.withColumn("position", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
     first_sev = F.first(F.col("severity")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # FIXED VALUE: the subject line.
     return ranked.withColumn("subject", F.format_string("[%s] Tesla Energy Alert - %d Issue(s) Detected", first_sev, F.col("n"))).select(
         "position", "alert_id", "alert_type", "severity", "subreddit", "message", "detected_at", "subject")

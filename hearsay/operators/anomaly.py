@@ -18,6 +18,7 @@ from . import rollup as ru
 
 ALERT_COLUMNS = ["alert_id", "alert_type", "severity", "subreddit", "message", "metric_value", "threshold",
                  "metadata", "detected_at"]
+# FIXED VALUES: alert types, and below the wording of their messages.
 DETECTOR_ORDER = {"SENTIMENT_ANOMALY": 1, "VOLUME_ANOMALY": 2, "KEYWORD_ANOMALY": 3, "EXTREME_POST": 4}
 JSON_OPTS = {"ignoreNullFields": "false"}
 
@@ -69,10 +70,7 @@ def top_posts_per_bucket(posts: DataFrame, buckets: DataFrame, k: int = 5) -> Da
     w = Window.partitionBy("subreddit", "minute").orderBy(F.col("created_utc").desc(), F.col("id").desc())
     top = p.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     return top.groupBy("subreddit", "minute").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("rn", "id", "title", "permalink"))),
-            lambda s: s,
-        ).alias("_posts")
+        F.array_sort(F.collect_list(F.struct("rn", "id", "title", "permalink"))).alias("_posts")
     ).select(
         "subreddit", "minute",
         F.transform("_posts", lambda s: s["id"]).alias("post_ids"),

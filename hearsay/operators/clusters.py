@@ -27,20 +27,18 @@ CENTRES = "cluster_id int, idx int, term string, weight long"
 _EMPTY = "array<int>", "array<bigint>"
 
 
-def vocabulary(posts: DataFrame, max_features: int = 200, min_df: int = 2) -> DataFrame:
+def vocabulary(tokens: DataFrame, max_features: int = 200, min_df: int = 2) -> DataFrame:
     """(term, df, n, idf, idx) of the corpus's vocabulary; idx is the term's place in alphabetical order."""
-    docs = tp.topic_docs(posts)
-    vocab = tp.vocabulary(tp.term_stats(tp.term_arrays(docs, None), None), docs, None, max_features, min_df, None)
+    vocab = tp.vocabulary(tokens, None, max_features, min_df, None)
     return vocab.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
 
 
-def vectors(posts: DataFrame, vocab: DataFrame) -> DataFrame:
+def vectors(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """(id, idx, w) of every post; a post without a term of the vocabulary has an empty vector."""
-    docs = tp.topic_docs(posts)
-    w = tp.weights(tp.term_arrays(docs, None), vocab, None).join(vocab.select("term", "idx"), "term")
+    w = tp.weights(tp.term_arrays(tokens, None), vocab, None).join(vocab.select("term", "idx"), "term")
     rows = w.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", F.round(F.col("w") * F.lit(float(WEIGHT))).cast("bigint").alias("w")))).alias("e"))
     none = [F.array().cast(t) for t in _EMPTY]
-    return docs.select("id").join(rows, "id", "left").select(
+    return tokens.select("id").join(rows, "id", "left").select(
         "id", F.coalesce(F.transform("e", lambda x: x["idx"]), none[0]).alias("idx"), F.coalesce(F.transform("e", lambda x: x["w"]), none[1]).alias("w"))
 
 
@@ -135,14 +133,14 @@ def centre_keywords(model: DataFrame, k: int = 5) -> DataFrame:
         "cluster_id", F.transform("t", lambda s: s["term"]).alias("keywords"))
 
 
-def kmeans_model(posts: DataFrame, k: int = 7, seeds: range = range(42, 52), max_features: int = 200) -> tuple[DataFrame, DataFrame]:
+def kmeans_model(tokens: DataFrame, k: int = 7, seeds: range = range(42, 52), max_features: int = 200) -> tuple[DataFrame, DataFrame]:
     """C7 with ``pyspark.ml``: sparse tf-idf, K-Means, the least cost of ``seeds``; (centres, assignment of every post)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
-    spark: SparkSession = posts.sparkSession
-    terms = tp.term_arrays(tp.topic_docs(posts), None)
+    spark: SparkSession = tokens.sparkSession
+    terms = tp.term_arrays(tokens, None)
     n = terms.count()
     if n < 2:
         return spark.createDataFrame([], CENTRES), terms.select("id", F.lit(0).alias("cluster_id"))

@@ -11,7 +11,6 @@ Suppression reads the state that earlier runs left, so no detector runs again wh
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +19,7 @@ from pyspark.sql import types as T
 
 from . import alerts as al
 from . import anomaly as an
-from .store import children, exists
+from .store import RunLog
 
 #: An alert as its detector made it, with its place in the run (detector, rank).
 ALERT = T.StructType([
@@ -34,38 +33,14 @@ EVENT = T.StructType([
 ])
 
 
-class Ledger:
-    """Events below ``root``, a folder ``run_id=...`` for each run."""
+class Ledger(RunLog):
+    """Events below ``root``, by run."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
-
-    def _folder(self, run_id: str) -> str:
-        return os.path.join(self.root, f"run_id={run_id}")
-
-    def has_run(self, run_id: str) -> bool:
-        return exists(self.spark, os.path.join(self._folder(run_id), "_SUCCESS"))
-
-    def append(self, run_id: str, events: Callable[[], DataFrame] | DataFrame) -> bool:
-        """Write a run's events once; whether they were new."""
-        if self.has_run(run_id):
-            return False
-        rows = events() if callable(events) else events
-        # a folder without its mark is a run that died while writing: written again as a whole
-        rows.select(*EVENT.names).coalesce(1).write.mode("overwrite").parquet(self._folder(run_id))
-        return True
-
-    def runs(self) -> list[str]:
-        """The runs whose events are complete."""
-        return [name[len("run_id="):] for name in children(self.spark, self.root) if name.startswith("run_id=") and self.has_run(name[len("run_id="):])]
+        super().__init__(spark, root, EVENT)
 
     def events(self) -> DataFrame:
-        """All events of complete runs, with their run_id."""
-        schema = T.StructType([*EVENT.fields, T.StructField("run_id", T.StringType())])
-        folders = [self._folder(r) for r in self.runs()]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", self.root).parquet(*folders)
+        return self.rows()
 
     def state(self) -> DataFrame:
         """The alerts raised so far, resolved or not (``LEDGER_COLUMNS``), with the run that raised each."""

@@ -7,12 +7,16 @@ five scans). Check rows share the log shape ``LOG_COLUMNS``; ``details`` is JSON
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..sources import fixtures as fx
+from .store import RunLog
 
 LOG_COLUMNS = ["check_timestamp", "check_name", "status", "metric_value", "threshold_value", "details", "error_message"]
+# FIXED VALUES: the required fields; names of the checks and of the fields of their details stand in each check.
 REQUIRED = ["id", "title", "author", "subreddit", "created_utc"]
 JSON_OPTS = {"ignoreNullFields": "false"}
 
@@ -76,7 +80,7 @@ def check_schema(rows: DataFrame, at: Column) -> DataFrame:
     return _log_row(n, at, "schema_validation", F.when(total == 0, "PASSED").otherwise("FAILED"), total, 0, details)
 
 
-def check_completeness(rows: DataFrame, at: Column, hours: int = 24, expected: int = 6) -> DataFrame:
+def check_completeness(rows: DataFrame, at: Column, hours: int = 24, expected: int = fx.EXPECTED_COMMUNITIES) -> DataFrame:
     """Q4: posts and distinct communities in the last ``hours``; ratio to ``expected`` >= 0.8."""
     recent = rows.where(F.col("created_utc") >= at - F.expr(f"INTERVAL {hours} HOURS"))
     g = recent.agg(F.count(F.lit(1)).alias("total_posts"), F.count_distinct("subreddit").alias("unique_subreddits"))
@@ -110,13 +114,27 @@ def init_row(df: DataFrame, at: Column) -> DataFrame:
         F.lit(None).cast("string").alias("error_message"))
 
 
-def metric_log(landing: DataFrame, as_of: Column, hours_back: tuple[int, ...] = (48, 24, 0)) -> DataFrame:
-    """The log after check runs at ``as_of - h`` for each h, after the K14 row."""
-    start = as_of - F.expr(f"INTERVAL {max(hours_back) + 24} HOURS")
-    out = init_row(landing, start)
+class QualityLog(RunLog):
+    """The stored log of check runs; each run is appended once, and only its own checks are computed."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        kinds = [T.TimestampNTZType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType(), T.StringType(), T.StringType()]
+        super().__init__(spark, root, T.StructType([T.StructField(c, k) for c, k in zip(LOG_COLUMNS, kinds)]))
+
+    def check(self, run_id: str, landing: DataFrame, at: Column) -> bool:
+        return self.append(run_id, lambda: run_checks(landing, at))
+
+    def log(self) -> DataFrame:
+        return self.rows().drop("run_id")
+
+
+def metric_log(spark: SparkSession, root: str, landing: DataFrame, as_of: Column, hours_back: tuple[int, ...] = (48, 24, 0)) -> DataFrame:
+    """The log with its initial row and the check runs at ``as_of - h`` for each h."""
+    log = QualityLog(spark, root)
+    log.append("0-init", lambda: init_row(landing, as_of - F.expr(f"INTERVAL {max(hours_back) + 24} HOURS")))
     for h in hours_back:
-        out = out.unionByName(run_checks(landing, as_of - F.expr(f"INTERVAL {h} HOURS")))
-    return out
+        log.check(f"{h:03d}h-before", landing, as_of - F.expr(f"INTERVAL {h} HOURS"))
+    return log.log()
 
 
 def weekly_summary(log: DataFrame, at: Column) -> DataFrame:

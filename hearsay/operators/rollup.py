@@ -23,16 +23,15 @@ POST_COLUMNS = ["subreddit", "created_utc", "minute", "title", "author", "score"
 def enrich(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Posts + entities + primary_product + compound + category (one row per id, no text).
 
-    The scoring text is built and case-folded once in its own projection (an expensive
-    expression used many times is not collapsed into its consumers), then tagging and
-    tokenising both read it.
+    The scoring text is built once, and once more case-folded for tagging, in projections of their own
+    (an expensive expression used many times is not collapsed into its consumers).
     """
-    staged = posts.withColumn("_low", tx.ascii_lower(tx.combine_for_scoring()))
+    staged = posts.withColumn("_text", tx.combine_for_scoring()).withColumn("_low", tx.ascii_lower("_text"))
     tagged = staged.withColumn("entities", en.entities(F.col("_low"), lowered=True)).withColumn(
         "primary_product", en.primary_product(F.col("entities"))
     )
     carry = [c for c in POST_COLUMNS if c in posts.columns] + ["entities", "primary_product"]
-    scored = sc.score(tagged, lexicon, text=F.col("_low"), key="id", carry=carry, lowered=True)
+    scored = sc.score(tagged, lexicon, text=F.col("_text"), key="id", carry=carry)
     return scored.withColumn("category", tx.sentiment_category("compound"))
 
 

@@ -42,7 +42,8 @@ def products_ranked(prod: DataFrame) -> DataFrame:
     by_sent = Window.orderBy(F.coalesce(F.col("avg_sentiment"), F.lit(0.0)).desc(), "primary_product")
     return prod.select("primary_product", "post_count", "avg_sentiment",
                        F.row_number().over(by_posts).alias("rank_by_posts"),
-                       F.row_number().over(by_sent).alias("rank_by_sentiment"))
+                       F.row_number().over(by_sent).alias("rank_by_sentiment")).withColumn(
+        "is_best", F.col("rank_by_sentiment") == 1)
 
 
 def product_categories(prod: DataFrame) -> DataFrame:
@@ -155,3 +156,56 @@ def sentiment_labels(minutes: DataFrame) -> DataFrame:
         tx.sentiment_label(s, 0.1, -0.1).alias("distribution_bucket"),
         tx.sentiment_label(s, 0.2, 0.0).alias("badge"),
         tx.sentiment_label(s, 0.2, -0.2, labels=("Positive", "Negative", "Neutral")).alias("chart_label"))
+
+
+def _hourly(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Hourly mean of post sentiments and number of posts, by ``keys``."""
+    return rows.groupBy(*keys, tx.hour_bucket("minute").alias("time")).agg(_units_mean("sentiment", 1e6).alias("sentiment"), F.count(F.lit(1)).alias("posts"))
+
+
+def _top_posts(scored: DataFrame, key: str, k: int) -> DataFrame:
+    order = Window.partitionBy(key).orderBy(F.col("score").desc(), "id")
+    top = scored.where(F.col(key).isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.select(*dict.fromkeys([key, "rank", "id", "title", "subreddit", "created_utc", "score", "num_comments", "permalink"]))
+
+
+def product_timeline(scored: DataFrame, sentiments: DataFrame, at: Column, days: int = 7) -> DataFrame:
+    """Per product and hour of the last ``days`` days the mean sentiment and the posts."""
+    recent = scored.where(F.col("primary_product").isNotNull() & (F.col("minute") >= at - F.expr(f"INTERVAL {days} DAYS")))
+    return _hourly(recent.select("id", "primary_product", "minute").join(sentiments.select("id", "sentiment"), "id"), ["primary_product"])
+
+
+def product_top_posts(scored: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` posts of the highest score per product."""
+    return _top_posts(scored, "primary_product", k)
+
+
+def community_timeline(minutes: DataFrame, at: Column, days: int = 7) -> DataFrame:
+    """Per community and hour of the last ``days`` days, from minute rows."""
+    h = minutes.where(F.col("minute") >= at - F.expr(f"INTERVAL {days} DAYS")).groupBy("subreddit", tx.hour_bucket("minute").alias("time")).agg(
+        F.sum(F.round(F.col("avg_sentiment") * F.col("posts_count") * F.lit(1e4)).cast("bigint")).alias("_u"), F.sum("posts_count").alias("posts"))
+    return h.select("subreddit", "time", (F.col("_u") / F.lit(1e4) / F.col("posts")).alias("sentiment"), "posts")
+
+
+def community_top_posts(scored: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` posts of the highest score per community."""
+    return _top_posts(scored, "subreddit", k)
+
+
+def community_detail(minutes: DataFrame, scored: DataFrame, ledger: DataFrame) -> DataFrame:
+    """A community's numbers, its entity mentions and its open alerts (count, and ids newest first)."""
+    newest = F.sort_array(F.collect_list(F.struct(F.col("detected_at"), F.col("alert_id"))), asc=False)
+    alerts = ledger.where(~F.col("resolved") & F.col("subreddit").isNotNull()).groupBy("subreddit").agg(
+        F.count(F.lit(1)).alias("_n"), F.slice(F.transform(newest, lambda a: a["alert_id"]), 1, 10).alias("_ids"))
+    out = community_stats(minutes).join(community_entities(scored), "subreddit", "left").join(alerts, "subreddit", "left")
+    return out.select("subreddit", "post_count", "avg_sentiment", "positive_percent", "negative_percent", "neutral_percent", "vehicles", "energy_products", "issues",
+                      F.coalesce("_n", F.lit(0)).alias("active_alerts"), F.coalesce("_ids", F.array().cast("array<string>")).alias("alert_ids"))
+
+
+def communities_ranked(minutes: DataFrame) -> DataFrame:
+    """Communities by posts and by sentiment (NULL → 0), the first of either flagged. One row a community."""
+    x = community_stats(minutes).select("subreddit", "post_count", "avg_sentiment")
+    by_posts = Window.orderBy(F.col("post_count").desc(), "subreddit")
+    by_sentiment = Window.orderBy(F.coalesce(F.col("avg_sentiment"), F.lit(0.0)).desc(), "subreddit")
+    x = x.withColumns({"rank_by_posts": F.row_number().over(by_posts), "rank_by_sentiment": F.row_number().over(by_sentiment)})
+    return x.withColumns({"most_posts": F.col("rank_by_posts") == 1, "best_sentiment": F.col("rank_by_sentiment") == 1})

@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
@@ -98,6 +99,44 @@ class Versions:
         return len(old)
 
 
+class RunLog:
+    """An append-only table of runs: a folder ``run_id=...`` each, written once and as a whole.
+
+    A run counts when its folder is complete, so the same run a second time adds nothing, and one that died while it
+    wrote is written again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType) -> None:
+        self.spark, self.root, self.schema = spark, root, schema
+
+    def _folder(self, run_id: str) -> str:
+        return os.path.join(self.root, f"run_id={run_id}")
+
+    def has_run(self, run_id: str) -> bool:
+        return exists(self.spark, os.path.join(self._folder(run_id), "_SUCCESS"))
+
+    def append(self, run_id: str, rows: Callable[[], DataFrame] | DataFrame) -> bool:
+        """Write a run's rows once; whether they were new."""
+        if self.has_run(run_id):
+            return False
+        rows = rows() if callable(rows) else rows
+        rows.select(*self.schema.names).coalesce(1).write.mode("overwrite").parquet(self._folder(run_id))
+        return True
+
+    def runs(self) -> list[str]:
+        """The complete runs."""
+        names = [n[len("run_id="):] for n in children(self.spark, self.root) if n.startswith("run_id=")]
+        return [n for n in names if self.has_run(n)]
+
+    def rows(self) -> DataFrame:
+        """The rows of all complete runs, with their run_id."""
+        schema = T.StructType([*self.schema.fields, T.StructField("run_id", T.StringType())])
+        folders = [self._folder(r) for r in self.runs()]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.root).parquet(*folders)
+
+
 def input_version(*tables: DataFrame) -> str:
     """A key of the tables' files: their paths, sizes and times of change. No column is read."""
     files = None

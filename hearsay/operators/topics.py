@@ -6,11 +6,9 @@ characters, stop words removed *before* bigrams, 1-2 grams, document frequency b
 (min_df as a count, max_df as a share), a vocabulary cap by total term count, smooth idf
 ``ln((1+n)/(1+df)) + 1``, L2 rows, and the mean weight over all documents of the group.
 
-Plan: posts arrive hash-partitioned by ``id`` (the dedupe exchange), so term explode and the
-per-document term counts run without a shuffle; document frequencies aggregate partially
-before one exchange on (community, term); the vocabulary is checkpointed to the shared
-checkpoint folder, counted, and broadcast only under a proven row bound; per-document L2 norms
-are a window on ``id`` over already co-located rows.
+Plan: texts are tokenised once, into a stored table of token arrays. Words are counted by (group, term) with
+partial aggregates; bigrams are counted only where both words can reach the vocabulary (``candidate_bigrams``, exact).
+The vocabulary is written and joined as its size suggests; per-document L2 norms are a window on ``id``.
 """
 
 from __future__ import annotations
@@ -20,18 +18,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources import fixtures as fx
-from ..sources.tables import bounded_broadcast, materialize
+from ..sources.tables import materialize
 
 
 def stop_words() -> list[str]:
     return list(fx.english_stop_words())
 
 
-def doc_terms(text: Column, stop: list[str] | None = None) -> Column:
-    """Unigrams and bigrams of the stop-word-filtered token sequence."""
+def topic_docs(posts: DataFrame) -> DataFrame:
+    """(id, subreddit, text) with the topics text rule (P8) and non-null titles."""
+    return posts.where(F.col("title").isNotNull()).select("id", "subreddit", tx.combine_for_topics().alias("text"))
+
+
+def token_arrays(posts: DataFrame, stop: list[str] | None = None) -> DataFrame:
+    """(id, subreddit, toks): each document's tokens without stop words, in order. Written once, read by every branch."""
     stop = stop if stop is not None else stop_words()
-    toks = F.filter(tx.term_tokens(text), lambda t: ~t.isin(*stop))
-    return toks
+    return topic_docs(posts).select("id", "subreddit", F.filter(tx.term_tokens("text"), lambda t: ~t.isin(*stop)).alias("toks"))
 
 
 def _with_bigrams(toks: Column) -> Column:
@@ -41,16 +43,10 @@ def _with_bigrams(toks: Column) -> Column:
     return F.concat(toks, bigrams)
 
 
-def topic_docs(posts: DataFrame) -> DataFrame:
-    """(id, subreddit, text) with the topics text rule (P8) and non-null titles."""
-    return posts.where(F.col("title").isNotNull()).select("id", "subreddit", tx.combine_for_topics().alias("text"))
-
-
-def term_arrays(docs: DataFrame, group: str | None, stop: list[str] | None = None) -> DataFrame:
+def term_arrays(tokens: DataFrame, group: str | None) -> DataFrame:
     """(group, id, terms): each document's unigram + bigram sequence (one row per document)."""
     gk = [group] if group else []
-    staged = docs.select("id", *gk, doc_terms(F.col("text"), stop).alias("_toks"))
-    return staged.select("id", *gk, _with_bigrams(F.col("_toks")).alias("terms"))
+    return tokens.select("id", *gk, _with_bigrams(F.col("toks")).alias("terms"))
 
 
 def term_stats(arrays: DataFrame, group: str | None) -> DataFrame:
@@ -66,30 +62,57 @@ def term_stats(arrays: DataFrame, group: str | None) -> DataFrame:
     return occ.unionByName(dist).groupBy(*gk, "term").agg(F.sum("_d").alias("df"), F.sum("_o").alias("total"))
 
 
-def vocabulary(stats: DataFrame, docs: DataFrame, group: str | None, max_features: int, min_df: int = 2,
-               max_df: float | None = None) -> DataFrame:
-    """(group, term, df, n, idf) of the kept vocabulary."""
-    gk = [group] if group else []
-    if gk:
-        j = stats.join(docs.groupBy(*gk).agg(F.count(F.lit(1)).alias("n")), gk)
-    else:  # one corpus: n is a scalar subquery, not a join
-        j = stats.withColumn("n", docs.select(F.count(F.lit(1))).scalar())
+def _with_n(stats: DataFrame, tokens: DataFrame, group: str | None) -> DataFrame:
+    """``stats`` with the number of documents of its group."""
+    if group:
+        return stats.join(tokens.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group)
+    return stats.withColumn("n", tokens.select(F.count(F.lit(1))).scalar())  # one corpus: a scalar, not a join
+
+
+def _kept(min_df: int, max_df: float | None) -> Column:
     keep = F.col("df") >= min_df
-    if max_df is not None:
-        keep = keep & (F.col("df") <= F.col("n") * F.lit(float(max_df)))
+    return keep if max_df is None else keep & (F.col("df") <= F.col("n") * F.lit(float(max_df)))
+
+
+def _top(terms: DataFrame, group: str | None, k: int) -> DataFrame:
     order = [F.col("total").desc(), F.col("term")]
-    if gk:  # row_number <= k per group plans as a partial WindowGroupLimit before the exchange
-        w = Window.partitionBy(*gk).orderBy(*order)
-        ranked = j.where(keep).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_features)
-    else:  # global cap: TakeOrderedAndProject keeps a bounded heap per partition
-        ranked = j.where(keep).orderBy(*order).limit(max_features)
-    idf = F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    return ranked.select(*gk, "term", "df", "n", idf.alias("idf"))
+    if group:  # row_number <= k per group plans as a partial WindowGroupLimit before the exchange
+        return terms.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= k)
+    return terms.orderBy(*order).limit(k)  # TakeOrderedAndProject keeps a bounded heap per partition
+
 
+def candidate_bigrams(tokens: DataFrame, unigrams: DataFrame, group: str | None, max_features: int, min_df: int, max_df: float | None) -> DataFrame:
+    """(group, term, df, total) of the bigrams that can be among the ``max_features`` terms of the largest total.
 
-def materialise_small(df: DataFrame, bound: int) -> DataFrame:
-    """Write a small derived table (cuts lineage) and broadcast it only under ``bound`` rows."""
-    return bounded_broadcast(materialize(df, "small"), max_rows=bound)
+    A bigram occurs at most as often as its rarer word. Once ``max_features`` words are eligible, the smallest total among
+    the first of them is a bound that every term of the vocabulary reaches, so bigrams with a rarer word can't belong
+    to it. Only occurrences of words that reach the bound leave their document; neighbours among them are its bigrams.
+    """
+    gk = [group] if group else []
+    first = _top(_with_n(unigrams, tokens, group).where(_kept(min_df, max_df)), group, max_features)
+    bound = first.groupBy(*gk).agg(F.when(F.count(F.lit(1)) >= max_features, F.min("total")).otherwise(F.lit(0)).alias("least"))
+    if group:
+        frequent = unigrams.join(bound, group, "left").where(F.col("total") >= F.coalesce("least", F.lit(0)))
+    else:
+        frequent = unigrams.where(F.col("total") >= F.coalesce(bound.select("least").scalar(), F.lit(0)))
+    words = tokens.select("id", *gk, F.posexplode("toks").alias("pos", "term")).join(frequent.select(*gk, "term"), [*gk, "term"])
+    order = F.sort_array(F.collect_list(F.struct("pos", "term")))
+    near = words.groupBy(*gk, "id").agg(order.alias("w"))
+    n = F.size("w")
+    pairs = F.filter(F.zip_with(F.slice("w", 1, n - 1), F.slice("w", 2, n - 1), lambda a, b: F.struct(
+        (b["pos"] == a["pos"] + 1).alias("next"), F.concat(a["term"], F.lit(" "), b["term"]).alias("term"))), lambda x: x["next"])
+    arrays = near.where(n >= 2).select(*gk, "id", F.transform(pairs, lambda x: x["term"]).alias("terms"))
+    return term_stats(arrays, group)
+
+
+def vocabulary(tokens: DataFrame, group: str | None, max_features: int, min_df: int = 2, max_df: float | None = None) -> DataFrame:
+    """(group, term, df, n, idf) of the kept vocabulary: the ``max_features`` eligible terms of the largest total."""
+    gk = [group] if group else []
+    words = materialize(term_stats(tokens.select("id", *gk, F.col("toks").alias("terms")), group), "word-stats")
+    stats = words.unionByName(candidate_bigrams(tokens, words, group, max_features, min_df, max_df))
+    ranked = _top(_with_n(stats, tokens, group).where(_kept(min_df, max_df)), group, max_features)
+    idf = F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    return ranked.select(*gk, "term", "df", "n", idf.alias("idf"))
 
 
 def vocab_counts(arrays: DataFrame, vocab: DataFrame, group: str | None) -> DataFrame:
@@ -113,14 +136,10 @@ def weights(arrays: DataFrame, vocab: DataFrame, group: str | None) -> DataFrame
     return j.select(*gk, "id", "term", (raw / norm).alias("w"))
 
 
-def community_keywords(posts: DataFrame, top_n: int = 10, max_features: int = 100, min_df: int = 2,
-                       max_df: float = 0.8, stop: list[str] | None = None, vocab_bound: int = 2_000_000) -> DataFrame:
+def community_keywords(tokens: DataFrame, top_n: int = 10, max_features: int = 100, min_df: int = 2, max_df: float = 0.8) -> DataFrame:
     """(subreddit, keyword, score) — top ``top_n`` mean tf-idf terms per community."""
-    docs = topic_docs(posts)
-    arrays = term_arrays(docs, "subreddit", stop)
-    vocab = materialise_small(vocabulary(term_stats(arrays, "subreddit"), docs, "subreddit", max_features, min_df, max_df),
-                              vocab_bound)
-    w = weights(arrays, vocab, "subreddit")
+    vocab = materialize(vocabulary(tokens, "subreddit", max_features, min_df, max_df), "community-vocabulary")
+    w = weights(term_arrays(tokens, "subreddit"), vocab, "subreddit")
     n = vocab.select("subreddit", "n").distinct()
     means = w.groupBy("subreddit", "term").agg(F.sum("w").alias("_sw")).join(n, "subreddit")
     scored = means.select("subreddit", F.col("term").alias("keyword"), tx.rnd(F.col("_sw") / F.col("n"), 6).alias("score"))
@@ -135,25 +154,39 @@ def post_sentiment(posts: DataFrame, minutes: DataFrame) -> DataFrame:
         "id", "subreddit", "minute", F.coalesce(F.col("avg_sentiment"), F.lit(0.0)).alias("sentiment"))
 
 
-def keyword_stats(topics: DataFrame, posts: DataFrame, sentiments: DataFrame) -> DataFrame:
-    """Posts of the community whose lower-cased text contains the keyword; count and mean.
+def keyword_hits(topics: DataFrame, posts: DataFrame) -> DataFrame:
+    """(subreddit, keyword, id, day): the community's posts whose lower-cased text contains the keyword.
 
-    ``topics`` holds at most ``top_n`` rows per community; it is checkpointed and broadcast under a
-    counted bound, so posts are matched where they sit (equi-join on community, ``contains``
-    residual) instead of shuffling the texts by community.
+    ``topics`` has at most ``top_n`` rows a community, gathered into one row a community, so posts are matched where
+    their texts lie: one equi-join that gives each post its community's keywords, and only ids leave it.
     """
-    kw = materialise_small(topics.select(F.col("subreddit").alias("_ks"), F.col("keyword").alias("_kk"),
-                                         F.col("score").alias("_kscore")), 1_000_000)
-    docs = topic_docs(posts).join(sentiments.select("id", "sentiment"), "id")
-    j = docs.join(kw, (F.col("subreddit") == F.col("_ks")) & tx.ascii_lower(F.col("text")).contains(F.col("_kk")))
-    hits = j.groupBy(F.col("_ks").alias("_hs"), F.col("_kk").alias("_hk")).agg(
-        F.count(F.lit(1)).alias("post_count"),
-        F.sum(F.round(F.col("sentiment") * F.lit(1e6)).cast("bigint")).alias("_u"))
-    out = kw.join(hits, (F.col("_ks") == F.col("_hs")) & (F.col("_kk") == F.col("_hk")), "left")
-    return out.select(
-        F.col("_ks").alias("subreddit"), F.col("_kk").alias("keyword"), F.col("_kscore").alias("score"),
-        F.coalesce(F.col("post_count"), F.lit(0)).alias("post_count"),
-        F.coalesce(F.col("_u") / F.lit(1e6) / F.col("post_count"), F.lit(0.0)).alias("avg_sentiment"))
+    words = topics.groupBy("subreddit").agg(F.collect_list("keyword").alias("_words"))
+    own = posts.where(F.col("title").isNotNull()).select("id", "subreddit", F.to_date("created_utc").alias("day"), F.lower(tx.combine_for_topics()).alias("_text"))
+    found = own.join(words, "subreddit").select("subreddit", "id", "day", F.filter("_words", lambda w: F.contains(F.col("_text"), w)).alias("_hits"))
+    return found.select("subreddit", F.explode("_hits").alias("keyword"), "id", "day")
+
+
+def keyword_stats(topics: DataFrame, hits: DataFrame, sentiments: DataFrame) -> DataFrame:
+    """Per keyword the posts that contain it and their mean sentiment."""
+    sums = hits.join(sentiments.select("id", "sentiment"), "id").groupBy("subreddit", "keyword").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.round(F.col("sentiment") * F.lit(1e6)).cast("bigint")).alias("_u"))
+    return topics.join(sums, ["subreddit", "keyword"], "left").select(
+        "subreddit", "keyword", "score", F.coalesce(F.col("_n"), F.lit(0)).alias("post_count"),
+        F.coalesce(F.col("_u") / F.lit(1e6) / F.col("_n"), F.lit(0.0)).alias("avg_sentiment"))
+
+
+def keyword_bursts(hits: DataFrame, days: int = 7, ratio: float = 2.0, min_posts: int = 5) -> DataFrame:
+    """C11: days on which a keyword is in at least ``min_posts`` posts and in over ``ratio`` times its mean of the ``days`` days before.
+
+    Days without a post count as zero; a keyword without any post in those days has no baseline and raises nothing.
+    Windows run over one row a keyword and day.
+    """
+    daily = hits.groupBy("subreddit", "keyword", "day").agg(F.count(F.lit(1)).alias("posts"))
+    before = Window.partitionBy("subreddit", "keyword").orderBy(F.unix_date("day")).rangeBetween(-days, -1)
+    x = daily.withColumn("_before", F.sum("posts").over(before)).where(F.col("_before") > 0)
+    x = x.withColumn("baseline", F.col("_before") / F.lit(float(days)))
+    x = x.where((F.col("posts") >= min_posts) & (F.col("posts") > F.col("baseline") * F.lit(ratio)))
+    return x.select("subreddit", "keyword", "day", "posts", tx.rnd("baseline", 6).alias("baseline"), tx.rnd(F.col("posts") / F.col("baseline"), 6).alias("ratio"))
 
 
 def cluster_severity(avg: Column, n: Column) -> Column:

@@ -24,7 +24,8 @@ from ..operators import rollup as ru
 from ..operators import serving as sv
 from ..operators import sinks as sk
 from ..operators import topics as tp
-from ..sources import adapter, listing
+from ..sources import adapter, listing, tables
+from ..sources import fixtures as fx
 from .context import Run
 
 PLANS: dict[str, Callable[[Run], DataFrame]] = {}
@@ -143,6 +144,12 @@ def _sentiment_score(r: Run) -> DataFrame:
     return r.scored.select("id", "subreddit", "minute", "compound", "category")
 
 
+@plan("sentiment_lexicon")
+def _sentiment_lexicon(r: Run) -> DataFrame:
+    """P9 with another lexicon, passed as a table."""
+    return Run(r.spark, r.sf_dir, fx.SERVICE_LEXICON).scored.select("id", "compound", "category")
+
+
 @plan("sentiment_category")
 def _sentiment_category(r: Run) -> DataFrame:
     """P10: posts per category."""
@@ -295,7 +302,7 @@ def _sentiment_distribution(r: Run) -> DataFrame:
 @plan("data_freshness")
 def _data_freshness(r: Run) -> DataFrame:
     """A6/F2."""
-    return qu.freshness(r.posts, r.as_of)
+    return qu.freshness(r.posts, r.as_of).orderBy(F.col("minutes_ago").desc(), "subreddit")
 
 
 def _checks(r: Run) -> DataFrame:
@@ -329,17 +336,17 @@ def _dq_overall(r: Run) -> DataFrame:
 
 @plan("dq_metrics_log")
 def _dq_metrics_log(r: Run) -> DataFrame:
-    return qu.metric_log(r.landing, r.as_of)
+    return r.quality_log
 
 
 @plan("dq_weekly_summary")
 def _dq_weekly_summary(r: Run) -> DataFrame:
-    return qu.weekly_summary(qu.metric_log(r.landing, r.as_of), r.as_of)
+    return qu.weekly_summary(r.quality_log, r.as_of)
 
 
 @plan("dq_latest")
 def _dq_latest(r: Run) -> DataFrame:
-    return qu.latest(qu.metric_log(r.landing, r.as_of))
+    return qu.latest(r.quality_log)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -489,7 +496,15 @@ def _declared_alert_rules(r: Run) -> DataFrame:
         "subreddit").agg(F.max(tx.rnd((F.col("prev") - F.col("s")) / F.col("prev"), 6)).alias("value")).select(
         F.lit("sentiment_drop").alias("rule"), F.lit("medium").alias("severity"), "subreddit", "value",
         F.lit(0.5).alias("threshold"))
-    return fresh.unionByName(neg).unionByName(err).unionByName(vol).unionByName(drop)
+    words = tp.keyword_bursts(r.keyword_hits).groupBy("subreddit").agg(F.max("ratio").alias("value")).select(
+        F.lit("keyword_frequency").alias("rule"), F.lit("medium").alias("severity"), "subreddit", "value", F.lit(2.0).alias("threshold"))
+    return fresh.unionByName(neg).unionByName(err).unionByName(vol).unionByName(drop).unionByName(words)
+
+
+@plan("keyword_frequency_anomaly")
+def _keyword_frequency_anomaly(r: Run) -> DataFrame:
+    """C11: days on which a keyword bursts against the week before."""
+    return tp.keyword_bursts(r.keyword_hits)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -561,6 +576,14 @@ def _topic_counts(r: Run) -> DataFrame:
     return _topics_table(r).groupBy("subreddit").agg(F.count(F.lit(1)).alias("keyword_count"))
 
 
+@plan("topic_report")
+def _topic_report(r: Run) -> DataFrame:
+    """Keywords per community, with the numbers of communities and clusters."""
+    per = _topics_table(r).groupBy("subreddit").agg(F.count(F.lit(1)).alias("keyword_count"))
+    return per.select("subreddit", "keyword_count", F.count(F.lit(1)).over(Window.partitionBy()).alias("communities"),
+                      r.clusters.select(F.count(F.lit(1))).scalar().alias("clusters"))
+
+
 @plan("top_keywords")
 def _top_keywords(r: Run) -> DataFrame:
     """The five best keywords overall."""
@@ -649,11 +672,13 @@ def _topic_verify(r: Run) -> DataFrame:
     """Extraction verification in one aggregate."""
     t = _topics_table(r).select(F.count(F.lit(1))).scalar()
     c = r.clusters.agg(F.count(F.lit(1)).alias("cluster_count"), F.min("post_count").alias("min_posts"),
-                       F.max("post_count").alias("max_posts"))
+                       F.max("post_count").alias("max_posts"),
+                       *(F.count_if(F.col("severity") == x).alias(f"{x.lower()}_clusters") for x in ("CRITICAL", "HIGH", "MEDIUM", "LOW")))
     issues = F.array_compact(F.array(
         F.when(t == 0, F.lit("No keywords extracted")), F.when(F.col("cluster_count") == 0, F.lit("No clusters created")),
         F.when(F.col("min_posts") < 1, F.format_string("Cluster with too few posts: %d", F.col("min_posts")))))
-    return c.select(t.alias("keyword_count"), "cluster_count", "min_posts", "max_posts", issues.alias("issues"))
+    return c.select(t.alias("keyword_count"), "cluster_count", "min_posts", "max_posts", issues.alias("issues"),
+                    "critical_clusters", "high_clusters", "medium_clusters", "low_clusters")
 
 
 @plan("existence_gate")
@@ -668,7 +693,7 @@ def _existence_gate(r: Run) -> DataFrame:
 @plan("cluster_posts", rows_only=True)
 def _cluster_posts(r: Run) -> DataFrame:
     """C7 with ``pyspark.ml``: sparse tf-idf, K-Means, the best cost of ten seeds; rows-only check."""
-    return cl.kmeans_model(r.posts)[1]
+    return cl.kmeans_model(r.tokens)[1]
 
 
 # ---------------------------------------------------------------------------------------------
@@ -706,6 +731,44 @@ def _community_stats(r: Run) -> DataFrame:
     return sv.community_stats(r.minutes)
 
 
+@plan("product_timeline")
+def _product_timeline(r: Run) -> DataFrame:
+    return sv.product_timeline(r.scored, r.sentiments, r.as_of)
+
+
+@plan("product_top_posts")
+def _product_top_posts(r: Run) -> DataFrame:
+    return sv.product_top_posts(r.scored)
+
+
+@plan("community_timeline")
+def _community_timeline(r: Run) -> DataFrame:
+    return sv.community_timeline(r.minutes, r.as_of)
+
+
+@plan("community_top_posts")
+def _community_top_posts(r: Run) -> DataFrame:
+    return sv.community_top_posts(r.scored)
+
+
+@plan("community_detail")
+def _community_detail(r: Run) -> DataFrame:
+    return sv.community_detail(r.minutes, r.scored, r.ledger)
+
+
+@plan("communities_ranked")
+def _communities_ranked(r: Run) -> DataFrame:
+    return sv.communities_ranked(r.minutes)
+
+
+@plan("target_communities")
+def _target_communities(r: Run) -> DataFrame:
+    """The target list with each community's posts; a community without posts is shown with none."""
+    n = r.posts.groupBy("subreddit").agg(F.count(F.lit(1)).alias("n"))
+    targets = tables.communities_frame(r.spark, [*fx.COMMUNITIES[:2], *(f"c{k}" for k in range(7))])
+    return targets.join(n, "subreddit", "left").select("subreddit", "ord", F.coalesce("n", F.lit(0)).alias("posts"))
+
+
 @plan("community_entities")
 def _community_entities(r: Run) -> DataFrame:
     return sv.community_entities(r.scored)
@@ -743,7 +806,7 @@ def _volume_timeline(r: Run) -> DataFrame:
 
 @plan("realtime_24h")
 def _realtime_24h(r: Run) -> DataFrame:
-    return sv.realtime_24h(r.minutes, r.as_of)
+    return sv.realtime_24h(r.minutes, r.as_of).orderBy(F.col("timestamp").desc(), "subreddit")
 
 
 @plan("top_posts_weekly")

@@ -6,6 +6,7 @@ several branches reuses the same logical subtree (Spark then reuses the exchange
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from collections.abc import Callable
@@ -17,15 +18,21 @@ from ..operators import clusters as cl
 from ..operators import rollup as ru
 from ..operators import store
 from ..operators.ledger import Ledger
+from ..session import is_local
 from ..sources import adapter, tables
 
 
 class Ctx:
     """Shared frames. What is derived from an input is stored once for that version of it and read by every later query."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    #: Stored tables that depend on the scores.
+    BY_SCORE = {"scored", "minutes", "topic-stats", "issue-clusters", "candidates"}
+
+    def __init__(self, spark: SparkSession, sf_dir: str, lexicon: list[tuple[str, float]] | None = None):
+        """``lexicon``: (token, valence) rows for the scorer instead of its own; tables that depend on it are stored apart."""
         self.spark = spark
         self.sf_dir = sf_dir
+        self.lexicon_rows = lexicon
 
     def table(self, name: str) -> DataFrame:
         return tables.read(self.spark, self.sf_dir, name)
@@ -35,8 +42,15 @@ class Ctx:
         """The version of the input: a key of the files of the tables that posts come from."""
         return store.input_version(self.table("events"), self.table("documents"))
 
+    @cached_property
+    def scored_version(self) -> str:
+        """The version of what depends on scores: the input's, and the lexicon's where it isn't the usual one."""
+        own = "" if self.lexicon_rows is None else f"-{hashlib.sha256(repr(sorted(self.lexicon_rows)).encode()).hexdigest()[:16]}"
+        return self.version + own
+
     def stored(self, name: str, build: Callable[[], DataFrame], row_group_bytes: int | None = None) -> DataFrame:
-        return store.stored(self.spark, name, self.version, build, row_group_bytes)
+        version = self.scored_version if name in self.BY_SCORE else self.version
+        return store.stored(self.spark, name, version, build, row_group_bytes)
 
     @cached_property
     def landing(self) -> DataFrame:
@@ -49,12 +63,13 @@ class Ctx:
         Every branch (scoring, TF-IDF, keyword matching, labels, checks) then scans Parquet with
         column pruning instead of re-running the landing join and the dedupe exchange.
         """
-        rg = int(self.spark.conf.get("hearsay.text.rowGroupBytes", str(4 << 20)))
+        # On one machine small row groups let one file be read by every core; a cluster has files enough.
+        rg = 4 << 20 if is_local(self.spark) else None
         return self.stored("posts", lambda: adapter.posts(self.spark, self.sf_dir), rg)
 
     @cached_property
     def lexicon(self) -> DataFrame:
-        return tables.lexicon_frame(self.spark)
+        return tables.lexicon_frame(self.spark, self.lexicon_rows)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -95,17 +110,27 @@ class Run(Ctx):
     def topics(self) -> DataFrame:
         """K7: the keywords of each community, a stored version."""
         from ..operators import topics as tp
-        return self.stored("topics", lambda: tp.community_keywords(self.posts))
+        return self.stored("topics", lambda: tp.community_keywords(self.tokens))
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        from ..operators import topics as tp
+        return self.stored("topic-tokens", lambda: tp.token_arrays(self.posts))
+
+    @cached_property
+    def keyword_hits(self) -> DataFrame:
+        from ..operators import topics as tp
+        return self.stored("keyword-hits", lambda: tp.keyword_hits(self.topics, self.posts))
 
     @cached_property
     def topic_stats(self) -> DataFrame:
         from ..operators import topics as tp
-        return self.stored("topic-stats", lambda: tp.keyword_stats(self.topics, self.posts, self.sentiments))
+        return self.stored("topic-stats", lambda: tp.keyword_stats(self.topics, self.keyword_hits, self.sentiments))
 
     @cached_property
     def _vectors(self) -> tuple[DataFrame, DataFrame]:
-        vocab = self.stored("vocabulary", lambda: cl.vocabulary(self.posts))
-        return vocab, self.stored("post-vectors", lambda: cl.vectors(self.posts, vocab))
+        vocab = self.stored("vocabulary", lambda: cl.vocabulary(self.tokens))
+        return vocab, self.stored("post-vectors", lambda: cl.vectors(self.tokens, vocab))
 
     @cached_property
     def model(self) -> DataFrame:
@@ -146,12 +171,18 @@ class Run(Ctx):
     @cached_property
     def alert_ledger(self) -> Ledger:
         """The stored ledger of this input: the history's runs and the current one, each appended once."""
-        ledger = Ledger(self.spark, os.path.join(store.table_root(self.spark, "ledger"), self.version))
+        ledger = Ledger(self.spark, os.path.join(store.table_root(self.spark, "ledger"), self.scored_version))
         for h in self.HISTORY_HOURS:
             ledger.run(self.run_id(h), lambda h=h: self.candidates(h, with_clusters=False), self.at(h))
         ledger.run(self.run_id(0), lambda: self.current_candidates, self.as_of)
         return ledger
 
+    @cached_property
+    def quality_log(self) -> DataFrame:
+        """The stored check log of this input."""
+        from ..operators import quality as qu
+        return qu.metric_log(self.spark, os.path.join(store.table_root(self.spark, "quality-log"), self.version), self.landing, self.as_of)
+
     @staticmethod
     def run_id(hours_before: int) -> str:
         return f"{hours_before:03d}h-before"

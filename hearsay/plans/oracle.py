@@ -116,14 +116,20 @@ AS_OF = "(SELECT as_of FROM as_of)"
 cte("lexicon", [], "SELECT * FROM (VALUES " + ", ".join(f"({q(t)}, {D(v)})" for t, v in fx.LEXICON) + ") AS l(token, valence)")
 
 
+def _caps(w: str) -> str:
+    return f"(c.mixed AND {w} = upper({w}) AND {w} <> lower({w}))"
+
+
 def _boost(p: str) -> str:
-    return (f"CASE WHEN {p} IN {in_list(fx.BOOSTERS_UP)} THEN {D(fx.BOOSTER_INCR)} "
-            f"WHEN {p} IN {in_list(fx.BOOSTERS_DOWN)} THEN {D(-fx.BOOSTER_INCR)} ELSE {D(0.0)} END")
+    step = (f"CASE WHEN lower({p}) IN {in_list(fx.BOOSTERS_UP)} THEN {D(fx.BOOSTER_INCR)} "
+            f"WHEN lower({p}) IN {in_list(fx.BOOSTERS_DOWN)} THEN {D(-fx.BOOSTER_INCR)} END")
+    return f"coalesce({step} + CASE WHEN {_caps(p)} THEN {D(fx.CAPS_INCR)} ELSE {D(0.0)} END, {D(0.0)})"
 
 
 _NEG = in_list(fx.NEGATORS)
-_V1 = f"(l.valence + (CASE WHEN l.valence < 0 THEN {D(-1)} ELSE {D(1)} END) * ({_boost('c.p1')} + {_boost('c.p2')} * {D(0.95)} + {_boost('c.p3')} * {D(0.9)}))"
-_V2 = f"(CASE WHEN coalesce(c.p1 IN {_NEG} OR c.p2 IN {_NEG} OR c.p3 IN {_NEG}, false) THEN {_V1} * {D(fx.NEGATION_SCALAR)} ELSE {_V1} END)"
+_SIGN = f"(CASE WHEN l.valence < 0 THEN {D(-1)} ELSE {D(1)} END)"
+_V1 = f"(l.valence + {_SIGN} * (CASE WHEN {_caps('c.tok')} THEN {D(fx.CAPS_INCR)} ELSE {D(0.0)} END) + {_SIGN} * ({_boost('c.p1')} + {_boost('c.p2')} * {D(0.95)} + {_boost('c.p3')} * {D(0.9)}))"
+_V2 = f"(CASE WHEN coalesce(lower(c.p1) IN {_NEG} OR lower(c.p2) IN {_NEG} OR lower(c.p3) IN {_NEG}, false) THEN {_V1} * {D(fx.NEGATION_SCALAR)} ELSE {_V1} END)"
 _V3 = (f"(CASE WHEN c.bp > 0 AND c.pos < c.bp THEN {_V2} * {D(fx.CONTRAST_BEFORE)} "
        f"WHEN c.bp > 0 AND c.pos > c.bp THEN {_V2} * {D(fx.CONTRAST_AFTER)} ELSE {_V2} END)")
 
@@ -133,20 +139,23 @@ COMBINED = "concat(title, ' ', coalesce(selftext, ''))"
 def lower(e: str) -> str:
     return f"translate({e}, {q(tx.ASCII_UPPER)}, {q(tx.ASCII_LOWER)})"
 
-cte("_tok", ["posts"], f"""
+cte("_words", ["posts"], f"""
 SELECT id, length({COMBINED}) - length(replace({COMBINED}, '!', '')) AS bang,
-       list_filter(regexp_extract_all({lower(COMBINED)}, {q(tx.SCORE_TOKEN_PATTERN)}), lambda t: length(t) >= 2) AS toks
+       regexp_extract_all({COMBINED}, '[\\p{{L}}\\p{{N}}_]+(?:''\\p{{L}}+)?') AS words
 FROM posts""")
+cte("_tok", ["_words"], """
+SELECT id, bang, list_filter(words, lambda t: length(t) >= 2) AS toks, n_caps > 0 AND n_caps < len(words) AS mixed
+FROM (SELECT *, len(list_filter(words, lambda t: t = upper(t) AND t <> lower(t))) AS n_caps FROM _words)""")
 cte("_ctx", ["_tok"], """
-SELECT id, pos, toks[pos] AS tok,
+SELECT id, mixed, pos, toks[pos] AS tok,
        CASE WHEN pos > 1 THEN toks[pos - 1] END AS p1,
        CASE WHEN pos > 2 THEN toks[pos - 2] END AS p2,
        CASE WHEN pos > 3 THEN toks[pos - 3] END AS p3,
-       coalesce(list_position(toks, 'but'), 0) AS bp
-FROM (SELECT id, toks, unnest(generate_series(1, len(toks))) AS pos FROM _tok)""")
+       coalesce(list_position(list_transform(toks, lambda t: lower(t)), 'but'), 0) AS bp
+FROM (SELECT id, mixed, toks, unnest(generate_series(1, len(toks))) AS pos FROM _tok)""")
 cte("_hits", ["_ctx", "lexicon"], f"""
 SELECT c.id, sum(CAST(round({_V3} * {D(1e6)}) AS BIGINT)) AS s
-FROM _ctx c JOIN lexicon l ON c.tok = l.token GROUP BY c.id""")
+FROM _ctx c JOIN lexicon l ON lower(c.tok) = l.token GROUP BY c.id""")
 
 _S = f"(CAST(coalesce(h.s, 0) AS DOUBLE) / {D(1e6)})"
 _EP = f"(least(t.bang, 4) * {D(fx.EXCLAMATION_STEP)})"

@@ -32,7 +32,7 @@ cte("tterms", ["tdocs"], f"""
 SELECT id, subreddit, toks || CASE WHEN len(toks) >= 2 THEN list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])
                               ELSE []::VARCHAR[] END AS terms
 FROM (SELECT id, subreddit,
-             list_filter(regexp_extract_all({lower('text')}, '[a-z0-9_]{{2,}}'), lambda t: NOT (t IN {STOP})) AS toks
+             list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: NOT (t IN {STOP})) AS toks
       FROM tdocs)""")
 cte("ttf", ["tterms"], """
 SELECT subreddit, id, term, count(*) AS tf FROM (SELECT subreddit, id, unnest(terms) AS term FROM tterms)
@@ -62,7 +62,7 @@ FROM topics_kw k LEFT JOIN (
   SELECT k2.subreddit, k2.keyword, count(*) AS post_count,
          CAST(sum(CAST(round(s.sentiment * {D(1e6)}) AS BIGINT)) AS DOUBLE) AS u
   FROM tdocs d JOIN sentiments s ON d.id = s.id
-  JOIN topics_kw k2 ON d.subreddit = k2.subreddit AND contains({lower('d.text')}, k2.keyword)
+  JOIN topics_kw k2 ON d.subreddit = k2.subreddit AND contains(lower(d.text), k2.keyword)
   GROUP BY k2.subreddit, k2.keyword) h ON k.subreddit = h.subreddit AND k.keyword = h.keyword""")
 
 cte("gtf", ["ttf"], "SELECT id, term, tf FROM ttf")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import validate as va
 from ..sources import fixtures as fx
-from .oracle import AS_OF, COMBINED, PERMALINK, D, cte, in_list, q, register, rnd, sql
+from .oracle import AS_OF, COMBINED, CTES, PERMALINK, D, cte, in_list, q, register, rnd, sql
 from .oracle_more import SEVERITY_SCORE, UNITS6, mins_between
 
 # ---------------------------------------------------------------------------------------------
@@ -12,6 +12,9 @@ from .oracle_more import SEVERITY_SCORE, UNITS6, mins_between
 # ---------------------------------------------------------------------------------------------
 register("tfidf_keywords", sql("SELECT * FROM topics_kw", "topics_kw"))
 register("keyword_stats", sql("SELECT * FROM topics_tbl", "topics_tbl"))
+register("topic_report", sql("""
+SELECT subreddit, count(*) AS keyword_count, count(*) OVER () AS communities, (SELECT count(*) FROM clusters) AS clusters
+FROM topics_tbl GROUP BY subreddit""", "topics_tbl", "clusters"))
 register("topic_counts", sql("SELECT subreddit, count(*) AS keyword_count FROM topics_tbl GROUP BY subreddit", "topics_tbl"))
 register("top_keywords", sql("SELECT keyword, subreddit, score FROM topics_tbl ORDER BY score DESC, keyword, subreddit LIMIT 5",
                              "topics_tbl"))
@@ -40,8 +43,9 @@ SELECT keyword_count, cluster_count, min_posts, max_posts,
        list_filter([CASE WHEN keyword_count = 0 THEN 'No keywords extracted' END,
                     CASE WHEN cluster_count = 0 THEN 'No clusters created' END,
                     CASE WHEN min_posts < 1 THEN printf('Cluster with too few posts: %d', min_posts) END],
-                   lambda x: x IS NOT NULL) AS issues
-FROM (SELECT (SELECT count(*) FROM topics_tbl) AS keyword_count, count(*) AS cluster_count, min(post_count) AS min_posts,
+                   lambda x: x IS NOT NULL) AS issues, critical_clusters, high_clusters, medium_clusters, low_clusters
+FROM (SELECT CAST(count_if(severity = 'CRITICAL') AS BIGINT) AS critical_clusters, CAST(count_if(severity = 'HIGH') AS BIGINT) AS high_clusters,
+             CAST(count_if(severity = 'MEDIUM') AS BIGINT) AS medium_clusters, CAST(count_if(severity = 'LOW') AS BIGINT) AS low_clusters, (SELECT count(*) FROM topics_tbl) AS keyword_count, count(*) AS cluster_count, min(post_count) AS min_posts,
              max(post_count) AS max_posts FROM clusters)""", "topics_tbl", "clusters"))
 register("existence_gate", sql("""
 SELECT p AS posts, m AS minute_rows, p > 0 AS posts_ok, m > 0 AS sentiment_ok
@@ -64,7 +68,8 @@ register("products", sql("SELECT * FROM products", "products"))
 register("products_ranked", sql("""
 SELECT primary_product, post_count, avg_sentiment,
        row_number() OVER (ORDER BY post_count DESC, primary_product) AS rank_by_posts,
-       row_number() OVER (ORDER BY coalesce(avg_sentiment, 0.0) DESC, primary_product) AS rank_by_sentiment
+       row_number() OVER (ORDER BY coalesce(avg_sentiment, 0.0) DESC, primary_product) AS rank_by_sentiment,
+       row_number() OVER (ORDER BY coalesce(avg_sentiment, 0.0) DESC, primary_product) = 1 AS is_best
 FROM products""", "products"))
 
 
@@ -257,6 +262,13 @@ register("lake_partitions", sql("""
 SELECT year(created_utc) AS year, month(created_utc) AS month, day(created_utc) AS day, hour(created_utc) AS hour, count(*) AS rows
 FROM posts GROUP BY 1, 2, 3, 4""", "posts"))
 
+cte("bursts", ["topics_kw", "tdocs", "posts"], f"""
+SELECT subreddit, keyword, day, posts, {rnd('before / ' + D(7.0), 6)} AS baseline, {rnd('posts / (before / ' + D(7.0) + ')', 6)} AS ratio
+FROM (SELECT *, CAST(sum(posts) OVER (PARTITION BY subreddit, keyword ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS DOUBLE) AS before
+      FROM (SELECT k.subreddit, k.keyword, CAST(p.created_utc AS DATE) AS day, count(*) AS posts
+            FROM topics_kw k JOIN tdocs d ON d.subreddit = k.subreddit AND contains(lower(d.text), k.keyword) JOIN posts p ON p.id = d.id
+            GROUP BY k.subreddit, k.keyword, CAST(p.created_utc AS DATE)))
+WHERE before > 0 AND posts >= 5 AND posts > before / {D(7.0)} * {D(2.0)}""")
 _NP = rnd("sum(negative_count) * " + D(100.0) + " / sum(posts_count)", 1)
 register("declared_alert_rules", sql(f"""
 SELECT 'data_freshness' AS rule, 'high' AS severity, subreddit, {rnd('m', 2)} AS value, {D(10.0)} AS threshold
@@ -279,9 +291,9 @@ SELECT 'sentiment_drop', 'medium', subreddit, max({rnd('(prev - s) / prev', 6)})
     SELECT subreddit, date_trunc('hour', minute) AS hour,
            CAST(sum(CAST(round(avg_sentiment * posts_count * {D(1e4)}) AS BIGINT)) AS DOUBLE) / {D(1e4)} / sum(posts_count) AS s
     FROM minutes GROUP BY 1, 2))
-WHERE prev > 0 AND s < prev * {D(0.5)} GROUP BY subreddit""", "posts", "minutes", "b2", "as_of"))
-
-UNITS6 = UNITS6  # re-exported for callers
+WHERE prev > 0 AND s < prev * {D(0.5)} GROUP BY subreddit
+UNION ALL
+SELECT 'keyword_frequency', 'medium', subreddit, max(ratio), {D(2.0)} FROM bursts GROUP BY subreddit""", "posts", "minutes", "b2", "as_of", "bursts"))
 
 # ---------------------------------------------------------------------------------------------
 # Streams: slices of the log by arrival; the watermark of a slice comes from the slices before it
@@ -329,3 +341,55 @@ FROM landing WHERE NOT ({_VALID}) GROUP BY 1""", "landing"))
 register("stream_minute_rollup", sql("SELECT * FROM s_minutes", "s_minutes"))
 register("stream_anomaly", sql(expanding("s_minutes"), "s_minutes"))
 register("expanding_anomaly", sql(expanding("minutes"), "minutes"))
+
+# ---------------------------------------------------------------------------------------------
+# Details, rankings, bursts, another lexicon
+# ---------------------------------------------------------------------------------------------
+_MEAN6 = f"CAST(sum(CAST(round(sentiment * {D(1e6)}) AS BIGINT)) AS DOUBLE) / {D(1e6)} / count(*)"
+register("product_timeline", sql(f"""
+SELECT primary_product, date_trunc('hour', minute) AS time, {_MEAN6} AS sentiment, count(*) AS posts
+FROM (SELECT c.primary_product, c.minute, s.sentiment FROM scored_c c JOIN sentiments s USING (id)
+      WHERE c.primary_product IS NOT NULL AND c.minute >= {AS_OF} - INTERVAL 7 DAY)
+GROUP BY 1, 2""", "scored_c", "sentiments", "as_of"))
+_POST = "rank, id, title, created_utc, score, num_comments, permalink"
+register("product_top_posts", sql(f"""
+SELECT primary_product, subreddit, {_POST} FROM (
+  SELECT *, row_number() OVER (PARTITION BY primary_product ORDER BY score DESC, id) AS rank FROM scored_c WHERE primary_product IS NOT NULL)
+WHERE rank <= 5""", "scored_c"))
+register("community_top_posts", sql(f"""
+SELECT subreddit, {_POST} FROM (SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY score DESC, id) AS rank FROM scored_c)
+WHERE rank <= 5""", "scored_c"))
+_WEIGHTED = f"CAST(sum(CAST(round(avg_sentiment * posts_count * {D(1e4)}) AS BIGINT)) AS DOUBLE) / {D(1e4)} / sum(posts_count)"
+register("community_timeline", sql(f"""
+SELECT subreddit, date_trunc('hour', minute) AS time, {_WEIGHTED} AS sentiment, CAST(sum(posts_count) AS BIGINT) AS posts
+FROM minutes WHERE minute >= {AS_OF} - INTERVAL 7 DAY GROUP BY 1, 2""", "minutes", "as_of"))
+cte("c_stats", ["minutes"], f"""
+SELECT subreddit, CAST(sum(posts_count) AS BIGINT) AS post_count, {_WEIGHTED} AS avg_sentiment,
+       {rnd('sum(positive_count) * ' + D(100.0) + ' / sum(posts_count)', 1)} AS positive_percent,
+       {rnd('sum(negative_count) * ' + D(100.0) + ' / sum(posts_count)', 1)} AS negative_percent,
+       {rnd('sum(neutral_count) * ' + D(100.0) + ' / sum(posts_count)', 1)} AS neutral_percent
+FROM minutes GROUP BY subreddit""")
+register("communities_ranked", sql("""
+SELECT subreddit, post_count, avg_sentiment, rp AS rank_by_posts, rs AS rank_by_sentiment, rp = 1 AS most_posts, rs = 1 AS best_sentiment
+FROM (SELECT *, row_number() OVER (ORDER BY post_count DESC, subreddit) AS rp, row_number() OVER (ORDER BY coalesce(avg_sentiment, 0.0) DESC, subreddit) AS rs
+      FROM c_stats)""", "c_stats"))
+register("community_detail", sql("""
+SELECT s.*, e.vehicles, e.energy_products, e.issues, coalesce(a.n, 0) AS active_alerts, coalesce(a.ids, []::VARCHAR[]) AS alert_ids
+FROM c_stats s
+LEFT JOIN (SELECT subreddit, CAST(sum(len(vehicles)) AS BIGINT) AS vehicles, CAST(sum(len(energy_products)) AS BIGINT) AS energy_products,
+                  CAST(sum(len(issues)) AS BIGINT) AS issues FROM scored_c GROUP BY subreddit) e USING (subreddit)
+LEFT JOIN (SELECT subreddit, count(*) AS n, list(alert_id ORDER BY detected_at DESC, alert_id DESC)[1:10] AS ids
+           FROM ledger WHERE NOT resolved AND subreddit IS NOT NULL GROUP BY subreddit) a USING (subreddit)""", "c_stats", "scored_c", "ledger"))
+register("target_communities", sql(f"""
+SELECT t.subreddit, CAST(t.ord AS INTEGER) AS ord, coalesce(n, 0) AS posts
+FROM (SELECT unnest({[*fx.COMMUNITIES[:2], *(f"c{k}" for k in range(7))]}) AS subreddit, unnest(range(9)) AS ord) t
+LEFT JOIN (SELECT subreddit, count(*) AS n FROM posts GROUP BY subreddit) p USING (subreddit)""", "posts"))
+register("keyword_frequency_anomaly", sql("SELECT * FROM bursts", "bursts"))
+cte("lexicon2", [], "SELECT * FROM (VALUES " + ", ".join(f"({q(t)}, {D(v)})" for t, v in fx.SERVICE_LEXICON) + ") AS l(token, valence)")
+for _name in ("_hits", "scored", "scored_c"):
+    _deps, _body = CTES[_name]
+    for _old in ("lexicon", "_hits", "scored"):
+        _deps = [f"{d}2" if d == _old else d for d in _deps]
+        _body = _body.replace(f"JOIN {_old} ", f"JOIN {_old}2 ").replace(f"FROM {_old}", f"FROM {_old}2")
+    cte(f"{_name}2", _deps, _body)
+register("sentiment_lexicon", sql("SELECT id, compound, category FROM scored_c2", "scored_c2"))

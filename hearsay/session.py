@@ -20,17 +20,22 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
-    # Text stages (regex tagging, tokenising) are CPU-bound per row: keep post-shuffle
-    # partitions small enough that small inputs still spread over every core.
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+#: On one machine only: text stages are CPU-bound per row, so small inputs should spread over every core. A cluster keeps its own.
+LOCAL_CONF = {
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the engine relies on to an existing session."""
-    for k, v in ENGINE_CONF.items():
+    for k, v in (ENGINE_CONF | (LOCAL_CONF if is_local(spark) else {})).items():
         spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark

@@ -46,6 +46,9 @@ COMMUNITIES = [
     "TeslaModel3", "TeslaModelS", "TeslaModelX", "TeslaModelY", "Superchargers", "TeslaSupport", "electriccars",
 ]
 
+# FIXED VALUE: communities that the completeness check expects.
+EXPECTED_COMMUNITIES = 6
+
 # FIXED VALUES: product display lists of the products page (vehicle / energy categories).
 VEHICLE_DISPLAY = ["Model Y", "Model 3", "Model S", "Model X", "Cybertruck"]
 ENERGY_DISPLAY = ["Powerwall", "Solar Panels", "Solar Roof", "Megapack"]
@@ -79,6 +82,7 @@ LEXICON = [
 # Scorer constants of the published rule-based method (Hutto & Gilbert, ICWSM 2014).
 NEGATION_SCALAR = -0.74
 BOOSTER_INCR = 0.293
+CAPS_INCR = 0.733
 EXCLAMATION_STEP = 0.292
 EXCLAMATION_MAX = 4
 NORMALIZE_ALPHA = 15.0
@@ -186,3 +190,10 @@ def taxonomy_rows() -> list[tuple[str, str, int, str]]:
 def taxonomy_literals() -> dict[str, list[str]]:
     """label → literals, one of which every match contains."""
     return {label: label_literals(patterns) for _, label, patterns in TAXONOMY}
+
+
+#: A lexicon of another domain, for queries that pass one (ours).
+SERVICE_LEXICON = [
+    ("recall", -2.0), ("fire", -2.5), ("crash", -2.5), ("broken", -1.5), ("failed", -2.0), ("hazard", -2.0), ("issue", -1.0),
+    ("fixed", 1.8), ("warranty", 0.5), ("happy", 2.0), ("delivery", 0.4), ("installer", -0.3),
+]

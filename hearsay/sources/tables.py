@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixtures as fx
@@ -19,42 +18,21 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Parameter tables are broadcast only below this many rows; above it they take a shuffle join.
-BROADCAST_MAX_ROWS = 200_000
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def bounded_broadcast(df: DataFrame, known_rows: int | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast a parameter table only when its row count is proven small.
-
-    ``known_rows`` is passed for frames built from driver-side lists (size known exactly);
-    otherwise the table is counted once. Larger tables are returned unhinted, so the planner
-    uses a shuffle join (AQE may still convert it at run time from measured sizes).
-    """
-    n = known_rows if known_rows is not None else df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def lexicon_frame(spark: SparkSession, rows: list[tuple[str, float]] | None = None) -> DataFrame:
+    """(token, valence). A local relation: the planner knows its size, and whether to broadcast it."""
     rows = list(rows if rows is not None else fx.LEXICON)
     schema = T.StructType([T.StructField("token", T.StringType(), False), T.StructField("valence", T.DoubleType(), False)])
-    return bounded_broadcast(spark.createDataFrame(rows, schema), known_rows=len(rows))
-
-
-def taxonomy_frame(spark: SparkSession) -> DataFrame:
-    rows = fx.taxonomy_rows()
-    schema = "family string, label string, ord int, pattern string"
-    return bounded_broadcast(spark.createDataFrame(rows, schema), known_rows=len(rows))
+    return spark.createDataFrame(rows, schema)
 
 
 def communities_frame(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """(subreddit, ord) of a target list."""
     names = list(names if names is not None else fx.COMMUNITIES)
-    return bounded_broadcast(
-        spark.createDataFrame([(n, i) for i, n in enumerate(names)], "subreddit string, ord int"), known_rows=len(names)
-    )
+    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "subreddit string, ord int")
 
 
 def materialize(df: DataFrame, name: str = "t", row_group_bytes: int | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ def groups(labels):
 
 
 def test_every_post_is_assigned_and_topics_are_apart(spark):
-    p = posts(spark)
+    p = tp.token_arrays(posts(spark))
     vocab = cl.vocabulary(p)
     vecs = cl.vectors(p, vocab)
     model = cl.fit(vecs, vocab, k=3)
@@ -47,14 +47,14 @@ def test_the_model_is_the_same_for_any_partitioning(spark):
     p = posts(spark)
     models = []
     for n in (1, 7):
-        x = p.repartition(n)
+        x = tp.token_arrays(p.repartition(n))
         vocab = cl.vocabulary(x)
         models.append(sorted(map(tuple, cl.fit(cl.vectors(x, vocab), vocab).collect()), key=str))
     assert models[0] == models[1]
 
 
 def test_few_posts_give_few_clusters(spark):
-    p = posts(spark).where(F.col("id") < "p004")
+    p = tp.token_arrays(posts(spark).where(F.col("id") < "p004"))
     vocab = cl.vocabulary(p)
     vecs = cl.vectors(p, vocab)
     assert {r.cluster_id for r in cl.fit(vecs, vocab).collect()} == {0, 1}  # max(2, 4 // 10)
@@ -63,7 +63,7 @@ def test_few_posts_give_few_clusters(spark):
 
 
 def test_ml_model_is_repeatable_and_complete(spark):
-    p = posts(spark).coalesce(1)
+    p = tp.token_arrays(posts(spark)).coalesce(1)
     (centres, a), (_, b) = (cl.kmeans_model(p, k=3, seeds=range(42, 44)) for _ in range(2))
     assert groups(a) == groups(b) and a.count() == p.count()
     assert centres.columns == [f.split()[0] for f in cl.CENTRES.split(", ")] and centres.count() > 0

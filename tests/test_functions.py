@@ -147,3 +147,30 @@ def test_minute_bucket_keeps_ntz(spark):
     r = df.select(tx.minute_bucket("t").alias("m"))
     assert r.schema["m"].dataType.typeName() == "timestamp_ntz"
     assert r.first().m == dt.datetime(2024, 1, 1, 10, 5)
+
+
+def test_capitals_stand_out(spark):
+    """Hand-computed: a lexicon word in capitals counts 0.733 more, if some words of the text aren't in capitals."""
+    plain, caps, all_caps, negative, booster, shouted, accented = score_texts(spark, [
+        "this is great", "this is GREAT", "THIS IS GREAT", "this is BAD", "VERY great indeed", "I love it", "déjà GREAT été"])
+    value = lambda s: round(s / (s * s + 15) ** 0.5, 4)
+    assert plain == all_caps == value(3.1)
+    assert caps == accented == value(3.1 + 0.733)
+    assert negative == value(-2.5 - 0.733)
+    assert booster == value(3.1 + 0.293 + 0.733)
+    assert shouted == value(3.2)  # "I" is in capitals, the lexicon word isn't
+
+
+def test_a_lexicon_is_an_argument(spark):
+    lex = tables.lexicon_frame(spark, [("déjà", 2.0), ("great", -1.0)])
+    df = spark.createDataFrame([("a", "Déjà vu"), ("b", "great"), ("c", "bad")], "id string, t string")
+    got = {r.id: r.compound for r in sc.score(df, lex, text=F.col("t"), carry=[]).collect()}
+    value = lambda s: round(s / (s * s + 15) ** 0.5, 4)
+    assert got == {"a": value(2.0), "b": value(-1.0), "c": 0.0}
+
+
+def test_terms_keep_accented_words_whole(spark):
+    from hearsay.functions import text as tx
+
+    df = spark.createDataFrame([("Étion dans çouelle, l'été 2024 x größe",)], "t string")
+    assert df.select(tx.term_tokens("t")).first()[0] == ["étion", "dans", "çouelle", "été", "2024", "größe"]

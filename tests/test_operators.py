@@ -91,7 +91,7 @@ def test_tfidf_small_communities(spark):
             ("p2", "two", "alpha beta", None), ("p3", "two", "alpha gamma", None),
             ("p4", "three", "alpha beta", None), ("p5", "three", "alpha beta", None), ("p6", "three", "alpha delta", None)]
     posts = spark.createDataFrame(rows, "id string, subreddit string, title string, selftext string")
-    got = tp.community_keywords(posts).collect()
+    got = tp.community_keywords(tp.token_arrays(posts)).collect()
     by = {}
     for r in got:
         by.setdefault(r.subreddit, []).append(r.keyword)
