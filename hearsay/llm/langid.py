@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cnn import ByteCNN, windows_of
-from .common import added, arrow_schema, map_arrow, with_columns
+from .common import added, arrow_schema, map_arrow, materialize, with_columns
 
 #: The bound of the training sample (documented parameters).
 SAMPLE_ROWS, PER_LANG, SAMPLE_WINDOWS = 51_200, 800, 4
@@ -44,6 +44,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     texts as pieces spread over the whole."""
     known = docs.filter((id_crc(F.col(id_col), 4) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     counts = known.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__count"))
+    # A sample of SAMPLE_ROWS can't have a row of more languages than that; so the counts are small, and texts stay where they are.
+    counts = materialize(counts.orderBy(F.desc("__count"), "__lang").limit(SAMPLE_ROWS), "language-counts")
     n_langs = counts.count()
     if not n_langs:
         return []
@@ -53,7 +55,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     starts = [F.lit(1), *[(F.greatest(size - piece, F.lit(0)) * k / SAMPLE_WINDOWS + 1).cast("int") for k in range(1, SAMPLE_WINDOWS)]]
     pieces = F.concat_ws("\n", *[F.substring(F.col(text_col), s, F.lit(WINDOW)) for s in starts])
     rows = (
-        known.join(counts, known[lang_col] == counts["__lang"]).filter(draw < F.lit(float(each)) / F.col("__count"))
+        known.join(F.broadcast(counts), known[lang_col] == counts["__lang"]).filter(draw < F.lit(float(each)) / F.col("__count"))
         .select(lang_col, pieces.alias("text")).limit(2 * each * n_langs).collect()
     )
     return sorted((r[0], r[1]) for r in rows)
