@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from hearsay.functions import scoring as sc
+from hearsay.operators import clusters as cl
+from hearsay.operators import topics as tp
 from hearsay.sources import tables
+from hearsay.sources.tables import materialize
 
 
 def _plan(df) -> str:
@@ -23,3 +26,46 @@ def test_scorer_prepares_a_text_once(spark):
     # (3.2 + 0.293 * 1.85) * 0.5 - 2.5 * 1.5; 3.2 * -0.74; 3.2 * 0.5 + (-2.5 - 0.293) * 1.5
     want = {"a": -1.878975, "b": -2.368, "c": 0.0, "d": 0.0, "e": -2.5895}
     assert got == {k: round(s / (s * s + 15) ** 0.5, 4) + 0.0 for k, s in want.items()}
+
+
+def test_bigrams_of_frequent_words_need_no_regrouping(spark):
+    """Documents stay where they are: no occurrence is moved, only partial counts are."""
+    rows = [(f"p{i}", ["aa", "bb", f"once{i}", "aa", "bb"]) for i in range(20)]
+    tokens = spark.createDataFrame(rows, "id string, toks array<string>")
+    words = tp.term_stats(tokens.select("id", F.col("toks").alias("terms")), None)
+    out = tp.candidate_bigrams(tokens, words, None, 2, 2, None)
+    plan = _plan(out)
+    assert "collect_list" not in plan and plan.count("Aggregate") == 1
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [("aa bb", 20, 40)]
+
+
+def test_nearest_centres_by_batch(spark):
+    """Assignment equals plain distances, with empty vectors and ties, and evaluates no lambda for each entry."""
+    vecs = [("a", [0, 2], [9000, 4000]), ("b", [], []), ("c", [1], [10000]), ("d", [0, 1], [5000, 5000]), ("e", [2], [1])]
+    centres = [{0: 900000, 2: 100}, {1: 900000, 2: 100}, {2: 5000}]
+    df = spark.createDataFrame(vecs, "id string, idx array<int>, w array<bigint>").repartition(2)
+    model = spark.createDataFrame([(j, i, f"t{i}", w) for j, c in enumerate(centres) for i, w in c.items()], cl.CENTRES)
+    out = cl.assign(df, model, 3)
+    assert "lambdafunction" not in _plan(out)
+
+    def far(v, c):
+        own = dict(zip(v[1], v[2]))
+        return sum((cl.SCALE * own.get(i, 0) - c.get(i, 0)) ** 2 for i in range(3))
+
+    assert {r.id: r.cluster_id for r in out.collect()} == {v[0]: min(range(3), key=lambda j: (far(v, centres[j]), j)) for v in vecs}
+
+
+def test_ml_model_sees_equal_vectors_once(spark, monkeypatch):
+    """K-Means gets one weighted point for each distinct vector; every post is still assigned."""
+    rows = [(f"p{i}", ["aa", "bb"] if i % 2 else ["cc", "dd"]) for i in range(40)]
+    seen = {}
+
+    def stored(df, name):
+        seen[name] = out = materialize(df, name)
+        return out
+
+    monkeypatch.setattr(cl, "materialize", stored)
+    _, labels = cl.kmeans_model(spark.createDataFrame(rows, "id string, toks array<string>"), k=2, seeds=range(42, 44))
+    assert sorted(r.weight for r in seen["distinct-features"].collect()) == [20.0, 20.0]
+    assert labels.count() == 40 and labels.groupBy("cluster_id").count().where("count = 20").count() == 2
