@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from hearsay.functions import entities as en
 from hearsay.functions import scoring as sc
 from hearsay.operators import clusters as cl
 from hearsay.operators import topics as tp
+from hearsay.sources import fixtures as fx
 from hearsay.sources import tables
 from hearsay.sources.tables import materialize
 
@@ -28,6 +30,33 @@ def test_scorer_prepares_a_text_once(spark):
     assert got == {k: round(s / (s * s + 15) ** 0.5, 4) + 0.0 for k, s in want.items()}
 
 
+def test_scorer_looks_up_neighbours_of_hits_alone(spark):
+    """A word carries a run of bounded size; context reaches over the borders of runs, and contrast over the whole text."""
+    fill = lambda n: ["xx"] * n
+    rows = [("a", fill(sc.RUN - 1) + ["not", "love"]), ("b", fill(sc.RUN - 1) + ["very", "xx", "xx", "love"]), ("c", ["love", *fill(3 * sc.RUN), "but", "bad"]),
+            ("d", fill(sc.RUN) + ["love"]), ("e", fill(sc.RUN - 1) + ["love"]), ("f", fill(sc.RUN - 1) + ["never", "xx", "xx", "xx", "love"]), ("g", ["a", "b"])]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "id string, text string")
+    out = sc.score(df, tables.lexicon_frame(spark), text=F.col("text"), carry=[])
+    plan = _plan(out)
+    assert "arrays_zip" not in plan and plan.count("posexplode") == 1 and "slice(" in plan
+    want = {"a": 3.2 * -0.74, "b": 3.2 + 0.293 * 0.9, "c": 3.2 * 0.5 - 2.5 * 1.5, "d": 3.2, "e": 3.2, "f": 3.2, "g": 0.0}
+    assert {r["id"]: r["compound"] for r in out.collect()} == {k: round(s / (s * s + 15) ** 0.5, 4) + 0.0 for k, s in want.items()}
+
+
+def test_tags_are_searched_by_literal(spark):
+    """No regex of the tagger begins with a choice, and each label is found where its whole pattern finds it."""
+    assert not any(rx.startswith("(") for parts in fx.taxonomy_searches().values() for _, found in parts for rx in found)
+    words = ["m3", "my", "mx", "am3", "m3x", "my_", "_my", "model", "3", "model3", "models", "modelsx", "model\ts", "modelx", "modely1", "pw2", "xpw2", "pw3", "solar", "tile", "tiles",
+             "roof", "pv", "panel", "apv", "sc", "asc", "v2", "v5", "super", "charger", "recall", "prerecall", "tsb", "tsbs", "fire", "misfire", "burn", "burning", "sunburn",
+             "won't", "wont", "charge", "charging", "error", "fsd", "full", "self-driving", "self", "driving", "semi", "semitruck", "service", "center", "bulletin", "range", "loss", "", "é"]
+    texts = [(f"{a}{sep}{b}",) for a in words for b in words for sep in (" ", "", "\n", ".")]
+    df = spark.createDataFrame(texts, "t string")
+    plain = F.array_compact(F.array(*[F.when(F.col("t").rlike(rx), F.lit(label)) for _, label, _, rx in fx.taxonomy_rows()]))
+    ent = en.entities(F.col("t"), lowered=True)
+    got = df.select("t", plain.alias("want"), F.concat(*[ent[f] for f in fx.FAMILIES]).alias("got"))
+    assert got.where(F.col("want") != F.col("got")).collect() == [] and got.where(F.size("want") > 0).count() > 100
+
+
 def test_bigrams_of_frequent_words_need_no_regrouping(spark):
     """Documents stay where they are: no occurrence is moved, only partial counts are."""
     rows = [(f"p{i}", ["aa", "bb", f"once{i}", "aa", "bb"]) for i in range(20)]
