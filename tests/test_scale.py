@@ -6,8 +6,8 @@ from hearsay.functions import entities as en
 from hearsay.functions import scoring as sc
 from hearsay.operators import clusters as cl
 from hearsay.operators import topics as tp
+from hearsay.sources import adapter, tables
 from hearsay.sources import fixtures as fx
-from hearsay.sources import tables
 from hearsay.sources.tables import materialize
 
 
@@ -98,3 +98,60 @@ def test_ml_model_sees_equal_vectors_once(spark, monkeypatch):
     _, labels = cl.kmeans_model(spark.createDataFrame(rows, "id string, toks array<string>"), k=2, seeds=range(42, 44))
     assert sorted(r.weight for r in seen["distinct-features"].collect()) == [20.0, 20.0]
     assert labels.count() == 40 and labels.groupBy("cluster_id").count().where("count = 20").count() == 2
+
+
+def test_scorer_is_code_that_java_compiles(spark):
+    """Java interprets methods of more than 8000 bytes, and every word would pass through such a one."""
+    out = sc.score(spark.createDataFrame([("a", "so very good")], "id string, text string"), tables.lexicon_frame(spark), text=F.col("text"), carry=[])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # only a plan that is fixed has all its code
+    try:
+        stages = out.select("*")._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_first_but_in_any_spelling(spark):
+    rows = [("a", "love BUT bad"), ("b", "love bUt bad but love"), ("c", "love butter bad"), ("d", "but")]
+    out = sc.score(spark.createDataFrame(rows, "id string, text string"), tables.lexicon_frame(spark), text=F.col("text"), carry=[]).collect()
+    want = {"a": 3.2 * 0.5 - 2.5 * 1.5, "b": 3.2 * 0.5 + (3.2 - 2.5) * 1.5, "c": 3.2 - 2.5, "d": 0.0}
+    assert {r["id"]: r["compound"] for r in out} == {k: round(s / (s * s + 15) ** 0.5, 4) + 0.0 for k, s in want.items()}
+
+
+def test_tags_take_one_pass_a_label(spark):
+    """Arrow matches all labels of a batch; capitals, accents and null texts give what the patterns give on the folded text."""
+    texts = [("My POWERWALL 2 won't charge",), ("modèle Model\u00a03, MODEL\t3",), ("\u212a Éfire FIRE\u017f",), ("",), (None,), ("x" * 5000 + " tsb",)]
+    df = spark.createDataFrame(texts, "t string")
+    ent = en.entities(F.col("t"))
+    out = df.select("t", F.concat(*[ent[f] for f in fx.FAMILIES]).alias("got"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Contains(" not in plan
+    low = F.translate(F.coalesce("t", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = F.array_compact(F.array(*[F.when(low.rlike(rx), F.lit(label)) for _, label, _, rx in fx.taxonomy_rows()]))
+    assert out.select("got", plain.alias("want")).where(F.col("got") != F.col("want")).collect() == []
+    assert out.where(F.size("got") > 0).count() >= 3
+    own = [("issues", "b", 1, "y+"), ("issues", "a", 0, "x|y")]
+    assert df.limit(0).union(spark.createDataFrame([("XyY",)], "t string")).select(en.entities(F.col("t"), own)["issues"]).first()[0] == ["a", "b"]
+
+
+def test_texts_of_posts_move_once(spark, tmp_path):
+    """Copies are told apart where the bodies were joined: texts cross one exchange, and posts are the log's first writes."""
+    d = str(tmp_path)
+    ev = spark.range(1, 60).selectExpr("id AS event_id", "timestamp '2024-01-01 05:00:00' + make_dt_interval(0, 0, id) AS ts", "id % 5 AS user_id", "'view' AS event_type", "id * 1.5D AS value", "concat('{\"k\":', id, '}') AS props")
+    ev.union(ev.where("event_id % 20 = 0")).write.parquet(f"{d}/events.parquet")
+    spark.range(40).selectExpr("id AS doc_id", "concat('body ', id) AS text").write.parquet(f"{d}/documents.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = adapter.posts(spark, d)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Exchange hashpartitioning") == 2
+    log = adapter.landing(spark, d)
+    first = adapter.shaped(adapter.first_write_wins(log.where(adapter.required_present(log))))
+    assert out.columns == first.columns
+    key = lambda r: r["id"]
+    assert sorted(out.collect(), key=key) == sorted(first.collect(), key=key) and out.count() > 40
