@@ -155,3 +155,12 @@ def test_texts_of_posts_move_once(spark, tmp_path):
     assert out.columns == first.columns
     key = lambda r: r["id"]
     assert sorted(out.collect(), key=key) == sorted(first.collect(), key=key) and out.count() > 40
+
+
+def test_terms_are_counted_by_batch(spark):
+    """A batch's repeated terms leave it as one row, for each group, with nulls left out."""
+    rows = [("g", ["a", "b", "a", "b"]), ("h", ["a"]), ("g", ["b", "a"]), ("g", []), (None, ["a", None, "b"]), ("g", None)]
+    df = spark.createDataFrame(rows, "g string, terms array<string>").coalesce(1)
+    words, pairs = tp._occurrences(df, "g").collect(), tp._occurrences(df, "g", pairs=True).collect()
+    assert sorted(map(tuple, words), key=str) == sorted([("g", "a", 3, 2), ("g", "b", 3, 2), ("h", "a", 1, 1), (None, "a", 1, 1), (None, "b", 1, 1)], key=str)
+    assert sorted(map(tuple, pairs)) == [("g", "a b", 2, 1), ("g", "b a", 2, 2)]
