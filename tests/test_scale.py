@@ -1,11 +1,16 @@
 """Plans whose work must grow no faster than their input, and what they return."""
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hearsay.functions import entities as en
 from hearsay.functions import scoring as sc
 from hearsay.operators import clusters as cl
+from hearsay.operators import ledger as lg
 from hearsay.operators import topics as tp
+from hearsay.plans.context import Run
 from hearsay.sources import adapter, tables
 from hearsay.sources import fixtures as fx
 from hearsay.sources.tables import materialize
@@ -164,3 +169,87 @@ def test_terms_are_counted_by_batch(spark):
     words, pairs = tp._occurrences(df, "g").collect(), tp._occurrences(df, "g", pairs=True).collect()
     assert sorted(map(tuple, words), key=str) == sorted([("g", "a", 3, 2), ("g", "b", 3, 2), ("h", "a", 1, 1), (None, "a", 1, 1), (None, "b", 1, 1)], key=str)
     assert sorted(map(tuple, pairs)) == [("g", "a b", 2, 1), ("g", "b a", 2, 2)]
+
+
+def test_texts_without_a_label_take_one_pass(monkeypatch):
+    """Only the texts that hold some label are searched label by label."""
+    seen, search = [], en.pc.match_substring_regex
+    monkeypatch.setattr(en.F, "arrow_udf", lambda kind: lambda f: lambda *a: f(*a))
+    monkeypatch.setattr(en.pc, "match_substring_regex", lambda texts, p: (seen.append(len(texts)), search(texts, p))[1])
+    assert en._matches(pa.array(["xyz"] * 98 + ["a B", "q b"]), ["a", r"(?:^|[^a-z])b", "c"]).to_pylist() == [0] * 98 + [3, 2]
+    assert seen == [100, 2, 2, 2]
+
+
+def test_texts_without_a_lexicon_word_are_not_taken_apart(spark):
+    """Words are extracted above a filter that passes every text with a hit, in whatever spelling, and leaves the others out."""
+    rows = [("a", "so LOVE\u2014it"), ("b", "gloves"), ("c", "isn't great's"), ("d", "loo\u212a"), ("e", "\u00e9love"), ("f", ""), ("g", None), ("h", "x " * 500), ("i", "LoVe")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    lexicon = tables.lexicon_frame(spark, [("love", 3.2), ("great's", 1.0), ("look", 1.5), (":)", 2.0)])
+    assert {r["id"] for r in df.where(sc.may_hit(F.col("text"), lexicon)).collect()} == {"a", "c", "d", "e", "i"}
+    out = sc.score(df, lexicon, text=F.col("text"), carry=[])
+    plan = _plan(out)
+    assert plan.index("regexp_extract_all") < plan.index("ArrowEvalPython")
+    norm = lambda s: round(s / (s * s + 15) ** 0.5, 4) + 0.0
+    want = {"a": norm(3.2 + 0.293 + 0.733), "c": norm(-0.74), "d": norm(1.5), "i": norm(3.2)}
+    assert {r["id"]: r["compound"] for r in out.collect()} == {k: want.get(k, 0.0) for k, _ in rows}
+    # Other letters: no text is left out.
+    other = tables.lexicon_frame(spark, [("sch\u00f6n", 2.0)])
+    assert sc.may_hit(F.col("text"), other) is None
+    found = sc.score(spark.createDataFrame([("a", "SCH\u00d6N"), ("b", "x")], "id string, text string"), other, text=F.col("text"), carry=[])
+    assert {r["id"]: r["compound"] for r in found.collect()} == {"a": norm(2.0), "b": 0.0}
+
+
+def test_other_bigrams_stay_in_their_batch(spark):
+    df = spark.createDataFrame([(["a", "b", "c", "a", "b"],), (["b", None, "a", "b"],), (["c"],), (None,)], "terms array<string>").coalesce(1)
+    assert sorted(map(tuple, tp._occurrences(df, None, pairs=True, among=["a", "b", "z"]).collect())) == [("a b", 3, 2)]
+    assert tp._occurrences(df, None, pairs=True, among=[]).collect() == []
+
+
+def test_too_many_words_for_the_tasks_are_joined(spark, monkeypatch):
+    rows = [(f"p{i}", ["aa", "bb", f"once{i}", "aa", "bb"]) for i in range(20)]
+    tokens = spark.createDataFrame(rows, "id string, toks array<string>")
+    words = tp.term_stats(tokens.select("id", F.col("toks").alias("terms")), None)
+    monkeypatch.setattr(tp, "TOLD", 1)
+    assert sorted(map(tuple, tp.candidate_bigrams(tokens, words, None, 2, 2, None).collect())) == [("aa bb", 20, 40)]
+
+
+def test_vectors_are_counted_where_the_documents_lie(spark):
+    """No term is a row and none is moved; weights are those of the joined and grouped terms."""
+    rng = random.Random(4)
+    rows = [(f"p{i}", rng.choices([f"w{k}" for k in range(12)], k=rng.randint(0, 25))) for i in range(200)] + [("none", ["zz"]), ("null", None), ("gap", ["w1", None, "w2"])]
+    tokens = spark.createDataFrame(rows, "id string, toks array<string>").repartition(3)
+    vocab = materialize(cl.vocabulary(tokens, max_features=40), "vocab")
+    out = cl.vectors(tokens, vocab)
+    plan = _plan(out)
+    assert "Generate" not in plan and "Join" not in plan and "Aggregate" not in plan
+    w = tp.weights(tp.term_arrays(tokens, None), vocab, None).join(vocab.select("term", "idx"), "term")
+    want: dict = {r[0]: [] for r in rows}
+    for r in w.select("id", "idx", F.round(F.col("w") * F.lit(float(cl.WEIGHT))).cast("bigint").alias("w")).orderBy("id", "idx").collect():
+        want[r["id"]].append((r["idx"], r["w"]))
+    got = {r["id"]: list(zip(r["idx"], r["w"], strict=True)) for r in out.collect()}
+    assert got == want and got["none"] == got["null"] == [] and any(" " in r["term"] for r in vocab.collect())
+    assert {(r["id"], len(r["idx"])) for r in cl.vectors(tokens, vocab.limit(0)).collect()} == {(i, 0) for i in want}
+
+
+def test_small_frames_need_no_workers(spark, tmp_path):
+    """A model's centres and an empty ledger are rows of the plan, not made by Python workers."""
+    vecs = materialize(spark.createDataFrame([(f"p{i}", [i % 2], [10000]) for i in range(20)], "id string, idx array<int>, w array<bigint>"), "vecs")
+    model = cl.fit(vecs, spark.createDataFrame([(0, "a"), (1, "b")], "idx int, term string"), k=2)
+    assert "ExistingRDD" not in model._jdf.queryExecution().executedPlan().toString() and model.count() == 2
+    assert [f.dataType.simpleString() for f in model.schema] == ["int", "int", "string", "bigint"]
+    empty = lg.Ledger(spark, str(tmp_path / "ledger")).events()
+    assert "ExistingRDD" not in empty._jdf.queryExecution().executedPlan().toString()
+    assert empty.count() == 0 and [(f.name, f.dataType) for f in empty.schema] == [(f.name, f.dataType) for f in lg.EVENT] + [("run_id", empty.schema["run_id"].dataType)]
+
+
+def test_alerts_read_the_log_once(spark, tmp_path, monkeypatch):
+    """What alerts need as of when is told by the stored posts, which they need anyway, and not by another pass over the log."""
+    spark.range(1, 60).selectExpr("id AS event_id", "timestamp '2024-01-01 05:00:00' + make_dt_interval(0, 0, id) AS ts", "id % 5 AS user_id", "'view' AS event_type", "id * 1.5D AS value", "concat('{\"k\":', id, '}') AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(40).selectExpr("id AS doc_id", "concat('body ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def again(log):
+        raise AssertionError("the log was read for its times")
+
+    monkeypatch.setattr(adapter, "post_times", again)
+    assert Run(spark, str(tmp_path)).candidates(0, with_clusters=False).count() >= 0
+    assert Run(spark, str(tmp_path)).alert_ledger.runs()
