@@ -336,6 +336,32 @@ def test_network_finds_secrets_without_a_base_pattern(spark):
     assert sum(out[i].n_net for i in range(60, 300)) == 0
 
 
+def test_network_learns_from_every_finding_and_word(spark):
+    """No finding, word or number of a text is left out of the training, however many lie in one text; partitions don't matter."""
+    import string
+
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    vocab = ["".join(rng.choice(["ver", "la", "ment", "tion", "qua", "so"]) for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    secrets = [[draw(24) for _ in range(n)] for n in (40, 40, 0, 0, 0)]
+    numbers = [str(rng.randrange(10**13, 10**14)) for _ in range(9)]
+    texts = [" ".join(f"{prose(20)} token = {s} {prose(5)}" for s in own) or prose(200) for own in secrets]
+    texts += [f"rareword {' '.join(numbers)} {prose(30)} ghp_{draw(36)} {prose(30)}", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secret_scan.findings(docs.repartition(3), "text").collect()
+    of = lambda kind: {r["body"] for r in found if r["kind"] == kind}
+    assert of("secret") == {s for own in secrets for s in own} and of("number") == set(numbers)
+    assert of("word") == {w for t in texts for w in (t or "").split() if w in vocab and len(w) > 2} | {"rareword"}
+    few = [r for r in found if r["kind"] in ("context", "number")] + [("word", None, f"word{c}", None) for c in string.ascii_lowercase] + [("secret", "a ", "Zz9" * 99, " b")]
+    x, y, _ = secret_scan.examples(few, False, 1)
+    held = [bytes(w) for w in x]
+    assert all(any(n.encode() in w for w in held) for n in numbers) and all(any(f"word{c}".encode() in w.lower() for w in held) for c in string.ascii_lowercase)
+    assert any(w[20:53] == b"Zz9" * 11 and w.endswith(b" b" + b"\0" * 6) for w in held)  # the end of a long one
+    one, other = (got(secret_scan.report(docs.repartition(n))) for n in (1, 4))
+    assert one == other and one[5].n_net == 1
+
+
 def test_suffix_dedup(docs, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 20000)
     out, seen = got(suffix_dedup.report(docs)), set()
