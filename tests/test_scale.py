@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from hearsay.functions import entities as en
@@ -105,6 +106,40 @@ def test_ml_model_sees_equal_vectors_once(spark, monkeypatch):
     assert labels.count() == 40 and labels.groupBy("cluster_id").count().where("count = 20").count() == 2
 
 
+def test_ml_vectors_need_no_row_of_all_bigrams(spark, monkeypatch):
+    """K-Means gets the vectors that ``pyspark.ml`` makes of all words and bigrams, without an array of a text's bigrams."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    rng = random.Random(5)
+    words = [w for k in range(30) for w in [f"w{k:02d}"] * (k + 1)]  # some more frequent than others
+    tokens = spark.createDataFrame([(f"p{i}", [rng.choice(words) for _ in range(rng.randint(0, 40))]) for i in range(80)], "id string, toks array<string>").coalesce(1)
+    terms = tp.term_arrays(tokens, None)
+    counter = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=2000, minDF=2.0).fit(terms)
+    model = IDF(inputCol="tf", outputCol="idf").fit(counter.transform(terms))
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense([x + 1.0 for x in model.idf]), inputCol="tf", outputCol="raw")
+    made = Pipeline(stages=[counter, scaled, Normalizer(inputCol="raw", outputCol="features")]).fit(terms).transform(terms)
+    names = counter.vocabulary
+    want = {r.id: {names[i]: x for i, x in zip(r.features.indices, r.features.values)} for r in made.collect()}
+    seen, stored = {}, cl.materialize
+
+    def materialize(df, name, *more):
+        seen[name] = stored(df, name, *more)
+        return seen[name]
+
+    monkeypatch.setattr(cl, "materialize", materialize)
+    monkeypatch.setattr(tp, "term_arrays", lambda *_: pytest.fail("every bigram of every text"))
+    centres, labels = cl.kmeans_model(tokens, k=3, seeds=range(42, 44), max_features=2000)
+    order = [r.term for r in tp.vocabulary(tokens, None, 2000).collect()]
+    assert any(" " in t for t in order) and {r.term for r in centres.collect()} <= set(order)
+    for r in seen["features"].collect():
+        assert {order[i]: x for i, x in zip(r.features.indices, r.features.values)} == pytest.approx(want[r.id], rel=1e-12)
+    assert labels.count() == 80 and labels.select("cluster_id").distinct().count() == 3
+    _, alone = cl.kmeans_model(spark.createDataFrame([("a", ["x"]), ("b", ["y"]), ("c", [])], "id string, toks array<string>").coalesce(1), seeds=range(42, 43))
+    assert sorted((r.id, r.cluster_id) for r in alone.collect()) == [("a", 0), ("b", 0), ("c", 0)]  # no vocabulary
+
+
 def test_scorer_is_code_that_java_compiles(spark):
     """Java interprets methods of more than 8000 bytes, and every word would pass through such a one."""
     out = sc.score(spark.createDataFrame([("a", "so very good")], "id string, text string"), tables.lexicon_frame(spark), text=F.col("text"), carry=[])
